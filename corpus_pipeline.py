@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import bpe, pii, quality
+from tabulon.llm import bpe, jaccard, mixing, pii, quality
 from tabulon.llm.common import materialize
 
 
@@ -13,17 +13,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays: that with the least id.
+    Documents link at a similarity of 0.8 over shingles of five words."""
+    return jaccard.keep_one(docs, size=5, percent=80)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind."""
     return pii.redact(docs)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources appear by their weights, the largest of them once: no document is lost, and
+    those of small sources are repeated."""
+    return mixing.mix(docs, mixing.Target(entropy_share=0.95, max_repeats=2.0, whole=True))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of ids and decoded text."""
     return bpe.encode(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("personal_data", personal_data), ("tokens", tokens)]
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("tokens", tokens)]
 #: SQL cannot express the estimation and the token merges; tests compare with brute force.
 ORACLE_SQL = None
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, pii, quality, urlfilter, warc
+from . import bpe, fingerprint, jaccard, mixing, pii, quality, tokenfiles, urlfilter, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         warc.op1_chunked_records,
         quality.op2_distribution_divergence,
+        jaccard.op3_count_vector_tree,
         pii.op4_weak_supervision,
         bpe.op5_pair_index,
+        tokenfiles.op7_separator_scan,
         fingerprint.op8_scaled_sketch,
+        mixing.op9_temperature_mixing,
         urlfilter.op10_character_ratio,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.ORACLE}
