@@ -345,6 +345,8 @@ def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFr
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, class) of each row; ``class`` names its shingle set."""
+    if percent < 75:
+        raise ValueError("linked sets must differ by less than the step between bands: percent is 75 at least")
     text = F.col(f"`{text_col}`")
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text)).alias("jk"), text.alias("text"))
     rows = materialize(classes(docs, size, percent), "jaccard-rows")

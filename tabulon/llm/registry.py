@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard, mixing, pii, quality, tokenfiles, urlfilter, warc
+from . import bpe, fingerprint, jaccard, lm, mixing, pii, quality, tokenfiles, urlfilter, warc
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         jaccard.op3_count_vector_tree,
         pii.op4_weak_supervision,
         bpe.op5_pair_index,
+        lm.op6_causal_attention,
         tokenfiles.op7_separator_scan,
         fingerprint.op8_scaled_sketch,
         mixing.op9_temperature_mixing,

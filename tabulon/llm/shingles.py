@@ -55,6 +55,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.diff(np.concatenate(([0], np.searchsorted(start, last))))
 
 
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Start and end of each word in the joined texts, and these."""
+    joined = b" ".join([*texts, b""])
+    gap = _SPACE[np.frombuffer(joined, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
+    return edge[0::2], edge[1::2], joined
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words; runs may reach over texts."""
     n = len(words) - size + 1
