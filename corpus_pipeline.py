@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: that with the least id.
-    Documents link at a similarity of 0.8 over shingles of five words."""
-    return jaccard.keep_one(docs, size=5, percent=80)
+    Documents link at a similarity of 0.85 over shingles of five words."""
+    return jaccard.keep_one(docs, size=5, percent=85)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

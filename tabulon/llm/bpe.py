@@ -218,7 +218,7 @@ class PairIndexEncoder:
 
 
 #: White space of the vocabulary's pattern, and what str.split() splits at beyond that.
-SPACE_RE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+SPACE_RE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD_SPACE_RE = regex.compile("[\x1c-\x1f]")
 
 

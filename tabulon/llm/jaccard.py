@@ -8,9 +8,10 @@ box and point bounds are verified on their hash sets.
 
 A tree must lie in one task's memory, so that blocks of documents come first, by an exact
 argument on the same groups. In sets of a band of sizes, linked sets differ in at most
-``k`` shingles; of ``k + 1 + SPARE`` groups at least ``1 + SPARE`` are then equal in
-both. Documents that share an equal non-empty group (or have so many empty groups that
-only those may be equal) are joined to coarse blocks; a block beyond ``BLOCK`` documents
+``k`` shingles; of ``k + 1 + 2 * d`` groups at least ``1 + 2 * d`` are then equal in both.
+Each document leaves out its ``d`` smallest groups, which say least; one equal group at
+least is left in both. Documents that share one are joined to coarse blocks; a block
+beyond ``BLOCK`` documents
 is cut at random, and each pair of its parts is one task with two trees. Within a task,
 pairs that links already join are skipped: the result is components, and no component
 is lost. Equal sets are one class from the start and never compared.
@@ -39,7 +40,10 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 SHINGLE, PERCENT = 4, 85
-SPARE = 3
+#: Linked sets may differ in so many times as many shingles as groups are left out.
+LEFT_OUT = 8
+#: So many candidate ids are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Documents, and shingles, of a part of a block.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 LEAF = 16
@@ -113,24 +117,33 @@ def signatures(sets: list[np.ndarray], scheme: np.ndarray, percent: int) -> tupl
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     pick = np.array(pick)
     k = np.array([differing(int(LEAST[j + 1]) - 1, percent) for j in scheme[pick].tolist()])
-    m = (k + 1 + SPARE).astype(np.uint64)
+    pick, k = pick[k > 0], k[k > 0]  # sets that may not differ at all are one class already
+    if not len(pick):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    d = np.maximum(1, k // LEFT_OUT)
+    m = k + 1 + 2 * d
     sizes = np.array([len(sets[i]) for i in pick.tolist()])
     h = np.concatenate([sets[i] for i in pick.tolist()])
     who = np.repeat(np.arange(len(pick)), sizes)
-    group = ((h >> np.uint64(32)) * m[who]) >> np.uint64(32)  # ascends in each set
+    group = ((h >> np.uint64(32)) * m.astype(np.uint64)[who]) >> np.uint64(32)  # ascends in each set
     first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (who[1:] != who[:-1]))))
     total = np.add.reduceat(mix(h), first)
-    owner, g = who[first], group[first]
+    owner, g, weight = who[first], group[first], np.diff(np.append(first, len(h)))
     salt = mix(scheme[pick].astype(np.uint64) + np.uint64(1))
     sig = mix(total ^ mix(salt[owner] + g))
-    # sets with as many empty groups as must be equal may agree in empty ones alone
-    bare = np.flatnonzero(m.astype(np.int64) - np.bincount(owner, minlength=len(pick)) >= 1 + SPARE)
+    # the smallest groups go, empty ones first
+    bare = m - np.bincount(owner, minlength=len(pick))
+    order = np.lexsort((g, weight, owner))
+    count = np.bincount(owner, minlength=len(pick))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+    stay = place >= (d - bare)[owner]
     more_sig, more_owner = [], []
-    for i in bare.tolist():
-        empty = np.setdiff1d(np.arange(int(m[i])), g[owner == i].astype(np.int64)).astype(np.uint64)
+    for i in np.flatnonzero(bare > d).tolist():
+        empty = np.setdiff1d(np.arange(int(m[i])), g[owner == i].astype(np.int64))[int(d[i]) :].astype(np.uint64)
         more_sig.append(mix(mix(salt[i] + empty) ^ np.uint64(0xABCDEF)))
         more_owner.append(np.full(len(empty), i))
-    return np.concatenate([sig, *more_sig]), pick[np.concatenate([owner, *more_owner]).astype(np.int64)]
+    return np.concatenate([sig[stay], *more_sig]), pick[np.concatenate([owner[stay], *more_owner]).astype(np.int64)]
 
 
 def stars(sig: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,7 +320,9 @@ def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFr
     placed = members.join(sums, "block").select("block", "parts", "key", "jk", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
     placed = materialize(placed, "jaccard-members")
     wanted = placed.select("jk", "key").distinct()
-    fetched = docs.select("jk", "text").join(wanted.select("jk").distinct(), "jk")
+    ids = wanted.select("jk").distinct()
+    # texts are not shuffled as long as the candidates' ids are few
+    fetched = docs.select("jk", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "jk")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
