@@ -48,7 +48,7 @@ BROADCAST_ROWS = 1_000_000
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 LEAF = 16
 #: Texts are hashed so many bytes at a time; signatures leave a task in runs of so many rows.
-BYTES, RUN = 4_000_000, 1_000_000
+BYTES, RUN = 1_000_000, 1_000_000
 
 
 def bands(limit: int = 1 << 40) -> np.ndarray:
