@@ -148,6 +148,8 @@ def signatures(sets: list[np.ndarray], scheme: np.ndarray, percent: int) -> tupl
 
 def stars(sig: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows sorted by (sig, a): mask of the first of each signature, first a of each row's, mask of new a."""
+    if not len(sig):
+        return np.zeros(0, bool), a, np.zeros(0, bool)
     start = np.concatenate(([True], sig[1:] != sig[:-1]))
     first = a[np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))]
     new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (a[1:] != a[:-1]))) & (a != first)
