@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import classify
-from ..functions.numbers import matrix_number, parse_number, strip
-from ..functions.text import label_value, normalize_label
+from ..functions.numbers import matrix_number, numeric_quote, parse_number, strip
+from ..functions.text import currency_code, label_value, normalize_label
 from .cells import REQUISITES, ROW, SUMMARY
 
 ROLES = ("name", "quantity", "unit", "unitPrice", "lineTotal")
@@ -110,6 +110,18 @@ def variant_totals(cells: DataFrame, paths: DataFrame) -> DataFrame:
     return cells.join(best, list(ROW)).withColumn("value", matrix_number(F.col("text"))).where("value is not null").join(paths, ["doc_id", "block", "col"]).select(*ROW, "col", F.col("path").alias("variant"), "value")
 
 
+def alternatives(header: Column) -> Column:
+    """Whether a header offers alternatives: a variant, several currencies, or prices with and without VAT."""
+    codes = F.array_distinct(F.transform(F.regexp_extract_all(header, F.lit(r"(?iu)(₽|руб|rub|₸|тенге|kzt|\$|usd|€|eur)"), F.lit(1)), lambda m: currency_code(m)))
+    low = F.lower(header)
+    return header.rlike(VARIANT) | (F.size(codes) > 1) | (low.rlike("с ндс|including vat") & low.rlike("без ндс|excluding vat"))
+
+
+def price_on_request(text: Column) -> Column:
+    """Whether a text says that a price is not fixed yet."""
+    return text.rlike(r"(?iu)(?:цена|стоимость|price|cost)[^\n]{0,60}(?:по запросу|договорн|уточня|on request|negotiable|tbd)")
+
+
 def execute_plan(cells: DataFrame, plan: DataFrame) -> DataFrame:
     """Items by a given plan (doc_id, block, first, last, name_col, quantity_col, price_col,
     total_col; 0: absent) over all rows of its ranges. Rows without a name are left out."""
@@ -117,8 +129,6 @@ def execute_plan(cells: DataFrame, plan: DataFrame) -> DataFrame:
     c = cells.join(plan.select("doc_id", "block", "first", "last", "name_col", "quantity_col", "price_col", "total_col"), hit).select(cells.doc_id, cells.block, "row", "col", "text", "name_col", "quantity_col", "price_col", "total_col")
     pick = lambda name: F.max(F.when(F.col("col") == F.col(name), F.col("text")))
     rows = c.groupBy(*ROW).agg(pick("name_col").alias("name"), pick("quantity_col").alias("q"), pick("price_col").alias("p"), pick("total_col").alias("t"))
-    from ..functions.numbers import numeric_quote
-
     rows = rows.where(F.col("name").isNotNull() & (strip(F.col("name")) != "") & numeric_quote(F.col("name")).isNull() & ~strip(F.col("name")).rlike(SUMMARY))
     return rows.select(*ROW, "name", numeric_quote(F.col("q")).alias("quantity"), numeric_quote(F.col("p")).alias("unit_price"), numeric_quote(F.col("t")).alias("line_total"))
 

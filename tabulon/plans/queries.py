@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.sql.window import Window
 
 from ..functions import labels as L
 from ..functions import numbers as N
@@ -15,11 +16,13 @@ from ..operators import cells as C
 from ..operators import dataset as D
 from ..operators import dedup as U
 from ..operators import evidence as E
+from ..operators import fusion as G
 from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators import validate as V
 from ..sources import offers as O
 from ..sources import store as K
+from ..sources.files import html_grid as html_table
 from . import oracle as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,3 +542,168 @@ def coalesce_dedupe(spark, sf_dir):
 
 
 
+
+
+# ---- geometry, structure, plans and stores
+
+
+_BOX = "(event_id % 100)::DOUBLE AS x0, (event_id % 70)::DOUBLE AS y0, (event_id % 100 + 5 + event_id % 9)::DOUBLE AS x1, (event_id % 70 + 4)::DOUBLE AS y1"
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", (e % 100).cast("double").alias("x0"), (e % 70).cast("double").alias("y0"), (e % 100 + 5 + e % 9).cast("double").alias("x1"), (e % 70 + 4).cast("double").alias("y1"))
+
+
+@query(f"SELECT user_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT user_id, {_BOX} FROM events) GROUP BY user_id")
+def box_union(spark, sf_dir):
+    b = _boxes(spark, sf_dir).groupBy("user_id").agg(G.union_box(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("b"))
+    return b.select("user_id", *[F.col("b")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query(f"SELECT event_id, (x0 + x1) / 2 BETWEEN 19.5 AND 60.5 AND (y0 + y1) / 2 BETWEEN 9.5 AND 50.5 AS inside, CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN greatest(0, least(x1, 60) - greatest(x0, 20)) * greatest(0, least(y1, 50) - greatest(y0, 10)) / least((x1 - x0) * (y1 - y0), 1600) ELSE 0 END AS shared FROM (SELECT event_id, {_BOX} FROM events)")
+def box_relations(spark, sf_dir):
+    frame = F.array(*map(F.lit, (20.0, 10.0, 60.0, 50.0)))
+    own = F.array("x0", "y0", "x1", "y1")
+    return _boxes(spark, sf_dir).select("event_id", G.holds_centre(frame, own).alias("inside"), G.overlap(own, frame).alias("shared"))
+
+
+@query("WITH w AS (SELECT user_id, event_id, (event_id % 997 * 3)::BIGINT AS x, 2 + event_id % 5 AS wd FROM events), g AS (SELECT *, CASE WHEN x - lag(x + wd) OVER (PARTITION BY user_id ORDER BY x, event_id) > 12 THEN 1 ELSE 0 END AS new FROM w) SELECT user_id, event_id, (sum(new) OVER (PARTITION BY user_id ORDER BY x, event_id))::BIGINT AS line FROM g")
+def word_lines(spark, sf_dir):
+    e = F.col("event_id")
+    w = table(spark, sf_dir, "events").select("user_id", "event_id", (e % 997 * 3).alias("x"), (2 + e % 5).alias("wd"))
+    return G.lines_of_words(w, ("user_id",), "x", "wd", 12, "event_id").select("user_id", "event_id", "line")
+
+
+@query(f"WITH {O.CTE}, nat AS (SELECT doc_id, row, col, text, lower(regexp_replace(text, '[\\s­]+', '', 'g')) AS k FROM cells WHERE block = 1 AND (doc_id + row + col) % 3 <> 0), vis AS (SELECT doc_id, row, col, CASE WHEN (row + col) % 2 = 0 THEN upper(text) ELSE text END AS text FROM cells WHERE block = 1), once AS (SELECT doc_id, k, max(text) AS by_text FROM nat GROUP BY doc_id, k HAVING count(*) = 1) SELECT v.doc_id, v.row, v.col, coalesce(n.text, o.by_text, v.text) AS text, CASE WHEN n.text IS NOT NULL THEN 'place' WHEN o.by_text IS NOT NULL THEN 'text' ELSE 'visual' END AS origin FROM vis v LEFT JOIN nat n ON n.doc_id = v.doc_id AND n.row = v.row AND n.col = v.col LEFT JOIN once o ON o.doc_id = v.doc_id AND o.k = lower(regexp_replace(v.text, '[\\s­]+', '', 'g'))")
+def native_visual_fusion(spark, sf_dir):
+    c = O.offer_cells(spark, sf_dir).where("block = 1").select("doc_id", "row", "col", "text")
+    visual = c.withColumn("text", F.when((F.col("row") + F.col("col")) % 2 == 0, F.upper("text")).otherwise(F.col("text")))
+    return G.fuse_grids(c.where("(doc_id + row + col) % 3 <> 0"), visual)
+
+
+@query()
+def reading_agreement(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("x"))).when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.lit(" ")).alias("seen"))
+    return G.agreement(p, "p_name", "seen").select("p_partkey", "agrees")
+
+
+@query()
+def html_grid(spark, sf_dir):
+    """Item tables of offers as HTML, scanned back to a grid by the table function."""
+    c = O.offer_cells(spark, sf_dir).where("block = 1")
+    cell = F.concat(F.lit("<td>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</td>"))
+    rows = c.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", cell.alias("h")))).alias("l"))
+    rows = rows.select("doc_id", "row", F.concat(F.lit("<tr>"), F.array_join(F.transform("l", lambda x: x["h"]), ""), F.lit("</tr>")).alias("h"))
+    pages = rows.groupBy("doc_id").agg(F.concat(F.lit("<table>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "h"))), lambda x: x["h"]), ""), F.lit("</table>")).alias("html"))
+    html_table(spark)
+    return spark.sql("SELECT doc_id, g.row, g.col, g.text FROM {pages}, LATERAL html_grid(html) g", pages=pages)
+
+
+@query(f"WITH {O.CTE} SELECT doc_id, string_agg(line, chr(10) ORDER BY block, row) AS text FROM (SELECT doc_id, block, row, string_agg(text, chr(9) ORDER BY col) AS line FROM cells GROUP BY ALL) GROUP BY doc_id")
+def transcription_text(spark, sf_dir):
+    rows = C.row_groups(O.offer_cells(spark, sf_dir)).select("doc_id", "block", "row", F.array_join(F.transform("cells", lambda x: x["text"]), "\t").alias("line"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "row", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(f"WITH {O.CTE} SELECT doc_id, block, count(*) AS n_cells, count(DISTINCT row) AS n_rows, max(col) AS width, sum(length(text))::BIGINT AS chars FROM cells GROUP BY doc_id, block")
+def block_hierarchy(spark, sf_dir):
+    return O.offer_cells(spark, sf_dir).groupBy("doc_id", "block").agg(F.count("*").alias("n_cells"), F.count_distinct("row").alias("n_rows"), F.max("col").alias("width"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"WITH {O.CTE} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, row, col) AS place, block, row, col FROM cells")
+def reading_order(spark, sf_dir):
+    c = O.offer_cells(spark, sf_dir)
+    return c.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "row", "col")).cast("long").alias("place"), "block", "row", "col")
+
+
+@query(f"WITH {O.CTE} SELECT h.doc_id, unnest(list_filter(['title', CASE WHEN s_name IS NOT NULL THEN 's_name' END, 'n'], lambda x: x IS NOT NULL)) AS path FROM heads h UNION ALL SELECT doc_id, unnest(list_filter(['items.' || item || '.name', CASE WHEN qty_text <> '' THEN 'items.' || item || '.qty_text' END, CASE WHEN unit_text <> '' THEN 'items.' || item || '.unit_text' END], lambda x: x IS NOT NULL)) FROM items")
+def populated_paths(spark, sf_dir):
+    return E.populated_paths(O.offer_heads(spark, sf_dir), O.offer_items(spark, sf_dir), ("title", "s_name", "n"), ("name", "qty_text", "unit_text"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS line, cols_ok, range_ok FROM (SELECT l_orderkey, l_partkey, l_linenumber, c1 <= 9 AND c2 <= 9 AND c3 <= 9 AND c1 >= 1 AND c1 <> c2 AND c1 <> c3 AND (c2 <> c3 OR c2 = 0) AS cols_ok, l_linenumber + l_suppkey % 3 - 1 >= l_linenumber AS range_ok FROM (SELECT *, l_partkey % 10 AS c1, l_suppkey % 11 AS c2, l_orderkey % 10 AS c3 FROM lineitem))")
+def mapping_validity(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem")
+    cols = F.filter(F.array(F.col("l_partkey") % 10, F.col("l_suppkey") % 11, F.col("l_orderkey") % 10), lambda x: x != 0)
+    ok = (F.col("l_partkey") % 10 >= 1) & (F.coalesce(F.array_max(cols), F.lit(0)) <= 9) & (F.size(F.array_distinct(cols)) == F.size(cols))
+    return i.select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("long").alias("line"), ok.alias("cols_ok"), (F.col("l_suppkey") % 3 >= 1).alias("range_ok"))
+
+
+@query("SELECT p_partkey, p_partkey % 4 <> 3 AS alternatives FROM part")
+def alternative_headers(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    head = F.when(k == 0, F.concat(F.lit("Вариант "), F.col("p_size").cast("string"))).when(k == 1, "Цена USD / Цена KZT").when(k == 2, "Цена с НДС, Цена без НДС").otherwise("Цена KZT")
+    return table(spark, sf_dir, "part").select("p_partkey", R.alternatives(head).alias("alternatives"))
+
+
+@query(f"WITH {O.CTE} SELECT doc_id, item, CASE WHEN unit_text = '' THEN item % 2 = 0 ELSE false END AS unspecified FROM items")
+def unknown_price(spark, sf_dir):
+    i = O.offer_items(spark, sf_dir)
+    said = F.when(F.col("unit_text") == "", F.when(F.col("item") % 2 == 0, "Цена: по запросу").otherwise("Цена:")).otherwise(F.concat(F.lit("Цена "), F.col("unit_text")))
+    return i.select("doc_id", "item", R.price_on_request(said).alias("unspecified"))
+
+
+@query(f"WITH {O.CTE}, v AS (SELECT doc_id, c_name AS value FROM heads), c AS (SELECT doc_id, concat(block, '.', row, '.', col) AS id, text FROM cells WHERE block = 0), f AS (SELECT v.doc_id, v.value, count(*) AS n, max(id) AS cell FROM v JOIN c ON c.doc_id = v.doc_id AND contains(c.text, v.value) GROUP BY ALL) SELECT v.doc_id, v.value, CASE WHEN n = 1 THEN cell END AS cell FROM v LEFT JOIN f USING (doc_id, value)")
+def unique_source(spark, sf_dir):
+    cells = O.offer_cells(spark, sf_dir).where("block = 0").select("doc_id", F.concat_ws(".", "block", "row", "col").alias("id"), "text")
+    return E.unique_source(O.offer_heads(spark, sf_dir).select("doc_id", F.col("c_name").alias("value")), cells)
+
+
+@query("SELECT event_id, abs(q * p - t) > greatest(0.02, abs(q) * 0.005 + 0.01) AS mismatch FROM (SELECT event_id, (event_id % 50)::DOUBLE AS q, (event_id % 90) / 10.0::DOUBLE AS p, (event_id % 50) * (event_id % 90) / 10.0::DOUBLE + (event_id % 3) / 10.0::DOUBLE AS t FROM events)")
+def label_check(spark, sf_dir):
+    e = F.col("event_id")
+    q, p = (e % 50).cast("double"), (e % 90) / 10
+    return table(spark, sf_dir, "events").select("event_id", (F.abs(q * p - ((e % 50) * (e % 90) / 10 + (e % 3) / 10)) > V.label_tolerance(q)).alias("mismatch"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 10.0::DOUBLE WHEN 1 THEN 10.0::DOUBLE ELSE least(50.0::DOUBLE, greatest(5.0::DOUBLE, (event_id % 97)::DOUBLE)) END AS setting FROM events")
+def bounded_setting(spark, sf_dir):
+    e = F.col("event_id")
+    text = F.when(e % 4 == 0, "many").when(e % 4 == 1, "NaN").otherwise((e % 97).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", X.bounded_setting(text, 10, 5, 50).alias("setting"))
+
+
+@query(f"WITH {O.CTE} SELECT doc_id, try_cast(nullif(regexp_extract(text, '([0-9]+(?:[.,][0-9]+)?)\\s*%', 1), '') AS DOUBLE) AS percent, contains(text, 'включ') AS inside FROM cells WHERE block = 0 AND row IN (6, 7)")
+def percent_parse(spark, sf_dir):
+    c = O.offer_cells(spark, sf_dir).where("block = 0 and row in (6, 7)")
+    return c.select("doc_id", X.percent(F.col("text")).alias("percent"), X.vat_is_inside(F.col("text")).alias("inside"))
+
+
+@query("SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 0.0, 'excluded' FROM customer WHERE c_custkey % 5 = 0")
+def exclusion_upsert(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return K.upsert(c, c.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.lit(0.0)).withColumn("c_mktsegment", F.lit("excluded")), "c_custkey")
+
+
+@query("SELECT user_id, row_number() OVER (ORDER BY max(event_id) DESC) <= 12 AS cached FROM events GROUP BY user_id")
+def cache_replay(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("last"))
+    kept = e.orderBy(F.desc("last")).limit(12).select("user_id", F.lit(True).alias("kept"))
+    return e.join(kept, "user_id", "left").select("user_id", F.coalesce("kept", F.lit(False)).alias("cached"))
+
+
+@query("SELECT doc_id, lang, n_chars, quality, x.doc_id IS NOT NULL AS quarantined FROM documents LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT doc_id FROM documents WHERE source = 'src3') x USING (doc_id)")
+def annotation_list(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "source")
+    gone = d.where("source = 'src3'").select("doc_id", F.lit(True).alias("gone"))
+    return d.drop("source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").join(gone, "doc_id", "left").select("doc_id", "lang", "n_chars", "quality", F.coalesce("gone", F.lit(False)).alias("quarantined"))
+
+
+@query("SELECT arg_max(event_type, (-round(m, 6), event_type)) AS chosen, count(*) AS candidates FROM (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type)")
+def checkpoint_selection(spark, sf_dir):
+    m = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("m"))
+    return m.agg(F.max_by("event_type", F.struct(-F.round("m", 6), "event_type")).alias("chosen"), F.count("*").alias("candidates"))
+
+
+@query("SELECT count(*) FILTER (s = 'train') >= 20 AND count(*) FILTER (s = 'val') >= 5 AND count(*) FILTER (s = 'test') >= 5 AS ready, count(*) AS documents FROM (SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS s FROM labels)")
+def training_ready(spark, sf_dir):
+    d = F.col("doc_id") % 10
+    s = table(spark, sf_dir, "labels").select(F.when(d < 8, "train").when(d == 8, "val").otherwise("test").alias("s"))
+    ready = (F.count_if(F.col("s") == "train") >= 20) & (F.count_if(F.col("s") == "val") >= 5) & (F.count_if(F.col("s") == "test") >= 5)
+    return s.agg(ready.alias("ready"), F.count("*").alias("documents"))
+
+
+@query("SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars, sum(length(text)) <= 2000 AS kept FROM conversations GROUP BY conv_id")
+def context_guard(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), (F.sum(F.length("text")) <= 2000).alias("kept"))
