@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import bpe, fingerprint, jaccard, lm, mixing, pii, quality, tokenfiles, urlfilter, warc
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
@@ -19,4 +22,3 @@ QUERIES = {
         urlfilter.op10_character_ratio,
     )
 }
-ORACLES: dict[str, str] = {"op9_temperature_mixing": mixing.ORACLE}
