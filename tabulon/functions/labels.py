@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import stage
 from .text import normalize_label
 
 # Aliases and prototypes of the five column roles.
@@ -58,7 +59,9 @@ def classify(labels: DataFrame, column: str = "label") -> DataFrame:
     """(label, role, score, method) of each distinct text of ``column``. Texts are
     classified once each, however often they occur."""
     known = vocabulary(labels.sparkSession)
-    distinct = labels.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("label", normalize_label(F.col("text")))
+    distinct = labels.select(F.col(column).alias("text")).where("text is not null").distinct()
+    # written once: what follows reads it three times, and must not derive the texts three times
+    distinct = stage(distinct.withColumn("label", normalize_label(F.col("text"))), "labels")
     # a label may be an alias of one role only
     alias = known.where("alias").groupBy("label").agg(F.min("role").alias("alias"))
     scores = cosines(distinct.select("label").distinct(), known).groupBy("label").agg(F.max(F.struct("score", "role")).alias("best"))

@@ -20,20 +20,30 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_number(c: Column) -> Column:
     """The number that fills the whole cell, but for a currency mark. ``1,234`` may be a
     decimal or a thousand: null. Dates, codes and blanks are null."""
-    raw = strip(F.regexp_replace(strip(c), f"(?iu)(?:{CURRENCY})", ""))
-    bare = F.regexp_replace(raw, GAP, "")
-    spaced = raw.rlike(f"[0-9]{GAP}+[0-9]")
-    grouped = raw.rlike(f"^[+-]?[0-9]{{1,3}}(?:{GAP}+[0-9]{{3}})+(?:[,.][0-9]{{1,2}})?$")
-    text = (
-        F.when(bare.rlike(PLAIN), bare)
-        .when(bare.rlike(ONE_MARK), F.translate(bare, ",", "."))
-        .when(bare.rlike(COMMA_LAST), F.translate(bare, ",.", "."))
-        .when(bare.rlike(POINT_LAST), F.translate(bare, ",", ""))
-    )
-    return F.when(raw.rlike(r"^[+-]?[0-9]") & (~spaced | grouped), text.try_cast("double"))
+
+    def shaped(bare: Column) -> Column:
+        return (
+            F.when(bare.rlike(PLAIN), bare)
+            .when(bare.rlike(ONE_MARK), F.translate(bare, ",", "."))
+            .when(bare.rlike(COMMA_LAST), F.translate(bare, ",.", "."))
+            .when(bare.rlike(POINT_LAST), F.translate(bare, ",", ""))
+        ).try_cast("double")
+
+    def whole(raw: Column) -> Column:
+        spaced = raw.rlike(f"[0-9]{GAP}+[0-9]")
+        grouped = raw.rlike(f"^[+-]?[0-9]{{1,3}}(?:{GAP}+[0-9]{{3}})+(?:[,.][0-9]{{1,2}})?$")
+        return F.when(raw.rlike(r"^[+-]?[0-9]") & (~spaced | grouped), let(F.regexp_replace(raw, GAP, ""), shaped))
+
+    # most cells are words: one look at their first digit or its absence spares the rest
+    return F.when(c.rlike("[0-9]"), let(strip(F.regexp_replace(strip(c), f"(?iu)(?:{CURRENCY})", "")), whole))
 
 
 def numeric_quote(c: Column) -> Column:

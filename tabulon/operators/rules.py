@@ -55,13 +55,13 @@ def requisites(cells: DataFrame) -> DataFrame:
     order = Window.partitionBy(*ROW).orderBy("col")
     c = cells.withColumn("next", F.lead("text").over(order)).withColumn("width", F.count("*").over(Window.partitionBy(*ROW)))
     label, value = label_value(F.col("text"))
-    field = F.lit(None).cast("string")
-    key = normalize_label(F.coalesce(label, F.col("text")))
-    names = sorted(((x.lower(), f) for f, v in REQUISITES.items() for x in v), key=lambda p: (len(p[0]), p))
-    for name, f in names:  # the longest last, so that it decides
-        field = F.when(key == normalize_label(F.lit(name)), f).otherwise(field)
-    c = c.withColumn("field", field).withColumn("value", F.coalesce(value, F.when(label.isNull() & (F.col("width") <= 2), F.col("next"))))
-    return c.where("field is not null").where(strip(F.coalesce("value", F.lit(""))) != "").select("doc_id", "field", strip(F.col("value")).alias("value"), "block", "row", "col")
+    # a fixed vocabulary of some 45 rows; of two fields with one label the longer word decides
+    rows = [(f, n.lower(), len(n)) for f, v in REQUISITES.items() for n in v]
+    names = cells.sparkSession.createDataFrame(rows, "field string, name string, n int").select("field", "n", normalize_label(F.col("name")).alias("key"))
+    names = names.groupBy("key").agg(F.max_by("field", F.struct("n", "field")).alias("field"))
+    c = c.withColumn("label", label).withColumn("own", value).withColumn("key", normalize_label(F.coalesce("label", "text")))
+    c = c.join(F.broadcast(names), "key").withColumn("value", strip(F.coalesce("own", F.when(F.col("label").isNull() & (F.col("width") <= 2), F.col("next")))))
+    return c.where("value <> ''").select("doc_id", "field", "value", "block", "row", "col")
 
 
 def first_values(fields: DataFrame) -> DataFrame:
