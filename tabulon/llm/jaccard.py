@@ -42,10 +42,10 @@ from .shingles import mix, shingle_sets
 SHINGLE, PERCENT = 4, 85
 #: Linked sets may differ in so many times as many shingles as groups are left out.
 LEFT_OUT = 8
-#: So many candidate ids are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: So many tasks of candidates are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Documents, and shingles, of a part of a block.
-BLOCK, BLOCK_SHINGLES = 512, 400_000
+BLOCK, BLOCK_SHINGLES = 1500, 1_500_000
 LEAF = 16
 #: Texts are hashed so many bytes at a time; signatures leave a task in runs of so many rows.
 BYTES, RUN = 1_000_000, 1_000_000
@@ -168,6 +168,19 @@ def pairs_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return got[:, 0], got[:, 1]
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The leading 48 bits of each hash: within a block, two sets of thousands of shingles
+    meet by chance once in about 10^7 pairs of documents, and then count one shingle more."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 2:] = raw
+    return out.view(np.uint64).ravel()
+
+
 class Tree:
     """R-tree over count vectors, packed from the top by the coordinate that varies most."""
 
@@ -321,22 +334,27 @@ def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFr
     sums = materialize(sums.select("block", F.least(parts, F.col("c").cast("int")).alias("parts")), "jaccard-blocks")
     placed = members.join(sums, "block").select("block", "parts", "key", "jk", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
     placed = materialize(placed, "jaccard-members")
-    wanted = placed.select("jk", "key").distinct()
-    ids = wanted.select("jk").distinct()
-    # texts are not shuffled as long as the candidates' ids are few
-    fetched = docs.select("jk", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "jk")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("x"), F.greatest(x, F.col("part")).alias("y"))))
+    tasks = placed.select("block", "key", "jk", "part", pair.alias("p"))
+    # where a part meets another, sides differ
+    one = F.struct("block", "p.x", "p.y", F.when(F.col("part") == F.col("p.x"), 0).otherwise(1).alias("side"))
+    tasks = materialize(tasks.groupBy("jk", "key").agg(F.collect_list(one).alias("tasks")), "jaccard-tasks")
+    # neither texts nor sets are shuffled to meet their tasks as long as these are few
+    few = (tasks.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_ROWS
+    fetched = docs.select("jk", "text").join(F.broadcast(tasks) if few else tasks, "jk").select("text", "key", "tasks")
+    names = ["block", "x", "y", "side", "key", "hashes"]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
         for batch in batches:
-            for _, texts in texts_of(batch.column(0)):
+            for at, texts in texts_of(batch.column(0)):
                 sets = shingle_sets(texts, size)
-                yield pa.RecordBatch.from_arrays([pa.array(hex_keys(set_keys(sets)), pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "hashes"])
+                wanted, places = (batch.column(i).slice(at, len(texts)).to_pylist() for i in (1, 2))
+                out = [(t["block"], t["x"], t["y"], t["side"], k, packed(s)) for s, own, k, ts in zip(sets, hex_keys(set_keys(sets)), wanted, places, strict=True) if own == k for t in ts]
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    found = fetched.select("text").mapInArrow(sets_of, "key string, hashes binary")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("x"), F.greatest(x, F.col("part")).alias("y"))))
-    tasks = placed.select("block", "key", "part", pair.alias("p")).select("block", "key", "part", "p.x", "p.y")
-    # where a part meets itself its rows would come once only; where it meets another, sides differ
-    tasks = tasks.join(found, "key").select("block", "x", "y", F.when(F.col("part") == F.col("x"), 0).otherwise(1).alias("side"), "key", "hashes")
+    tasks = fetched.mapInArrow(sets_of, "block long, x int, y int, side int, key string, hashes binary")
     tasks = tasks.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +371,7 @@ def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFr
                     if rows:
                         yield links()
                     task, rows = (block, x, y), {}
-                rows[key] = (side, np.frombuffer(hashes, np.uint64))
+                rows[key] = (side, unpacked(hashes))
         if rows:
             yield links()
 
