@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,29 +69,32 @@ def with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     a bucket is a borrowed copy (``borrowed``) of the row after it. Rows with equal ids
     are ordered by their text's hash; null ids come last.
 
-    Buckets are ranges of ids with about equally many rows; only the ranges' bounds and
-    each range's first row key go to the driver."""
+    Buckets are ranges of ids with about equally many rows, as many as there are shuffle
+    partitions; only the ranges' bounds and each range's first key go to the driver."""
+    spark = df.sparkSession
     d = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n = max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     marks = d.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 1000).alias("q")).first()["q"] if n > 1 else []
-    marks = sorted(set(marks or ()), reverse=True)
-    bucket = F.lit(len(marks) + 1)  # null ids
-    for i in range(len(marks), -1, -1):
-        bucket = F.when(F.col("id") >= marks[i], i).otherwise(bucket) if i < len(marks) else F.when(F.col("id").isNotNull(), i).otherwise(bucket)
-    d = d.withColumn("bucket", bucket)
-    heads = [r["bucket"] for r in d.select("bucket").distinct().collect()]
-    order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the first follows the last, too
-    # each bucket's head: the row that sorts first; ties in id are settled by the text's hash
+    bounds = -np.array(sorted(set(marks or ()), reverse=True), np.int64)
+
+    @F.pandas_udf("int")
+    def bucket_of(ids: pd.Series) -> pd.Series:
+        """The range of each id, the greatest ids first."""
+        return pd.Series(np.searchsorted(bounds, -ids.to_numpy(), "left").astype(np.int32))
+
     key = F.struct((-F.col("id")).alias("m"), F.sha1(F.encode("text", "utf-8")).alias("h"))
-    firsts = {r["bucket"]: (r["k"]["m"], r["k"]["h"]) for r in d.withColumn("k", key).groupBy("bucket").agg(F.min("k").alias("k")).collect()}
-    lend = F.lit(None).cast("int")
-    for b, (m, h) in firsts.items():
-        same = (F.col("bucket") == b) & (F.sha1(F.encode("text", "utf-8")) == h) & ((F.col("id") == -m) if m is not None else F.col("id").isNull())
-        lend = F.when(same, before[b]).otherwise(lend)
-    to = F.when(lend.isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("x")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("x")), F.struct(lend.alias("b"), F.lit(True).alias("x"))))
-    out = d.select("id", "text", F.explode(to).alias("t")).select(F.col("t.b").alias("bucket"), F.col("t.x").alias("borrowed"), "id", "text")
-    return out
+    known = bucket_of(F.coalesce(F.col("id").cast("long"), F.lit(0)))
+    d = d.withColumn("bucket", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(known))
+    # each bucket's head: the row that sorts first, null ids after all others; ties in id by the text's hash
+    firsts = sorted((r["bucket"], r["k"]["m"], r["k"]["h"]) for r in d.withColumn("k", key).groupBy("bucket").agg(F.min("k").alias("k")).collect())
+    # a row for each bucket: whom its head is lent to (the first follows the last, too)
+    heads = [(b, m, h, firsts[i - 1][0]) for i, (b, m, h) in enumerate(firsts)]
+    heads = spark.createDataFrame(heads, "bucket int, m long, h string, lend int")
+    at_head = F.col("m").eqNullSafe(-F.col("id").cast("long")) & (F.col("h") == F.sha1(F.encode("text", "utf-8")))
+    d = d.join(F.broadcast(heads), "bucket").withColumn("lend", F.when(at_head, F.col("lend")))
+    own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("x"))
+    to = F.when(F.col("lend").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("lend").alias("b"), F.lit(True).alias("x"))))
+    return d.select("id", "text", F.explode(to).alias("t")).select(F.col("t.b").alias("bucket"), F.col("t.x").alias("borrowed"), "id", "text")
 
 
 def compare(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
