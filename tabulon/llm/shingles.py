@@ -38,12 +38,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of all texts (A-Z lower-cased), and how many words each text has."""
+def word_hashes(texts: list[bytes], places: bool = False) -> tuple:
+    """Hash of each word of all texts (A-Z lower-cased), and how many words each text has;
+    if asked for, also (start, end, joined texts) of the words."""
     joined = b" ".join([*texts, b""])
     raw = np.frombuffer(joined, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     gap = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
@@ -52,15 +51,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate(([np.uint64(0)], np.cumsum(value, dtype=np.uint64)))
     words = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _K[4])
     last = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return words, np.diff(np.concatenate(([0], np.searchsorted(start, last))))
-
-
-def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Start and end of each word in the joined texts, and these."""
-    joined = b" ".join([*texts, b""])
-    gap = _SPACE[np.frombuffer(joined, np.uint8)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
-    return edge[0::2], edge[1::2], joined
+    counts = np.diff(np.concatenate(([0], np.searchsorted(start, last))))
+    return (words, counts, (start, end, joined)) if places else (words, counts)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
