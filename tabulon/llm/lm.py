@@ -9,9 +9,9 @@ has it with the rest of a window as context (or all there is).
 
 Counts of words and ids cover all training documents. The attention weights are
 averages of local training: in each round every trainer starts from the same weights,
-takes steps over its share of the training windows and returns its weights. Each block of
-documents gives at most ``SAMPLE`` windows, spread evenly over its training documents, so
-that the sample grows with the corpus. Held-out documents give neither counts nor windows.
+takes steps over its share of the training windows and returns its weights. In each round
+all ids of all training documents pass the trainers. Held-out documents give neither
+counts nor windows.
 
 Documents are dealt to blocks of about ``BLOCK_BYTES`` by a hash. A block asks for the
 counts of its distinct words only; answers return to the block, so that no table of all
@@ -42,7 +42,6 @@ from .tokenfiles import END, encoder
 
 HELD_MODULUS, HELD = 7, 2
 BLOCK_BYTES, RUN_BYTES = 12_000_000, 2_000_000
-SAMPLE = 256
 WINDOW, STRIDE, WIDTH = 32, 24, 16
 OWN, SHARED = 72, 24
 CLASSES = OWN + SHARED
@@ -107,29 +106,24 @@ class Batch:
         return out, sizes
 
 
-def spread(ids: np.ndarray, sizes: np.ndarray, train: np.ndarray, most: int) -> list[list[int]]:
-    """About ``most`` windows of training texts, evenly spread: the id before, then WINDOW ids or fewer."""
-    ends = np.cumsum(sizes)
-    per = np.where(train, -(-sizes // WINDOW), 0)
-    total = int(per.sum())
-    if not total:
-        return []
-    pick = np.unique(np.linspace(0, total - 1, min(most, total)).astype(np.int64))
-    upto = np.cumsum(per)
-    doc = np.searchsorted(upto, pick, "right")
-    begin = ends[doc] - sizes[doc]
-    left = begin + (pick - (upto[doc] - per[doc])) * WINDOW
-    return [[int(ids[s - 1]) if s > b else END, *ids[s : min(s + WINDOW, e)].tolist()] for s, b, e in zip(left.tolist(), begin.tolist(), ends[doc].tolist(), strict=True)]
+def windows_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and lengths of the windows that cut texts, each closed by END, into WINDOW ids or fewer."""
+    ends = np.flatnonzero(ids == END) + 1
+    sizes = np.diff(ends, prepend=0)
+    per = -(-sizes // WINDOW)
+    k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    left = np.repeat(ends - sizes, per) + k * WINDOW
+    return left, np.minimum(WINDOW, np.repeat(ends, per) - left)
 
 
 def gather(table: pa.Table, path: str | None) -> pa.Table:
-    """Of one block: (part, blk, h, n, ids) - words and their training counts, id counts, training windows."""
+    """Of one block: (part, blk, h, n, ids) - words and their training counts, id counts, ids of
+    training texts, two bytes each, in runs of whole texts."""
     held = held_out(table.column("id").to_pylist())
-    hashes, counts, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    hashes, counts, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     n_ids = np.zeros(END + 1, np.int64)
     text = table.column("text").combine_chunks()
     text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-    total = text.nbytes
     for at, texts in texts_of(text, RUN_BYTES):
         b = Batch(texts, path)
         train = ~held[at : at + len(texts)]
@@ -138,23 +132,23 @@ def gather(table: pa.Table, path: str | None) -> pa.Table:
         counts.append(n)
         n_ids += np.bincount(b.ids, np.repeat(n, b.lens), END + 1).astype(np.int64)
         ids, sizes = b.stream()
-        windows += spread(ids, sizes, train, -(-SAMPLE * sum(map(len, texts)) // max(1, total)))
+        if train.any():
+            runs.append(ids[np.repeat(train, sizes)].astype(np.uint16).tobytes())
     n_ids[END] += int((~held).sum())
     hashes.append(np.array([END_HASH]))
     counts.append(np.array([int((~held).sum())]))
     h, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     n = np.bincount(inverse, np.concatenate(counts), len(h)).astype(np.int64)
     seen = np.flatnonzero(n_ids)
-    kept = windows
     blk = table.column("blk")[0].as_py()
-    rows = len(h) + len(seen) + len(kept)
+    rows = len(h) + len(seen) + len(runs)
     return pa.table(
         {
-            "part": pa.array(["words"] * len(h) + ["ids"] * len(seen) + ["windows"] * len(kept), pa.string()),
+            "part": pa.array(["words"] * len(h) + ["ids"] * len(seen) + ["windows"] * len(runs), pa.string()),
             "blk": pa.array(np.full(rows, blk), pa.int32()),
-            "h": pa.array(np.concatenate([h, seen, np.zeros(len(kept), np.int64)])),
-            "n": pa.array(np.concatenate([n, n_ids[seen], np.zeros(len(kept), np.int64)])),
-            "ids": pa.array([None] * (len(h) + len(seen)) + kept, pa.list_(pa.int32())),
+            "h": pa.array(np.concatenate([h, seen, np.arange(len(runs))])),
+            "n": pa.array(np.concatenate([n, n_ids[seen], np.zeros(len(runs), np.int64)])),
+            "ids": pa.array([None] * (len(h) + len(seen)) + runs, pa.binary()),
         }
     )
 
@@ -239,11 +233,15 @@ def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Gradient of the mean loss of targets y (-1: none) after classes x, both (N, WINDOW)."""
     w = unpack(flat)
     X, Q, K, V, A, Z, H = hidden(w, x)
-    D = np.exp(log_softmax(H @ w["U"] + w["b"]))
+    D = H @ w["U"]
+    D += w["b"]
+    D -= D.max(2, keepdims=True)
+    np.exp(D, out=D)
+    D /= D.sum(2, keepdims=True)
     ok = y >= 0
     n, t = np.nonzero(ok)
     D[n, t, y[ok]] -= 1
-    D *= (ok / np.float32(max(1, ok.sum())))[:, :, None].astype(np.float32)
+    D *= (ok / np.float32(max(1, ok.sum())))[:, :, None].astype(D.dtype)
     flat2 = lambda M: M.reshape(-1, M.shape[-1])
     g = {"U": flat2(H).T @ flat2(D), "b": flat2(D).sum(0)}
     dH = D @ w["U"].T
@@ -261,36 +259,61 @@ def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([g[k].ravel() for k in SHAPES]).astype(np.float32)
 
 
+class Adam:
+    """Weights with the state of their steps, which goes on from one run of windows to the next."""
+
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.m, self.v, self.t = flat, np.zeros_like(flat), np.zeros_like(flat), 0
+
+    def step(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.t += 1
+        g = gradient(self.flat, x, y)
+        self.m = 0.9 * self.m + 0.1 * g
+        self.v = 0.99 * self.v + 0.01 * g * g
+        move = np.float32(RATE) * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + np.float32(1e-8))
+        self.flat = (self.flat - move).astype(np.float32)
+
+
 def steps(flat: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
     """One pass of Adam over windows, from weights ``flat``."""
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
+    adam = Adam(flat)
     order = np.random.default_rng(seed).permutation(len(x))
-    for t, at in enumerate(range(0, len(x), BATCH), 1):
+    for at in range(0, len(x), BATCH):
+        pick = order[at : at + BATCH]
+        adam.step(x[pick], y[pick])
+    return adam.flat.astype(np.float32)
+
+
+def pass_over(adam: Adam, ids: np.ndarray, of: np.ndarray, seed: int) -> int:
+    """Steps over all windows of a run of texts; their number."""
+    left, length = windows_of(ids)
+    c = of[ids]
+    before = np.concatenate((of[[END]], c[:-1]))
+    order = np.random.default_rng(seed).permutation(len(left))
+    for at in range(0, len(order), BATCH):
         pick = order[at : at + BATCH]
-        g = gradient(flat, x[pick], y[pick])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        flat = flat - np.float32(RATE) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + np.float32(1e-8))
-    return flat.astype(np.float32)
+        place = np.minimum(left[pick][:, None] + np.arange(WINDOW), len(c) - 1)
+        adam.step(before[place], np.where(np.arange(WINDOW) < length[pick][:, None], c[place], -1))
+    return len(left)
 
 
-def train(windows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Weights after ``ROUNDS`` rounds of local passes over (blk, ids) windows and averaging."""
+def train(runs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Weights after ``ROUNDS`` rounds of local passes over (h, ids) runs and averaging. Runs
+    are read where they were written: a trainer's share is what its task reads."""
     flat = start_weights(vocabulary.log_unigram)
-    dealt = windows.repartition("blk")
     for r in range(ROUNDS):
         start, of, number = flat, vocabulary.of, r
 
         def run(batches: Iterator[pa.RecordBatch], start=start, of=of, number=number) -> Iterator[pa.RecordBatch]:
-            rows = [w for b in batches for w in b.column(1).to_pylist()]
-            if rows:
-                x, y = np.zeros((len(rows), WINDOW), np.int64), np.full((len(rows), WINDOW), -1, np.int64)
-                for i, w in enumerate(rows):
-                    c = of[np.array(w)]
-                    x[i, : len(c) - 1], y[i, : len(c) - 1] = c[:-1], c[1:]
-                got = steps(start, x, y, number)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(got)), pa.int32()), pa.array(got.astype(float) * len(rows)), pa.array(np.full(len(got), len(rows)), pa.int64())], names=["i", "w", "n"])
-
-        got = dealt.mapInArrow(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
+            adam, n = Adam(start), 0
+            for batch in batches:
+                for h, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    n += pass_over(adam, np.frombuffer(ids.as_buffer(), np.uint16), of, number + ROUNDS * h)
+            if n:
+                got = adam.flat
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(got)), pa.int32()), pa.array(got.astype(float) * n), pa.array(np.full(len(got), n), pa.int64())], names=["i", "w", "n"])
+
+        got = runs.mapInArrow(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
         if got.num_rows:
             flat = np.zeros_like(flat)
             flat[got.column("i").to_numpy()] = got.column("w").to_numpy()
@@ -342,7 +365,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     docs = docs.withColumn("blk", F.pmod(F.xxhash64("id", F.length("text")), F.lit(n_blocks)).cast("int"))
-    gathered = docs.groupBy("blk").applyInArrow(lambda t: gather(t, path), "part string, blk int, h long, n long, ids array<int>")
+    gathered = docs.groupBy("blk").applyInArrow(lambda t: gather(t, path), "part string, blk int, h long, n long, ids binary")
     gathered = materialize(gathered, "lm", "part")
     each = Window.partitionBy("h")
     words = gathered.where("part = 'words'").select("blk", "h", "n")
@@ -355,7 +378,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path
     got = gathered.where("part = 'ids'").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
     counts[got.column("h").to_numpy()] = got.column("n").to_numpy()
     vocabulary = Vocabulary(counts)
-    flat = train(gathered.where("part = 'windows'").select("blk", "ids"), vocabulary)
+    flat = train(gathered.where("part = 'windows'").select("h", "ids"), vocabulary)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("id")

@@ -353,6 +353,22 @@ def test_lm_learns():
     assert -np.take_along_axis(p, y[:, :, None], 2)[:, :-1].mean() < 0.6 * math.log(lm.CLASSES)
 
 
+def test_lm_trains_on_all_training_ids(spark, docs, texts, monkeypatch):
+    """As many ids as training texts have pass the trainer, each once as a target in a round."""
+    table = docs.selectExpr("doc_id AS id", "text", "0 AS blk").toArrow()
+    got = lm.gather(table, None)
+    of_part = lambda name: got.filter(np.array(got.column("part").to_pylist()) == name)
+    runs = [np.frombuffer(x, np.uint16) for x in of_part("windows").column("ids").to_pylist()]
+    counts = np.zeros(lm.END + 1, np.int64)
+    counts[of_part("ids").column("h").to_numpy()] = of_part("ids").column("n").to_numpy()
+    assert counts.sum() > 40_000 and (np.bincount(np.concatenate(runs), minlength=lm.END + 1) == counts).all()
+    seen = np.zeros(lm.CLASSES, np.int64)
+    monkeypatch.setattr(lm.Adam, "step", lambda self, x, y: np.add.at(seen, y[y >= 0], 1))
+    of = lm.Vocabulary(counts.astype(float)).of
+    assert sum(lm.pass_over(lm.Adam(np.zeros(1)), r, of, 0) for r in runs) >= counts.sum() / lm.WINDOW
+    assert (seen == np.bincount(of, counts, lm.CLASSES)).all()
+
+
 # ---- op7
 
 
