@@ -5,7 +5,7 @@ in two steps: attention over the ids before it gives the probability of its clas
 counts give its share in the class. Frequent ids are classes of their own; the others
 share classes of about equal weight. One attention layer reads windows of ``WINDOW`` ids;
 windows begin ``STRIDE`` ids apart, and each id is scored once, in the first window that
-has it with the rest of a window as context (or all there is).
+has it: its context is half a window of ids at least, or all there is.
 
 Counts of words and ids cover all training documents. The attention weights are
 averages of local training: in each round every trainer starts from the same weights,
@@ -42,7 +42,7 @@ from .tokenfiles import END, encoder
 
 HELD_MODULUS, HELD = 7, 2
 BLOCK_BYTES, RUN_BYTES = 12_000_000, 2_000_000
-WINDOW, STRIDE, WIDTH = 32, 24, 16
+WINDOW, STRIDE, WIDTH = 32, 16, 16
 OWN, SHARED = 72, 24
 CLASSES = OWN + SHARED
 ROUNDS, BATCH, RATE = 3, 64, 0.01

@@ -369,6 +369,23 @@ def test_lm_trains_on_all_training_ids(spark, docs, texts, monkeypatch):
     assert (seen == np.bincount(of, counts, lm.CLASSES)).all()
 
 
+def test_lm_context_is_half_a_window():
+    """Scores equal those of each id by itself, in the first window of a step of half a window."""
+    rng = np.random.default_rng(1)
+    v = lm.Vocabulary(rng.integers(1, 9, lm.END + 1).astype(float))
+    flat = rng.normal(0, 0.5, len(lm.start_weights(np.zeros(lm.CLASSES, np.float32)))).astype(np.float32)
+    w, half = lm.unpack(flat), lm.WINDOW // 2
+    for n in (20, 48, 57, 200):
+        ids = rng.integers(0, lm.END, n)
+        c = np.concatenate((v.of[[lm.END]], v.of[ids]))
+        want = v.share[ids].sum()
+        for i in range(n):
+            left = max(0, -(-(i + 1 - lm.WINDOW) // half)) * half
+            p = lm.log_softmax(lm.hidden(w, c[None, left : i + 1])[-1] @ w["U"] + w["b"])
+            want += p[0, -1, v.of[ids[i]]]
+        assert abs(lm.log10_scores(ids, np.array([n]), v, flat)[0] - want / math.log(10)) < 1e-2
+
+
 # ---- op7
 
 
