@@ -397,11 +397,12 @@ def similarity_components(spark, sf_dir):
 
 @query()
 def grouped_partition(spark, sf_dir):
-    """Splits without leaks: a group of similar documents is in one split. The greedy choice
-    is sequential over groups; it runs on their sizes, one row for each group."""
+    """Splits without leaks: a group of similar or equal documents is in one split. The greedy
+    choice is sequential over groups; it runs on their sizes, one row for each group."""
     docs = table(spark, sf_dir, "documents")
     pairs = U.similar_pairs(K.stage(U.shingles(docs), "shingles"))
-    roots = U.connected(pairs, docs.select(F.col("doc_id").alias("id")))
+    edges = pairs.select("a", "b").unionByName(U.same_texts(docs))
+    roots = U.connected(edges, docs.select(F.col("doc_id").alias("id")))
     sizes = [(str(r["root"]), r["n"]) for r in roots.groupBy("root").agg(F.count("*").alias("n")).toLocalIterator()]
     n = sum(s for _, s in sizes)
     split = U.greedy_partition(sizes, min(50, max(1, n // 10)))

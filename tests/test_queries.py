@@ -46,6 +46,13 @@ def test_partition_has_no_leaks(spark):
     assert {"train", "val", "test"} == set(split.values())
 
 
+def test_partition_keeps_short_copies_together(spark, tmp_path):
+    rows = [(1, "ab cd"), (2, ""), (3, "AB  cd."), (4, None), (5, "ab ce"), (6, "n 12"), (7, "n 13"), (8, "n 12")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.root for r in plans.QUERIES["grouped_partition"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 3: 1, 2: 2, 4: 2, 5: 5, 6: 6, 8: 6, 7: 7}
+
+
 def test_greedy_partition_is_order_free():
     from tabulon.operators.dedup import greedy_partition
 
