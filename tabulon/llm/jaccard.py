@@ -168,19 +168,6 @@ def pairs_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return got[:, 0], got[:, 1]
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """The leading 48 bits of each hash: within a block, two sets of thousands of shingles
-    meet by chance once in about 10^7 pairs of documents, and then count one shingle more."""
-    return hashes.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, 2:] = raw
-    return out.view(np.uint64).ravel()
-
-
 class Tree:
     """R-tree over count vectors, packed from the top by the coordinate that varies most."""
 
@@ -350,7 +337,7 @@ def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFr
             for at, texts in texts_of(batch.column(0)):
                 sets = shingle_sets(texts, size)
                 wanted, places = (batch.column(i).slice(at, len(texts)).to_pylist() for i in (1, 2))
-                out = [(t["block"], t["x"], t["y"], t["side"], k, packed(s)) for s, own, k, ts in zip(sets, hex_keys(set_keys(sets)), wanted, places, strict=True) if own == k for t in ts]
+                out = [(t["block"], t["x"], t["y"], t["side"], k, s.tobytes()) for s, own, k, ts in zip(sets, hex_keys(set_keys(sets)), wanted, places, strict=True) if own == k for t in ts]
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
@@ -371,7 +358,7 @@ def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFr
                     if rows:
                         yield links()
                     task, rows = (block, x, y), {}
-                rows[key] = (side, unpacked(hashes))
+                rows[key] = (side, np.frombuffer(hashes, np.uint64))
         if rows:
             yield links()
 

@@ -192,6 +192,18 @@ def test_jaccard_planted(spark, odd_docs, monkeypatch):
     assert jaccard.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_jaccard_counts_whole_hashes(spark):
+    """Two words whose hashes meet in 48 bits: 11 words in common of 15 do not link."""
+    one, other = "a7224b", "ea0fb0"
+    h = [int(x[0]) for x in shingles.shingle_sets([one.encode(), other.encode()], 1)]
+    assert h[0] != h[1] and h[0] >> 16 == h[1] >> 16
+    group = lambda w: (int(shingles.shingle_sets([w.encode()], 1)[0][0]) >> 32) * 5 >> 32
+    a, b = [w for w in (f"z{i}" for i in range(50)) if group(w) == group(one)][:2]
+    rows = [(i, " ".join([*(f"c{j}" for j in range(11)), *w])) for i, w in ((1, (one, a)), (2, (other, b)))]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1).collect())
+    assert got == components(rows, 1, 85) == {(1, 13, 1): 1, (2, 13, 2): 1}
+
+
 def test_tree_bound_is_safe():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 80)).astype(np.uint64) * np.uint64(2**55)) for _ in range(150)]
