@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 300_000
-ROWS = 2000
+from .common import in_batches
+
+CACHE_PIECES = 100_000
+ROWS = 500
 
 
 def byte_letters() -> list[str]:
@@ -257,7 +259,7 @@ def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
                     cols.append(pa.array([np.array(x.split(), np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return in_batches(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), run, schema)
 
 
 def op5_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,12 @@ see, single-evaluation of sub-expressions and the word definition."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 def workspace(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-    Only where that is unset, as in local tests, a temporary folder is taken."""
+    Only where that is unset and all runs in one process, as in tests, a temporary folder is taken."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -64,6 +69,32 @@ def _release_all() -> None:
             release(spark)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` whose batches are small and whose worker gives memory back at its
+    task's end: workers are kept, and an idle one should not hold what its last task took.
+    The session's limit on a batch's bytes is lowered, unless it was set to less."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_BYTES).removesuffix("b")) > 8 << 20:
+        conf.set(BATCH_BYTES, str(8 << 20))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, evaluated once however often ``body`` uses it. (The
     optimizer copies a projected expression into each use inside a lambda.)"""

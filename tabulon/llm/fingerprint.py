@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .shingles import shingle_sets
 
 SHINGLE = 5
@@ -119,7 +120,7 @@ def compare(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 if todo:
                     yield _rows(todo, id_col, part.column(2).type)
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def _rows(todo: list[tuple], id_col: str, kind: pa.DataType) -> pa.RecordBatch:

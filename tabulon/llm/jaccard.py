@@ -6,24 +6,32 @@ points' coordinate minima. An R-tree over the points bounds whole boxes of docum
 their greatest coordinates, so that most pairs are never looked at; pairs that survive
 box and point bounds are verified on their hash sets.
 
-A tree must lie in one task's memory, so that blocks of documents come first, by an exact
-argument on the same groups. In sets of a band of sizes, linked sets differ in at most
+A tree must lie in one task's memory, so that blocks of documents come first, by exact
+arguments on the same hashes. A set that links has all but ``100 - percent`` in a hundred of
+its shingles in other sets. In a part of the hash range, twice as large, every shingle is
+looked up: sets with more shingles of their own than that are alone, and go no further.
+Shingles that a run of texts has twice are counted there and sent on once, so that very
+frequent ones do not gather in a task.
+
+The sets left are told apart by groups. In sets of a band of sizes, linked sets differ in at most
 ``k`` shingles; of ``k + 1 + 2 * d`` groups at least ``1 + 2 * d`` are then equal in both.
 Each document leaves out its ``d`` smallest groups, which say least; one equal group at
 least is left in both. Documents that share one are joined to coarse blocks; a block
-beyond ``BLOCK`` documents
-is cut at random, and each pair of its parts is one task with two trees. Within a task,
-pairs that links already join are skipped: the result is components, and no component
-is lost. Equal sets are one class from the start and never compared.
+beyond ``BLOCK`` documents is cut at random. Each part is one task with a tree, joined with
+itself and with a few documents of the whole block, so that most of a large group is one
+component already. Only documents outside the block's largest component meet the parts
+of all others then, each pair of parts in one task with two trees. Within a task, pairs
+that links already join are skipped: the result is components, and no component is lost.
+Equal sets are one class from the start and never compared.
 
 Work grows with the square only in blocks of many thousand different texts that share
-much of their text; each task stays bounded.
+most of their text without being linked; each task stays bounded.
 
 Defined results: words are ASCII lower-cased; a text of fewer words than a shingle is one
 shingle; null or empty text has no shingle, is linked with nothing and is its own component;
 null ids are allowed (a component's id is its least non-null id); repeated rows are linked
 with each other; an empty table gives an empty result; columns other than id and text are
-only carried by ``keep_one``.
+only carried by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_batches, materialize
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -47,8 +55,12 @@ BROADCAST_ROWS = 500_000
 #: Documents, and shingles, of a part of a block.
 BLOCK, BLOCK_SHINGLES = 1500, 1_500_000
 LEAF = 16
-#: Texts are hashed so many bytes at a time; signatures leave a task in runs of so many rows.
-BYTES, RUN = 1_000_000, 1_000_000
+#: Texts are hashed so many bytes at a time; hashes and signatures leave a task in runs of so many.
+BYTES, RUN = 1_000_000, 600_000
+#: Hashes that are looked up come to a task so many at once, and are compared in so many ranges.
+SHARD, RANGES = 6_000_000, 8
+#: A block of several parts has about so many documents that each part compares with.
+PIVOTS = 16
 
 
 def bands(limit: int = 1 << 40) -> np.ndarray:
@@ -75,12 +87,13 @@ def overlap(a, b, percent: int):
 def texts_of(column: pa.Array, size: int = BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) of runs of rows with about ``size`` bytes; null is empty."""
     at, out, n = 0, [], 0
-    for i, t in enumerate(column.cast(pa.large_binary()).to_pylist()):
-        out.append(t or b"")
-        n += len(out[-1])
-        if n >= size:
-            yield at, out
-            at, out, n = i + 1, [], 0
+    for start in range(0, len(column), 64):  # few copies of texts at a time
+        for i, t in enumerate(column.slice(start, 64).cast(pa.large_binary()).to_pylist(), start):
+            out.append(t or b"")
+            n += len(out[-1])
+            if n >= size:
+                yield at, out
+                at, out, n = i + 1, [], 0
     if out:
         yield at, out
 
@@ -243,22 +256,182 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
     return out
 
 
+def looked_up(percent: int) -> np.uint64:
+    """Hashes below this are looked up: of twice as many shingles as a linked set may have of its own."""
+    return np.uint64(min(2**64 - 1, 2**64 * 2 * (100 - percent) // 100))
+
+
+def tags_of(keys: np.ndarray) -> np.ndarray:
+    """A number that stands for a set's key; 0 stands for no set."""
+    tags = keys[:, 0].view(np.int64)
+    return np.where(tags == 0, 1, tags)
+
+
 def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, jk, n, key, nodes) of each row of docs (id, jk, text)."""
+    """(id, th, jk, n, s, tag, key, nodes) of each row of docs (id, th, jk, text); ``s`` is
+    the number of hashes that are looked up."""
     kind = docs.schema["id"].dataType.simpleString()
+    names = ["id", "th", "jk", "n", "s", "tag", "key", "nodes"]
+    below = looked_up(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in texts_of(batch.column(2)):
+            for at, texts in texts_of(batch.column(3)):
                 sets = shingle_sets(texts, size)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
+                low = np.fromiter((np.searchsorted(s, below) for s in sets), np.int64, len(sets))
                 keys = set_keys(sets)
                 own, nxt = schemes_of(np.maximum(n, 1), percent)
                 first, second = node(keys, own), node(keys, nxt)
                 nodes = [[] if not c else [f] if s < 0 else [f, g] for c, f, g, s in zip(n.tolist(), first.tolist(), second.tolist(), nxt.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets)), pa.array(n), pa.array(hex_keys(keys), pa.string()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "jk", "n", "key", "nodes"])
+                given = [batch.column(i).slice(at, len(sets)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*given, pa.array(n), pa.array(low), pa.array(tags_of(keys)), pa.array(hex_keys(keys), pa.string()), pa.array(nodes, pa.list_(pa.int64()))], names=names)
+
+    return in_batches(docs.select("id", "th", "jk", "text"), run, f"id {kind}, th long, jk long, n long, s long, tag long, key string, nodes array<long>")
+
+
+def requests(tags: np.ndarray, sets: list[np.ndarray], shards: int, below: np.uint64) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(shard, low halves of hashes, tags, hashes of each tag) of a run of sets, of hashes that
+    are looked up. Hashes that
+    two sets of the run have go to their shard once, with tag 0, and are counted for
+    these sets in the row of shard -1, whose hashes are empty."""
+    tags, first = np.unique(tags, return_index=True)
+    parts = [sets[i] for i in first.tolist()]
+    h = np.concatenate([np.zeros(0, np.uint64), *parts])
+    owner = np.repeat(np.arange(len(tags)), np.fromiter(map(len, parts), np.int64, len(parts)))
+    if not len(h):
+        return
+    order = np.argsort(h)
+    h, owner = h[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    times = np.diff(np.append(start, len(h)))
+    count = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(tags))
+    some = np.flatnonzero(count)
+    if len(some):
+        yield -1, b"", tags[some].tobytes(), count[some].astype(np.uint32).tobytes()
+    h, owner = h[start], np.where(times > 1, len(tags), owner[start])
+    shard = ((h >> np.uint64(32)) * np.uint64(shards) // ((below >> np.uint64(32)) + np.uint64(1))).astype(np.int64)  # ascends
+    place = shard * (len(tags) + 1) + owner
+    order = np.argsort(place, kind="stable")
+    place, low = place[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    of, who = np.divmod(place[start], len(tags) + 1)
+    times = np.diff(np.append(start, len(place))).astype(np.uint32)
+    named = np.append(tags, 0)[who]
+    cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        end = start[j] if j < len(start) else len(low)
+        yield int(of[i]), low[start[i] : end].tobytes(), named[i:j].tobytes(), times[i:j].tobytes()
+
+
+def answers(rows: list[tuple]) -> Iterator[tuple[int, bytes, bytes]]:
+    """(run, tags, counts) for the requests (run, hashes, tags, times) to one shard: how many
+    hashes of each tag another set has. A set that is in several runs is told in one."""
+    step = -(-(1 << 32) // RANGES)
+    for low in range(0, 1 << 32, step):  # a range at a time needs so much less memory
+        parts = []
+        for i, r in enumerate(rows):
+            h = np.frombuffer(r[1], np.uint32)
+            at = np.flatnonzero((h >= low) & (h < low + step))
+            ends = np.cumsum(np.frombuffer(r[3], np.uint32))
+            parts.append((h[at], np.frombuffer(r[2], np.int64)[np.searchsorted(ends, at, "right")], np.full(len(at), i, np.int32)))
+        yield from _answers(rows, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _answers(rows: list[tuple], h: np.ndarray, tag: np.ndarray, run: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    if not len(h):
+        return
+    order = np.lexsort((tag, h))
+    h, tag, run = h[order], tag[order], run[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])))
+    h, tag, run = h[new], tag[new], run[new]
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    times = np.diff(np.append(start, len(h)))
+    told = np.repeat(times > 1, times) & (tag != 0)
+    tag, run = tag[told], run[told]
+    order = np.lexsort((tag, run))
+    tag, run = tag[order], run[order]
+    start = np.flatnonzero(np.concatenate((np.full(min(1, len(tag)), True), (tag[1:] != tag[:-1]) | (run[1:] != run[:-1]))))
+    counts, tag, run = np.diff(np.append(start, len(tag))).astype(np.uint32), tag[start], run[start]
+    cuts = np.searchsorted(run, np.arange(len(rows) + 1))
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        yield rows[i][0], tag[cuts[i] : cuts[i + 1]].tobytes(), counts[cuts[i] : cuts[i + 1]].tobytes()
+
+
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, schema, strict=True)], names=[n for n, _ in schema])
+
+
+def shared(docs: DataFrame, size: int, percent: int, shards: int) -> DataFrame:
+    """(tag, c): of the hashes of each set that are looked up, how many another set has, at
+    least; sets without one have no row. Requests go from runs of texts to shards of the
+    hash range, answers back to runs, both packed; what comes out grows with the sets."""
+    asking = [("shard", pa.int32()), ("run", pa.int64()), ("h", pa.binary()), ("tags", pa.binary()), ("times", pa.binary())]
+    telling = [("run", pa.int64()), ("tags", pa.binary()), ("times", pa.binary())]
+    below = looked_up(percent)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            if held:
+                tags = np.concatenate([t for t, _ in held])
+                run = int(mix(np.add.reduce(mix(tags.view(np.uint64)), keepdims=True)).view(np.int64)[0])
+                rows = requests(tags, [s for _, x in held for s in x], shards, below)
+                yield _batch([(shard, run, *row) for shard, *row in rows], asking)
+            held.clear()
+            count = 0
+
+        for batch in batches:
+            for _, texts in texts_of(batch.column(0)):
+                sets = shingle_sets(texts, size)
+                held.append((tags_of(set_keys(sets)), [s[: np.searchsorted(s, below)] for s in sets]))
+                count += sum(map(len, held[-1][1]))
+                if count >= RUN:
+                    yield from flush()
+        yield from flush()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard == -1:  # what a run has found itself
+                    yield _batch([(row[0], row[2], row[3])], telling)
+                    continue
+                if shard != at and rows:
+                    yield _batch(list(answers(rows)), telling)
+                    rows = []
+                at = shard
+                rows.append(row)
+        if rows:
+            yield _batch(list(answers(rows)), telling)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def sums() -> pa.RecordBatch:
+            tag, of = np.unique(np.concatenate([np.frombuffer(t, np.int64) for t, _ in rows]), return_inverse=True)
+            c = np.bincount(of, np.concatenate([np.frombuffer(n, np.uint32) for _, n in rows]), len(tag))
+            return pa.RecordBatch.from_arrays([pa.array(tag), pa.array(c.astype(np.int64))], names=["tag", "c"])
+
+        for batch in batches:
+            for run, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if run != at and rows:
+                    yield sums()
+                    rows = []
+                at = run
+                rows.append(row)
+        if rows:
+            yield sums()
 
-    return docs.select("id", "jk", "text").mapInArrow(run, f"id {kind}, jk long, n long, key string, nodes array<long>")
+    asked = in_batches(docs.select("text"), ask, "shard int, run long, h binary, tags binary, times binary")
+    # rows of shard -1 only pass through: they are dealt by their run
+    asked = asked.repartition(F.when(F.col("shard") < 0, F.col("run")).otherwise(F.col("shard").cast("long"))).sortWithinPartitions("shard")
+    told = in_batches(asked, answer, "run long, tags binary, times binary").repartition("run").sortWithinPartitions("run")
+    return in_batches(told, add, "tag long, c long").groupBy("tag").agg(F.sum("c").alias("c"))
 
 
 def coarse(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -310,25 +483,57 @@ def coarse(docs: DataFrame, size: int, percent: int) -> DataFrame:
             x, y = pairs_of(x, y)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    rows = docs.select("text").mapInArrow(emit, ROWS)
-    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(chain, "a long, b long")
+    rows = in_batches(docs.select("text"), emit, ROWS)
+    return in_batches(rows.repartition("sig").sortWithinPartitions("sig"), chain, "a long, b long")
+
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """(block, c, parts) of docs (block, n)."""
+    sums = docs.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    parts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES))
+    return sums.select("block", "c", F.least(parts, F.col("c")).cast("int").alias("parts"))
+
+
+def _part(parts: str) -> Column:
+    return F.pmod(F.xxhash64("key"), F.col(parts)).cast("int")
+
+
+def _upto(n: str) -> Column:
+    return F.sequence(F.lit(0), F.col(n) - 1)
 
 
 def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between the keys of members (block, key, jk, n) that span the components."""
-    sums = members.groupBy("block").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
-    parts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
-    sums = materialize(sums.select("block", F.least(parts, F.col("c").cast("int")).alias("parts")), "jaccard-blocks")
-    placed = members.join(sums, "block").select("block", "parts", "key", "jk", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    sums = materialize(_parts(members).where("c > 1"), "jaccard-blocks")
+    placed = members.join(sums, "block").select("block", "c", "parts", "key", "jk", "n", _part("parts").alias("part"))
     placed = materialize(placed, "jaccard-members")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("x"), F.greatest(x, F.col("part")).alias("y"))))
-    tasks = placed.select("block", "key", "jk", "part", pair.alias("p"))
+    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("key", F.lit(1)), F.col("c")) < PIVOTS)
+    where = F.when(pivot, _upto("parts")).otherwise(F.array("part"))
+    tasks = placed.select("jk", "key", "block", F.explode(where).alias("x")).select("jk", "key", F.struct("block", "x", F.col("x").alias("y"), F.lit(0).alias("side")).alias("t"))
+    links = materialize(meet(docs, tasks, size, percent), "jaccard-links")
+    if not sums.where("parts > 1").limit(1).count():
+        return links
+    labels = components(links, "jaccard-inner").withColumnRenamed("node", "key")
+    large = placed.where("parts > 1").select("block", "key", "jk", "n").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    large = materialize(large, "jaccard-large")
+    most = large.groupBy("block", "component").agg(F.count("*").alias("c")).groupBy("block").agg(F.max(F.struct("c", "component")).alias("m")).select("block", F.col("m.component").alias("main"))
+    large = materialize(large.join(materialize(most, "jaccard-main"), "block").withColumn("inner", F.col("component") == F.col("main")), "jaccard-sides")
+    inner = _parts(large.where("inner")).select("block", F.col("parts").alias("p"))
+    outer = _parts(large.where("not inner")).select("block", F.col("parts").alias("q"))
+    cut = large.select("block", "key", "jk", "inner").join(materialize(inner.join(outer, "block"), "jaccard-cut"), "block")
+    # parts of the largest component are 0 to p - 1, those of the others p to p + q - 1
+    own = F.when(F.col("inner"), _part("p")).otherwise(F.col("p") + _part("q"))
+    other = F.when(F.col("inner"), F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))
+    pairs = cut.select("jk", "key", "block", own.alias("own"), F.explode(other).alias("other"))
     # where a part meets another, sides differ
-    one = F.struct("block", "p.x", "p.y", F.when(F.col("part") == F.col("p.x"), 0).otherwise(1).alias("side"))
-    tasks = materialize(tasks.groupBy("jk", "key").agg(F.collect_list(one).alias("tasks")), "jaccard-tasks")
-    # neither texts nor sets are shuffled to meet their tasks as long as these are few
-    few = (tasks.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_ROWS
-    fetched = docs.select("jk", "text").join(F.broadcast(tasks) if few else tasks, "jk").select("text", "key", "tasks")
+    task = F.struct("block", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return links.unionByName(meet(docs, pairs.select("jk", "key", task.alias("t")), size, percent))
+
+
+def meet(docs: DataFrame, tasks: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the keys that rows (jk, key, t) of ``tasks`` bring together."""
+    tasks = materialize(tasks.groupBy("jk", "key").agg(F.collect_list("t").alias("tasks")), "jaccard-tasks")
+    fetched = docs.select("jk", "text").join(tasks, "jk").select("text", "key", "tasks")
     names = ["block", "x", "y", "side", "key", "hashes"]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +546,7 @@ def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFr
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    tasks = fetched.mapInArrow(sets_of, "block long, x int, y int, side int, key string, hashes binary")
+    tasks = in_batches(fetched, sets_of, "block long, x int, y int, side int, key string, hashes binary")
     tasks = tasks.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,35 +567,69 @@ def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFr
         if rows:
             yield links()
 
-    return tasks.mapInArrow(run, "a string, b string")
+    return in_batches(tasks, run, "a string, b string")
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, class) of each row; ``class`` names its shingle set."""
+def _classes(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, th, n, key) of df, and (key, first) of each set: the least row (``absent``
+    id, id, hash of text) of its component."""
     if percent < 75:
         raise ValueError("linked sets must differ by less than the step between bands: percent is 75 at least")
     text = F.col(f"`{text_col}`")
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text)).alias("jk"), text.alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text)).alias("jk"), text.alias("text"))
     rows = materialize(classes(docs, size, percent), "jaccard-rows")
-    kinds = materialize(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.min("jk").alias("jk"), F.first("n").alias("n"), F.first("nodes").alias("nodes")), "jaccard-classes")
-    blocks = components(coarse(docs, size, percent), "jaccard-coarse")
-    members = kinds.select("key", "jk", "n", F.explode("nodes").alias("node")).join(blocks, "node").select(F.col("component").alias("block"), "key", "jk", "n")
-    labels = components(fine(docs, members, size, percent), "jaccard-fine")
-    named = kinds.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    named = materialize(named, "jaccard-named")
-    least = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "jaccard-least")
-    ids = materialize(named.join(least, "component").select("key", "component_id"), "jaccard-ids")
-    out = rows.join(ids, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("key").alias("class"))
+    least = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "th")).alias("first")
+    kinds = rows.where("n > 0").groupBy("key").agg(least, F.min("jk").alias("jk"), *[F.first(c).alias(c) for c in ("n", "s", "tag", "nodes")])
+    kinds = materialize(kinds, "jaccard-classes")
+    hashes = kinds.agg(F.sum("s")).first()[0] or 0
+    found = materialize(shared(docs, size, percent, max(1, -(-hashes // SHARD))), "jaccard-shared")
+    own = F.col("s") - F.coalesce(F.col("c"), F.lit(0))
+    alive = kinds.join(found, "tag", "left").where(own <= F.floor((100 - percent) * F.col("n") / 100)).select("key", "jk", "n", "nodes")
+    alive = materialize(alive, "jaccard-alive")
+    # of texts that may link, one of each set is read from here on; where these are few, no text is shuffled
+    wanted = alive.select("jk").distinct()
+    few = alive.count() <= BROADCAST_ROWS
+    near = materialize(docs.select("jk", "text").join(F.broadcast(wanted) if few else wanted, "jk"), "jaccard-near")
+    blocks = components(coarse(near, size, percent), "jaccard-coarse")
+    members = alive.select("key", "jk", "n", F.explode("nodes").alias("node")).join(blocks, "node").select(F.col("component").alias("block"), "key", "jk", "n")
+    labels = components(fine(near, members, size, percent), "jaccard-fine")
+    # sets in no link are their own component, and need no further shuffle
+    named = materialize(kinds.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left"), "jaccard-named")
+    tied = named.where("component is not null")
+    heads = materialize(tied.groupBy("component").agg(F.min("first").alias("first")), "jaccard-least")
+    tied = tied.select("key", "component").join(heads, "component").select("key", "first")
+    ids = materialize(tied.unionByName(named.where("component is null").select("key", "first")), "jaccard-ids")
+    return rows, ids
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id, class) of each row; ``class`` names its shingle set."""
+    rows, ids = _classes(df, id_col, text_col, size, percent)
+    out = rows.select("id", "n", "key").join(ids.select("key", "first.id").withColumnRenamed("id", "least"), "key", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), F.col("key").alias("class"))
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` without those whose component has a smaller id. Rows with one id
-    are one document and stay or go together; rows without an id stay."""
-    found = near_duplicates(df, id_col=id_col, text_col=text_col, size=size, percent=percent)
-    gone = materialize(found.where("n_shingles > 0").where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "jaccard-gone")
-    kept = df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    """One row of ``df`` of each component: that with the least id, of equal ids that with
+    the least hash of its text, of equal rows any; null ids come last. Rows without a
+    shingle all stay."""
+    rows, ids = _classes(df, id_col, text_col, size, percent)
+    held = rows.where("n > 0").groupBy("key", "id", "th").agg(F.count("*").alias("times"))
+    first = F.struct(F.col("id").isNull().alias("absent"), "id", "th")
+    held = held.join(ids, "key").select("id", "th", "times", first.eqNullSafe(F.col("first")).alias("stays"))
+    # of each (id, text) that does not stay as it is: whether one row of it stays
+    touched = materialize(held.where("not stays or times > 1").select("id", "th", "stays").distinct(), "jaccard-touched")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    carried = df.select(row, F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"))
+    few = touched.count() <= BROADCAST_ROWS
+    side = touched.select(F.col("id").alias("i"), F.col("th").alias("t"), "stays")
+    met = carried.join(F.broadcast(side) if few else side, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
+    kept = met.where("stays is null").select("row.*")
+    repeated = touched.where("stays").limit(1).count() > 0
+    if not repeated:
+        return kept
+    one = met.where("stays").groupBy("id", "th").agg(F.first("row").alias("row")).select("row.*")
+    return kept.unionByName(one)
 
 
 def op3_count_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

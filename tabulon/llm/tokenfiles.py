@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import in_batches, materialize
 
 #: Identifiers in a block.
 BLOCK = 1 << 18
@@ -80,7 +80,7 @@ def write_tokens(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         n = len(data)
         return pa.RecordBatch.from_arrays([pa.array(["tokens"] * n, pa.string()), pa.array([file] * n, pa.int64()), pa.array(range(block, block + n), pa.int64()), pa.array(data, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64() if kind.simpleString() == "bigint" else None)], names=["part", "file", "block", "data", "place", "doc"])
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "part string, file long, block long, data binary, place long, doc long")
+    rows = in_batches(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), run, "part string, file long, block long, data binary, place long, doc long")
     return materialize(rows, "tokens", "part")
 
 
@@ -122,7 +122,7 @@ def scan(blocks: DataFrame, end: int = END) -> DataFrame:
             types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["file", "block", "size", "head", "inner", "tail"])
 
-    return blocks.select("file", "block", "data").mapInArrow(run, f"file {kind}, block long, size long, head long, inner array<long>, tail long")
+    return in_batches(blocks.select("file", "block", "data"), run, f"file {kind}, block long, size long, head long, inner array<long>, tail long")
 
 
 def counts(blocks: DataFrame, end: int = END) -> DataFrame:

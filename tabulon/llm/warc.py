@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import in_batches, materialize, new_path
 
 SEGMENT = 1 << 20
 END = "\r\n\r\n"
@@ -103,7 +103,7 @@ def rid_of(value: str | None) -> int | None:
 
 def write_archive(planned: DataFrame, path: str) -> None:
     """Write (id, url, payload, refers_to) rows as gzipped WARC files under ``path``."""
-    rows = planned.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
+    rows = in_batches(planned, records, "record binary").select(F.col("record").cast("string").alias("value"))
     rows.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
@@ -213,7 +213,7 @@ def read_archive(spark: SparkSession, path: str, *, keep_data: bool = True) -> D
     """The chunk table of the archives under ``path``. Gzipped files are not split, so
     that each is parsed as one stream; memory is one piece of one record."""
     pieces = spark.read.option("lineSep", END).text(path).select(F.col("value").cast("binary").alias("value"))
-    return pieces.mapInArrow(chunks(keep_data), CHUNKS)
+    return in_batches(pieces, chunks(keep_data), CHUNKS)
 
 
 def op1_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
