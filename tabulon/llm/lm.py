@@ -1,26 +1,32 @@
 """Language-model scoring with a small causal self-attention model, trained in numpy.
 
-Words are cut into subword ids of a public vocabulary. The model predicts the next id
-in two steps: attention over the ids before it gives the probability of its class, and
-counts give its share in the class. Frequent ids are classes of their own; the others
-share classes of about equal weight. One attention layer reads windows of ``WINDOW`` ids;
-windows begin ``STRIDE`` ids apart, and each id is scored once, in the first window that
-has it: its context is half a window of ids at least, or all there is.
-
-Counts of words and ids cover all training documents. The attention weights are
-averages of local training: in each round every trainer starts from the same weights,
-takes steps over its share of the training windows and returns its weights. In each round
-all ids of all training documents pass the trainers. Held-out documents give neither
-counts nor windows.
-
-Documents are dealt to blocks of about ``BLOCK_BYTES`` by a hash. A block asks for the
-counts of its distinct words only; answers return to the block, so that no table of all
-words is broadcast. To the driver go: two sums, the counts of ids (as many as the
-vocabulary has) and the averaged weights.
+Words are cut into subword ids of a public vocabulary; the model predicts each next id.
+Its inputs and outputs are ``SLOTS`` slots: each of the ``OWN`` most frequent ids has a slot
+of its own, the rare others share the rest, of about equal weight, and have a share of
+their slot's probability by their counts. A slot's probability is that of its group times
+its own in the group; groups are ranges of about equally frequent slots. One attention layer
+reads windows of ``WINDOW`` ids; the products of query and key weights and of value and output
+weights are trained as one matrix each. Windows begin ``STRIDE`` ids apart, and each id is
+scored once: its context is half a window of ids at least, or all there is.
+
+Counts of words and ids cover all training documents. The model starts as the smoothed
+counts of ids. Weights are averages of local training: documents are dealt to blocks of about
+``BLOCK_BYTES`` by a hash of id and text; in each of ``ROUNDS`` rounds a trainer of each
+block starts from the same weights, takes steps over its next share of the block's
+training windows and returns its weights. All ids of all training documents pass the
+trainers once. Held-out documents give neither counts nor windows.
+
+A block is put in order by id and text, and sums of weights are taken in the order of
+blocks, so that neither the order of rows nor the number of partitions changes a score.
+
+A block asks for the counts of its distinct words only; answers return to the block, so
+that no table of all words is broadcast. To the driver go: two sums, the counts of ids (as
+many as the vocabulary has) and at most ``FAN`` sums of weights.
 
 Defined results: null or empty text is one end token; ties do not arise; repeated rows
-count and are scored each; an empty table gives an empty result; null ids are hashed as
-the text "" and are in training or held out with it; other columns are not read.
+count and are scored each (rows equal in id and text are in one block); an empty table
+gives an empty result; null ids are hashed as the text "" and are in training or held out
+with it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,64 +39,95 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import give_back, in_batches, materialize
 from .jaccard import texts_of
 from .shingles import word_hashes
 from .tokenfiles import END, encoder
 
 HELD_MODULUS, HELD = 7, 2
 BLOCK_BYTES, RUN_BYTES = 12_000_000, 2_000_000
+#: Text whose words' counts are added up in one task.
+SHARD_BYTES = 48_000_000
 WINDOW, STRIDE, WIDTH = 32, 16, 16
-OWN, SHARED = 72, 24
-CLASSES = OWN + SHARED
-ROUNDS, BATCH, RATE = 3, 64, 0.01
-CACHE = 120_000
+GROUPS, MEMBERS, SHARED = 32, 64, 64
+SLOTS = GROUPS * MEMBERS
+OWN = SLOTS - SHARED
+ROUNDS, BATCH, RATE = 4, 256, 0.025
+#: Windows that are scored at once; sums of weights that one task adds up.
+SCORED, FAN = 512, 32
+#: Words whose ids a worker keeps.
+CACHE = 1_000_000
 #: The end's place among the hashes of words; no word has it.
-END_HASH = np.int64(-(2**63))
-
-#: Subword ids of words: two generations, so that frequent words stay.
-_ids: dict[int, tuple] = {}
-_older: dict[int, tuple] = {}
+END_HASH = np.uint64(2**64 - 1)
 
 
 def held_out(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(("" if i is None else str(i)).encode()) % HELD_MODULUS == HELD for i in ids], bool)
 
 
-def subwords(hashes: np.ndarray, get, path: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each distinct word, one after the other, and their number; ``get(i)`` gives a word's bytes."""
-    if len(_ids) > CACHE:
-        _older.clear()
-        _older.update(_ids)
-        _ids.clear()
-    enc = None
-    out = []
-    for i, h in enumerate(hashes.tolist()):
-        x = _ids.get(h)
-        if x is None:
-            x = _older.get(h)
-            if x is None:
-                enc = enc or encoder(path)
-                x = tuple(enc.encode_ordinary(" " + get(i).decode("utf-8", "replace")))
-            _ids[h] = x
-        out.append(x)
-    return np.fromiter((y for x in out for y in x), np.int64), np.fromiter(map(len, out), np.int64, len(out))
-
-
-def lowered(text: bytes) -> bytes:
-    return text.lower()  # of bytes: A-Z only
+class WordIds:
+    """Subword ids of words by hash, in arrays; when there are too many, those that the last texts had stay."""
+
+    def __init__(self, path: str | None):
+        self.enc = encoder(path)
+        self.sizes = np.fromiter((len(self.enc.decode_single_token_bytes(i)) for i in range(END)), np.int64, END)
+        self.hash, self.at, self.len = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint16)
+
+    def get(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each of the ascending hashes' words, one after the other, and their number;
+        the words lie in ``raw``."""
+        found = np.minimum(np.searchsorted(self.hash, hashes), max(0, len(self.hash) - 1))
+        new = np.flatnonzero(self.hash[found] != hashes) if len(self.hash) else np.arange(len(hashes))
+        if len(new):
+            ids, lens = self.encode([raw[a:b].lower() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])  # of bytes: A-Z only
+            if len(self.hash) + len(new) > CACHE:
+                keep = np.unique(found)[np.isin(self.hash[np.unique(found)], hashes)] if len(self.hash) else found[:0]
+                self.ids, self.len = self.take(keep), self.len[keep]
+                self.hash, self.at = self.hash[keep], np.cumsum(self.len) - self.len
+            place = np.searchsorted(self.hash, hashes[new])
+            self.hash = np.insert(self.hash, place, hashes[new])
+            self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(lens) - lens)
+            self.len = np.insert(self.len, place, lens)
+            self.ids = np.concatenate([self.ids, ids])
+            found = np.searchsorted(self.hash, hashes)
+        return self.take(found), self.len[found]
+
+    def take(self, places: np.ndarray) -> np.ndarray:
+        n = self.len[places]
+        return self.ids[np.repeat(self.at[places] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each after a blank. No id reaches over a blank, so that all are cut
+        at once and told apart by their lengths; bytes that are no UTF-8 go one by one."""
+        joined = b" " + b" ".join(words)
+        try:
+            ids = np.array(self.enc.encode_ordinary(joined.decode()), np.uint16)
+            lens = np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w) + 1 for w in words]), "right"), prepend=0)
+        except UnicodeDecodeError:
+            each = [self.enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+            ids, lens = np.array([i for x in each for i in x], np.uint16), np.array(list(map(len, each)))
+        return ids, lens
+
+
+_words: dict[str | None, WordIds] = {}
+
+
+def word_ids(path: str | None) -> WordIds:
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
 
 
 class Batch:
-    """The words of some texts: hashes, distinct words and their subword ids."""
+    """The words of some texts: distinct words' hashes and subword ids, and where they are."""
 
     def __init__(self, texts: list[bytes], path: str | None):
-        self.words, self.counts, (start, end, raw) = word_hashes(texts, places=True)
-        self.distinct, first, self.inverse = np.unique(self.words, return_index=True, return_inverse=True)
-        self.ids, self.lens = subwords(self.distinct, lambda i: lowered(raw[start[first[i]] : end[first[i]]]), path)
-        self.ends = np.cumsum(self.lens)
+        words, self.counts, (start, end, raw) = word_hashes(texts, places=True)
+        self.distinct, first, inverse = np.unique(words, return_index=True, return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
+        self.ids, self.lens = word_ids(path).get(self.distinct, start[first], end[first], raw)
 
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END, and the number of ids of each text."""
@@ -98,9 +135,9 @@ class Batch:
         total = np.concatenate(([0], np.cumsum(lens)))
         cut = np.concatenate(([0], np.cumsum(self.counts)))
         sizes = np.diff(total[cut]) + 1
-        out = np.full(int(sizes.sum()), END, np.int64)
+        out = np.full(int(sizes.sum()), END, np.uint16)
         at = np.arange(total[-1])
-        shift = np.repeat((self.ends - self.lens)[self.inverse] - total[:-1], lens)
+        shift = np.repeat((np.cumsum(self.lens) - self.lens)[self.inverse] - total[:-1], lens)
         doc = np.repeat(np.arange(len(self.counts)), np.diff(total[cut]))
         out[at + doc] = self.ids[at + shift]
         return out, sizes
@@ -116,45 +153,107 @@ def windows_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, np.minimum(WINDOW, np.repeat(ends, per) - left)
 
 
-def gather(table: pa.Table, path: str | None) -> pa.Table:
-    """Of one block: (part, blk, h, n, ids) - words and their training counts, id counts, ids of
-    training texts, two bytes each, in runs of whole texts."""
+def in_order(table: pa.Table) -> pa.Table:
+    """Rows (id, th, text) of a block by id and hash of text."""
+    return table.sort_by([("id", "ascending"), ("th", "ascending")])
+
+
+def runs_of(table: pa.Table) -> Iterator[tuple[int, list[bytes]]]:
+    text = table.column("text").combine_chunks()
+    return texts_of(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks), RUN_BYTES)
+
+
+PARTS = "part string, blk int, shard int, h binary, n binary"
+
+
+def gather(table: pa.Table, shards: int, path: str | None) -> pa.Table:
+    """Of one block, rows (part, blk, shard, h, n): its words' hashes and training counts by
+    shard of the hash range, training counts of ids, ids of the training texts."""
+    blk = table.column("blk")[0].as_py()
+    table = in_order(table)
     held = held_out(table.column("id").to_pylist())
-    hashes, counts, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    hashes, counts, runs = [], [], []
     n_ids = np.zeros(END + 1, np.int64)
-    text = table.column("text").combine_chunks()
-    text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-    for at, texts in texts_of(text, RUN_BYTES):
+    for at, texts in runs_of(table):
         b = Batch(texts, path)
         train = ~held[at : at + len(texts)]
         n = np.bincount(b.inverse, np.repeat(train, b.counts), len(b.distinct)).astype(np.int64)
-        hashes.append(b.distinct.view(np.int64))
+        hashes.append(b.distinct)
         counts.append(n)
         n_ids += np.bincount(b.ids, np.repeat(n, b.lens), END + 1).astype(np.int64)
         ids, sizes = b.stream()
-        if train.any():
-            runs.append(ids[np.repeat(train, sizes)].astype(np.uint16).tobytes())
-    n_ids[END] += int((~held).sum())
-    hashes.append(np.array([END_HASH]))
-    counts.append(np.array([int((~held).sum())]))
-    h, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    n = np.bincount(inverse, np.concatenate(counts), len(h)).astype(np.int64)
+        runs.append(ids[np.repeat(train, sizes)])
+    trained = int((~held).sum())
+    n_ids[END] += trained
+    h, inverse = np.unique(np.concatenate([*hashes, [END_HASH]]), return_inverse=True)
+    n = np.bincount(inverse, np.concatenate([*counts, [trained]]), len(h)).astype(np.int64)
+    cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+    rows = [("words", blk, s, h[i:j].tobytes(), n[i:j].tobytes()) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
     seen = np.flatnonzero(n_ids)
-    blk = table.column("blk")[0].as_py()
-    rows = len(h) + len(seen) + len(runs)
-    return pa.table(
-        {
-            "part": pa.array(["words"] * len(h) + ["ids"] * len(seen) + ["windows"] * len(runs), pa.string()),
-            "blk": pa.array(np.full(rows, blk), pa.int32()),
-            "h": pa.array(np.concatenate([h, seen, np.arange(len(runs))])),
-            "n": pa.array(np.concatenate([n, n_ids[seen], np.zeros(len(runs), np.int64)])),
-            "ids": pa.array([None] * (len(h) + len(seen)) + runs, pa.binary()),
-        }
-    )
+    rows.append(("ids", blk, None, seen.tobytes(), n_ids[seen].tobytes()))
+    rows.append(("windows", blk, None, np.concatenate(runs).tobytes(), None))
+    give_back()
+    cols = zip(*rows, strict=True)
+    return pa.table({k: pa.array(c, t) for (k, t), c in zip({"part": pa.string(), "blk": pa.int32(), "shard": pa.int32(), "h": pa.binary(), "n": pa.binary()}.items(), cols, strict=True)})
+
+
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def word_totals(gathered: DataFrame) -> DataFrame:
+    """(blk, shard, c): counts over all blocks of each word that a block has, in the order of
+    its hashes. A row of block -1 for each shard has two sums: of counts, and of words with one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def totals() -> pa.RecordBatch:
+            h = np.concatenate([np.frombuffer(x, np.uint64) for _, x, _ in rows])
+            n = np.concatenate([np.frombuffer(x, np.int64) for _, _, x in rows])
+            order = np.argsort(h, kind="stable")
+            first = np.concatenate(([True], h[order[1:]] != h[order[:-1]]))
+            word = np.empty(len(h), np.int64)
+            word[order] = np.cumsum(first) - 1
+            c = np.bincount(word, n).astype(np.int64)
+            ends = np.cumsum([len(x) // 8 for _, x, _ in rows])
+            each = [x.tobytes() for x in np.split(c[word], ends[:-1])]
+            stats = np.array([c.sum(), np.count_nonzero(c)], np.int64).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([-1, *(b for b, _, _ in rows)], pa.int32()), pa.array([at] * (len(rows) + 1), pa.int32()), pa.array([stats, *each], pa.binary())], names=["blk", "shard", "c"])
+
+        for batch in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at and rows:
+                    yield totals()
+                    rows = []
+                at = shard
+                rows.append(row)
+        if rows:
+            yield totals()
+
+    words = gathered.where("part = 'words'").select("shard", "blk", "h", "n")
+    return in_batches(words.repartition("shard").sortWithinPartitions("shard"), run, "blk int, shard int, c binary")
+
+
+def id_counts(gathered: DataFrame) -> np.ndarray:
+    """Training counts of ids, added up where they are: one row for each task of at most END + 1 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(END + 1, np.int64)
+        for batch in batches:
+            for h, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                n[np.frombuffer(h, np.int64)] += np.frombuffer(c, np.int64)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["i", "n"])
+
+    got = gathered.where("part = 'ids'").select("h", "n").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(END + 1)
+    counts[got.column("i").to_numpy()] = got.column("n").to_numpy()
+    return counts
 
 
 class Vocabulary:
-    """Class of each id and its log share in the class, from counts of ids."""
+    """Slot of each id and its log share in the slot, from counts of ids."""
 
     def __init__(self, counts: np.ndarray):
         order = np.argsort(-counts, kind="stable")
@@ -163,18 +262,21 @@ class Vocabulary:
         rest = order[OWN:]
         mass = np.cumsum(counts[rest] + 1.0)
         self.of[rest] = OWN + np.minimum((mass - 1e-9) / mass[-1] * SHARED, SHARED - 1).astype(np.int64)
-        total = np.bincount(self.of, counts + 1.0, CLASSES)
-        self.share = np.log(counts + 1.0) - np.log(total[self.of])
-        self.log_unigram = np.log(np.maximum(total, 1e-9) / total.sum()).astype(np.float32)
+        total = np.bincount(self.of, counts + 1.0, SLOTS)
+        self.share = np.log(counts + 1.0) - np.log(np.maximum(total, 1e-9)[self.of])
+        self.log_slot = np.log(np.maximum(total, 1e-9) / total.sum()).astype(np.float32)
 
 
-SHAPES = {"E": (CLASSES, WIDTH), "P": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "U": (WIDTH, CLASSES), "b": (CLASSES,)}
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+SHAPES = {"E": (SLOTS, WIDTH), "P": (WINDOW, WIDTH), "M": (WIDTH, WIDTH), "N": (WIDTH, WIDTH), "U": (WIDTH, GROUPS), "b": (GROUPS,), "V": (GROUPS, WIDTH, MEMBERS), "c": (GROUPS, MEMBERS)}
 
 
-def start_weights(bias: np.ndarray, seed: int = 5) -> np.ndarray:
+def start_weights(log_slot: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Weights whose outputs are the slots' probabilities, whatever the window."""
     rng = np.random.default_rng(seed)
-    parts = [bias if k == "b" else rng.normal(0, 0.3 if k in "EP" else WIDTH**-0.5 if k != "U" else 0.02, s) for k, s in SHAPES.items()]
+    grid = log_slot.reshape(GROUPS, MEMBERS).astype(np.float64)
+    group = np.log(np.exp(grid).sum(1))
+    scale = {"E": 0.3, "P": 0.1, "M": WIDTH**-1.0, "N": WIDTH**-0.5, "U": 0.0, "V": 0.0}
+    parts = [group if k == "b" else grid - group[:, None] if k == "c" else rng.normal(0, 1, s) * scale[k] for k, s in SHAPES.items()]
     return np.concatenate([np.asarray(p, np.float32).ravel() for p in parts])
 
 
@@ -187,223 +289,263 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def hidden(w: dict, x: np.ndarray) -> tuple:
-    """Masked attention over windows of classes (N, L); what the backward pass needs."""
-    X = w["E"][x] + w["P"][: x.shape[1]]
-    Q, K, V = X @ w["q"], X @ w["k"], X @ w["v"]
-    S = Q @ K.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK[: x.shape[1], : x.shape[1]]
-    S -= S.max(2, keepdims=True)
-    np.exp(S, out=S)
-    S /= S.sum(2, keepdims=True)
-    Z = S @ V
-    return X, Q, K, V, S, Z, X + Z @ w["o"]
-
-
-def folded(w: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The products of weights that scoring needs: of query and key, scaled, and of value and output."""
-    return w["q"] @ w["k"].T * np.float32(WIDTH**-0.5), w["v"] @ w["o"]
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+def times(X: np.ndarray, M: np.ndarray) -> np.ndarray:
+    """The last axis of X times M, in one product."""
+    return (X.reshape(-1, X.shape[-1]) @ M).reshape(*X.shape[:-1], M.shape[1])
 
 
-def forward(w: dict, fold: tuple, x: np.ndarray) -> np.ndarray:
-    """As the last of ``hidden``, with fewer passes: masked after the exponential, whose
-    row sums come from a column of ones and divide the mixed values only."""
+def attend(w: dict, x: np.ndarray, skip: int = 0) -> tuple:
+    """Masked attention over windows of slots (N, L), for the places from ``skip`` on: inputs,
+    queries, attention before division by its sums, the sums, mixed inputs, outputs."""
     n = x.shape[1]
     X = w["E"][x]
     X += w["P"][:n]
-    S = (X @ fold[0]) @ X.transpose(0, 2, 1)
-    np.clip(S, -60, 60, out=S)
-    np.exp(S, out=S)
-    S *= _SEEN[:n, :n]
-    V = np.ones((*X.shape[:2], WIDTH + 1), np.float32)
-    V[:, :, :WIDTH] = X @ fold[1]
-    Z = S @ V
-    X += Z[:, :, :WIDTH] / Z[:, :, WIDTH:]
-    return X
-
-
-def log_softmax(L: np.ndarray) -> np.ndarray:
-    L = L - L.max(-1, keepdims=True)
-    return L - np.log(np.exp(L).sum(-1, keepdims=True))
+    own = X[:, skip:]
+    Q = times(own, w["M"])
+    A = Q @ X.transpose(0, 2, 1)
+    np.clip(A, -60, 60, out=A)
+    np.exp(A, out=A)
+    A *= _SEEN[skip:n, :n]
+    s = times(A, np.ones((n, 1), A.dtype))
+    Z = A @ X
+    Z /= s
+    return X, Q, A, s, Z, own + times(Z, w["N"])
+
+
+def by_group(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of targets by group, and (group, from, to) of each that occurs."""
+    g = (y // MEMBERS).astype(np.uint8)
+    order = np.argsort(g, kind="stable")
+    cuts = np.searchsorted(g[order], np.arange(GROUPS + 1)).tolist()
+    return order, [(k, i, j) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+
+
+def _log_softmax(H: np.ndarray, U: np.ndarray, b: np.ndarray, of: np.ndarray) -> np.ndarray:
+    L = H @ U
+    L += b
+    if L.max() > 60:  # sums of exponentials would overflow
+        L -= L.max(1, keepdims=True)
+    got = L[np.arange(len(of)), of]
+    return got - np.log(np.exp(L, out=L) @ np.ones(L.shape[1], L.dtype))
+
+
+def log_prob(w: dict, H: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log probability of slot y after each output."""
+    order, groups = by_group(y)
+    H, y = H[order], y[order]
+    got = _log_softmax(H, w["U"], w["b"], y // MEMBERS)
+    for k, i, j in groups:
+        got[i:j] += _log_softmax(H[i:j], w["V"][k], w["c"][k], y[i:j] % MEMBERS)
+    out = np.empty(len(y), np.float64)
+    out[order] = got
+    return out
 
 
 def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Gradient of the mean loss of targets y (-1: none) after classes x, both (N, WINDOW)."""
+    """Gradient of the mean loss of target slots y (-1: none) after slots x, both (N, L)."""
     w = unpack(flat)
-    X, Q, K, V, A, Z, H = hidden(w, x)
-    D = H @ w["U"]
-    D += w["b"]
-    D -= D.max(2, keepdims=True)
-    np.exp(D, out=D)
-    D /= D.sum(2, keepdims=True)
-    ok = y >= 0
-    n, t = np.nonzero(ok)
-    D[n, t, y[ok]] -= 1
-    D *= (ok / np.float32(max(1, ok.sum())))[:, :, None].astype(D.dtype)
-    flat2 = lambda M: M.reshape(-1, M.shape[-1])
-    g = {"U": flat2(H).T @ flat2(D), "b": flat2(D).sum(0)}
+    X, Q, A, s, Z, out = attend(w, x)
+    rows = np.flatnonzero(y.ravel() >= 0)
+    targets = y.ravel()[rows]
+    order, groups = by_group(targets)
+    rows, targets = rows[order], targets[order]
+    H = out.reshape(-1, WIDTH)[rows]
+    weight = flat.dtype.type(1 / max(1, len(rows)))
+
+    def softmax(L: np.ndarray, of: np.ndarray) -> np.ndarray:
+        if L.max() > 60:
+            L -= L.max(1, keepdims=True)
+        np.exp(L, out=L)
+        L *= (weight / (L @ np.ones(L.shape[1], L.dtype)))[:, None]
+        L[np.arange(len(L)), of] -= weight
+        return L
+
+    g = {k: np.zeros(shape, flat.dtype) for k, shape in SHAPES.items() if k in "Vc"}
+    ones = np.ones(len(rows), flat.dtype)
+    D = softmax(H @ w["U"] + w["b"], targets // MEMBERS)
+    g["U"], g["b"] = H.T @ D, ones[: len(D)] @ D
     dH = D @ w["U"].T
-    g["o"] = flat2(Z).T @ flat2(dH)
-    dZ = dH @ w["o"].T
-    dA = dZ @ V.transpose(0, 2, 1)
-    dV = A.transpose(0, 2, 1) @ dZ
-    dS = A * (dA - (dA * A).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dQ, dK = dS @ K, dS.transpose(0, 2, 1) @ Q
-    dX = dH + dQ @ w["q"].T + dK @ w["k"].T + dV @ w["v"].T
-    g["q"], g["k"], g["v"] = (flat2(X).T @ flat2(d) for d in (dQ, dK, dV))
-    g["P"] = dX.sum(0)
-    g["E"] = np.zeros(SHAPES["E"], np.float32)
-    np.add.at(g["E"], x.ravel(), flat2(dX))
-    return np.concatenate([g[k].ravel() for k in SHAPES]).astype(np.float32)
+    for k, i, j in groups:
+        D = softmax(H[i:j] @ w["V"][k] + w["c"][k], targets[i:j] % MEMBERS)
+        g["V"][k], g["c"][k] = H[i:j].T @ D, ones[: len(D)] @ D
+        dH[i:j] += D @ w["V"][k].T
+    dO = np.zeros((x.size, WIDTH), flat.dtype)
+    dO[rows] = dH
+    g["N"] = Z.reshape(-1, WIDTH).T @ dO
+    dO = dO.reshape(X.shape)
+    dZ = times(dO, w["N"].T)
+    dZ /= s
+    dX = A.transpose(0, 2, 1) @ dZ
+    dX += dO
+    dA = dZ @ X.transpose(0, 2, 1)
+    dA -= times(dZ * Z, np.ones((WIDTH, 1), Z.dtype))
+    dA *= A
+    dQ = dA @ X
+    dX += dA.transpose(0, 2, 1) @ Q
+    dX += times(dQ, w["M"].T)
+    g["M"] = X.reshape(-1, WIDTH).T @ dQ.reshape(-1, WIDTH)
+    g["P"] = np.zeros(SHAPES["P"], flat.dtype)
+    g["P"][: x.shape[1]] = dX.sum(0)
+    g["E"] = np.zeros(SHAPES["E"], flat.dtype)
+    slot = x.ravel().astype(np.uint16)
+    order = np.argsort(slot, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], slot[order[1:]] != slot[order[:-1]])))
+    g["E"][slot[order[first]]] = np.add.reduceat(dX.reshape(-1, WIDTH)[order], first, axis=0)
+    return np.concatenate([g[k].ravel() for k in SHAPES]).astype(flat.dtype)
 
 
 class Adam:
-    """Weights with the state of their steps, which goes on from one run of windows to the next."""
+    """Weights with the state of their steps."""
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, self.m, self.v, self.t = flat, np.zeros_like(flat), np.zeros_like(flat), 0
+    def __init__(self, flat: np.ndarray, rate: float = RATE):
+        self.flat, self.m, self.v, self.t, self.rate = flat, np.zeros_like(flat), np.zeros_like(flat), 0, rate
 
     def step(self, x: np.ndarray, y: np.ndarray) -> None:
         self.t += 1
         g = gradient(self.flat, x, y)
-        self.m = 0.9 * self.m + 0.1 * g
-        self.v = 0.99 * self.v + 0.01 * g * g
-        move = np.float32(RATE) * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + np.float32(1e-8))
-        self.flat = (self.flat - move).astype(np.float32)
-
-
-def steps(flat: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
-    """One pass of Adam over windows, from weights ``flat``."""
-    adam = Adam(flat)
-    order = np.random.default_rng(seed).permutation(len(x))
-    for at in range(0, len(x), BATCH):
-        pick = order[at : at + BATCH]
-        adam.step(x[pick], y[pick])
-    return adam.flat.astype(np.float32)
-
-
-def pass_over(adam: Adam, ids: np.ndarray, of: np.ndarray, seed: int) -> int:
-    """Steps over all windows of a run of texts; their number."""
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * g
+        g *= g
+        self.v *= np.float32(0.99)
+        self.v += np.float32(0.01) * g
+        root = np.sqrt(self.v)
+        root += np.float32(1e-6)
+        self.flat = self.flat - np.float32(self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)) * self.m / root
+
+
+def pass_over(adam: Adam, ids: np.ndarray, of: np.ndarray, number: int, seed: int) -> int:
+    """Steps over share ``number`` of the windows of a block's texts; how many windows."""
     left, length = windows_of(ids)
     c = of[ids]
     before = np.concatenate((of[[END]], c[:-1]))
     order = np.random.default_rng(seed).permutation(len(left))
+    order = order[len(order) * number // ROUNDS : len(order) * (number + 1) // ROUNDS]
     for at in range(0, len(order), BATCH):
         pick = order[at : at + BATCH]
         place = np.minimum(left[pick][:, None] + np.arange(WINDOW), len(c) - 1)
         adam.step(before[place], np.where(np.arange(WINDOW) < length[pick][:, None], c[place], -1))
-    return len(left)
+    return len(order)
 
 
-def train(runs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Weights after ``ROUNDS`` rounds of local passes over (h, ids) runs and averaging. Runs
-    are read where they were written: a trainer's share is what its task reads."""
-    flat = start_weights(vocabulary.log_unigram)
+def train(windows: DataFrame, vocabulary: Vocabulary, n_blocks: int) -> np.ndarray:
+    """Weights after all rounds over rows (blk, ids), one for each block."""
+    flat = start_weights(vocabulary.log_slot)
     for r in range(ROUNDS):
-        start, of, number = flat, vocabulary.of, r
+        start, of, number, rate = flat, vocabulary.of, r, RATE * (1 - 0.8 * r / ROUNDS)
 
-        def run(batches: Iterator[pa.RecordBatch], start=start, of=of, number=number) -> Iterator[pa.RecordBatch]:
-            adam, n = Adam(start), 0
+        def run(batches: Iterator[pa.RecordBatch], start=start, of=of, number=number, rate=rate) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for h, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    n += pass_over(adam, np.frombuffer(ids.as_buffer(), np.uint16), of, number + ROUNDS * h)
-            if n:
-                got = adam.flat
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(got)), pa.int32()), pa.array(got.astype(float) * n), pa.array(np.full(len(got), n), pa.int64())], names=["i", "w", "n"])
-
-        got = runs.mapInArrow(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-        if got.num_rows:
-            flat = np.zeros_like(flat)
-            flat[got.column("i").to_numpy()] = got.column("w").to_numpy()
+                for blk, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    adam = Adam(start, rate)
+                    n = pass_over(adam, np.frombuffer(ids.as_buffer(), np.uint16), of, number, blk)
+                    if n:
+                        yield _weights(blk, n, adam.flat.astype(np.float64) * n)
+
+        got = in_batches(windows, run, "blk int, n long, w binary")
+        flat = average(materialize(got, "lm-round"), n_blocks, flat)
     return flat
 
 
+def _weights(blk: int, n: int, w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["blk", "n", "w"])
+
+
+def add_up(rows: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray]:
+    """Sums of n and of w of rows (blk, n, w), in the order of blocks."""
+    n, w = 0, 0.0
+    for _, m, x in sorted(rows, key=lambda r: r[0]):
+        n, w = n + m, w + np.frombuffer(x, np.float64)
+    return n, w
+
+
+def average(sums: DataFrame, n_blocks: int, otherwise: np.ndarray) -> np.ndarray:
+    """Mean weights from rows (blk, n, w), FAN neighbours at a time."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(c.to_pylist() for c in table.columns), strict=True))
+        return pa.Table.from_batches([_weights(rows[0][0] // FAN, *add_up(rows))])
+
+    while n_blocks > FAN:
+        sums = sums.groupBy(F.expr(f"blk div {FAN}")).applyInArrow(merge, "blk int, n long, w binary")
+        n_blocks = -(-n_blocks // FAN)
+    rows = [(r.blk, r.n, bytes(r.w)) for r in sums.collect()]
+    if not rows:
+        return otherwise
+    n, w = add_up(rows)
+    return (w / n).astype(np.float32)
+
+
 def log10_scores(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, flat: np.ndarray) -> np.ndarray:
     """log10 probability of each text from its ids; windows of equal shape go in batches."""
     w = unpack(flat)
-    fold = folded(w)
     c = vocabulary.of[ids]
-    share = vocabulary.share[ids]
     ends = np.cumsum(sizes)
     begin = ends - sizes
     before = np.concatenate(([0], c[:-1]))
     before[begin] = vocabulary.of[END]
-    # the k-th window of a text starts at k * STRIDE and scores its last STRIDE ids, the first all
+    out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), vocabulary.share[ids], len(sizes))
+    # a text's first window scores all its ids; the k-th starts at k * STRIDE and scores those after the first window's end
     extra = np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
-    per = extra + 1
-    doc = np.repeat(np.arange(len(sizes)), per)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    left = begin[doc] + k * STRIDE
-    length = np.minimum(WINDOW, ends[doc] - left)
-    skip = np.where(k > 0, WINDOW - STRIDE, 0)
-    out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), share, len(sizes))
-    order = np.argsort(length, kind="stable")
-    for at in range(0, len(order), 256):  # so many windows stay in the processor's cache
-        pick = order[at : at + 256]
-        wide = int(length[pick].max())
-        place = np.minimum(left[pick][:, None] + np.arange(wide), len(c) - 1)
-        x, y = before[place], c[place]
-        H = forward(w, fold, x)
-        use = (np.arange(wide) >= skip[pick][:, None]) & (np.arange(wide) < length[pick][:, None])
-        n, t = np.nonzero(use)
-        L = H[n, t] @ w["U"]
-        L += w["b"]
-        if L.max() > 80:  # the exponential would overflow
-            L -= L.max(1, keepdims=True)
-        got = L[np.arange(len(n)), y[n, t]]
-        got = got - np.log(np.exp(L, out=L) @ np.ones(CLASSES, np.float32))
-        out += np.bincount(doc[pick][n], got, len(sizes))
+    later = np.repeat(np.arange(len(sizes)), extra)
+    k = np.arange(len(later)) - np.repeat(np.cumsum(extra) - extra, extra) + 1
+    for doc, left, skip in ((np.arange(len(sizes)), begin, 0), (later, begin[later] + k * STRIDE, WINDOW - STRIDE)):
+        length = np.minimum(WINDOW, ends[doc] - left)
+        order = np.argsort(length, kind="stable")
+        for at in range(0, len(order), SCORED):
+            pick = order[at : at + SCORED]
+            wide = int(length[pick].max())
+            place = np.minimum(left[pick][:, None] + np.arange(wide), len(c) - 1)
+            H = attend(w, before[place], skip)[-1]
+            use = np.arange(skip, wide) < length[pick][:, None]
+            got = log_prob(w, H[use], c[place[:, skip:]][use])
+            out += np.bincount(np.repeat(doc[pick], use.sum(1)), got, len(sizes))
     return out / math.log(10)
 
 
 def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of each row."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
-    docs = docs.withColumn("blk", F.pmod(F.xxhash64("id", F.length("text")), F.lit(n_blocks)).cast("int"))
-    gathered = docs.groupBy("blk").applyInArrow(lambda t: gather(t, path), "part string, blk int, h long, n long, ids binary")
-    gathered = materialize(gathered, "lm", "part")
-    each = Window.partitionBy("h")
-    words = gathered.where("part = 'words'").select("blk", "h", "n")
-    # a word has at most one row for each block
-    words = words.withColumn("c", F.sum("n").over(each)).withColumn("one", (F.row_number().over(each.orderBy("blk")) == 1).cast("int"))
-    words = materialize(words, "lm-words")
-    sums = words.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("c") > 0, F.col("one")).otherwise(0)).alias("v")).first()
-    total, distinct = sums["n"] or 0, sums["v"] or 0
-    counts = np.zeros(END + 1)
-    got = gathered.where("part = 'ids'").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
-    counts[got.column("h").to_numpy()] = got.column("n").to_numpy()
-    vocabulary = Vocabulary(counts)
-    flat = train(gathered.where("part = 'windows'").select("h", "ids"), vocabulary)
+    n_blocks, shards = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // SHARD_BYTES))
+    docs = docs.withColumn("blk", F.pmod(F.xxhash64("id", "th"), F.lit(n_blocks)).cast("int"))
+    gathered = materialize(docs.groupBy("blk").applyInArrow(lambda t: gather(t, shards, path), PARTS), "lm", "part")
+    answers = materialize(word_totals(gathered), "lm-words")
+    stats = [np.frombuffer(r.c, np.int64) for r in answers.where("blk < 0").select("c").toLocalIterator()]
+    total, distinct = (int(sum(s[i] for s in stats)) for i in (0, 1))
+    vocabulary = Vocabulary(id_counts(gathered))
+    flat = train(gathered.where("part = 'windows'").select("blk", F.col("h").alias("ids")), vocabulary, n_blocks)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = in_order(left)
         ids = left.column("id")
         held = held_out(ids.to_pylist())
-        h, c = right.column("h").to_numpy(), right.column("c").to_numpy()
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        unit = math.log10(total + distinct + 1)
+        batches = [Batch(texts, path) for _, texts in runs_of(left)]
+        h = np.unique(np.concatenate([*(b.distinct for b in batches), [END_HASH]]))
+        right = right.sort_by("shard")
+        c = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("c").to_pylist()])
+        if len(c) != len(h):
+            raise ValueError("a block has other words than when they were counted")
+        unit, end = math.log10(total + distinct + 1), int(c[-1])
         n_tokens, n_known, base, full = [], [], [], []
-        text = left.column("text").combine_chunks()
-        text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-        for _, texts in texts_of(text, RUN_BYTES):
-            b = Batch(texts, path)
-            known = c[np.searchsorted(h, b.distinct.view(np.int64))]
-            of = np.repeat(np.arange(len(texts)), b.counts)
-            end = int(c[np.searchsorted(h, END_HASH)])
+        while batches:
+            b = batches.pop(0)
+            known = c[np.searchsorted(h, b.distinct)]
+            n = len(b.counts)
+            of = np.repeat(np.arange(n), b.counts)
             n_tokens.append(b.counts + 1)
-            n_known.append(np.bincount(of, known[b.inverse] > 0, len(texts)).astype(np.int64) + (end > 0))
-            base.append(np.bincount(of, np.log10(known + 1.0)[b.inverse], len(texts)) + math.log10(end + 1) - (b.counts + 1) * unit)
+            n_known.append(np.bincount(of, known[b.inverse] > 0, n).astype(np.int64) + (end > 0))
+            base.append(np.bincount(of, np.log10(known + 1.0)[b.inverse], n) + math.log10(end + 1) - (b.counts + 1) * unit)
             full.append(log10_scores(*b.stream(), vocabulary, flat))
+        give_back()
         cat = lambda x, t: pa.array(np.concatenate(x).astype(t))
         return pa.table({id_col: ids, "held_out": pa.array(held), "n_tokens": cat(n_tokens, np.int64), "n_known": cat(n_known, np.int64), "train_tokens": pa.array(np.full(len(held), total, np.int64)), "base_score": cat(base, float), "score": cat(full, float)})
 
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("blk").cogroup(words.select("blk", "h", "c").groupBy("blk")).applyInArrow(run, schema)
+    return docs.groupBy("blk").cogroup(answers.where("blk >= 0").groupBy("blk")).applyInArrow(run, schema)
 
 
 def op6_causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, fingerprint, jaccard, lm, mixing, pii, quality, shingles, tokenfiles, urlfilter, warc
 from tabulon.llm.common import new_path
@@ -192,6 +193,42 @@ def test_jaccard_planted(spark, odd_docs, monkeypatch):
     assert jaccard.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_shared_shingles_are_found(spark, texts, monkeypatch):
+    """No shared shingle is missed, whatever the runs and shards; texts of their own have none."""
+    monkeypatch.setattr(jaccard, "RUN", 3000)
+    rows = [*texts.items(), *((5000 + i, t) for i, t in list(texts.items())[:40]), (9000, None), (9001, "")]
+    got = {r.tag: r.c for r in jaccard.shared(spark.createDataFrame(rows, "id long, text string").repartition(5), 4, 75, 7).collect()}
+    sets = {}
+    for _, t in rows:
+        s = jaccard.shingle_sets([(t or "").encode()], 4)
+        sets[int(jaccard.tags_of(jaccard.set_keys(s))[0])] = {int(x) for x in s[0] if x < jaccard.looked_up(75)}
+    times = collections.Counter(x for s in sets.values() for x in s)
+    true = {k: sum(times[x] > 1 for x in s) for k, s in sets.items()}
+    assert all(got.get(k, 0) >= n for k, n in true.items())
+    assert all(n > 0 for n in true.values() if n in got) and not [k for k in got if true[k] == 0]
+
+
+def test_jaccard_leaves_common_passages_alone(spark, monkeypatch):
+    """Texts that share two fifths of their words, and chains of such texts, give hardly a candidate."""
+    rows = [(i, " ".join([*(f"p{i // 40}_{j}" for j in range(100)), *(f"q{i % 40}_{j}" for j in range(50)), *(f"u{i}_{j}" for j in range(250))])) for i in range(400)]
+    rows += [(1000, rows[7][1]), (1001, rows[8][1] + " more")]
+    met = {}
+    kept = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name, *p: met.setdefault(name, kept(df, name, *p)))
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == components(rows, 4, 85) and 2 <= met["jaccard-alive"].count() <= 20
+
+
+def test_keep_one_decides_by_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (2, b, 4), (3, b + " x", 5), (None, a, 6), (None, "", 7), (4, None, 8), (4, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone int")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    n = sorted(r["__gone"] for r in kept.collect())
+    assert n in ([1, 3, 7, 8, 9], [1, 4, 7, 8, 9])  # of equal rows one stays, rows without a shingle all stay
+
+
 def test_jaccard_counts_whole_hashes(spark):
     """Two words whose hashes meet in 48 bits: 11 words in common of 15 do not link."""
     one, other = "a7224b", "ea0fb0"
@@ -327,77 +364,134 @@ def test_lm_counts_and_base(spark, texts, odd_docs, monkeypatch):
     assert lm.score(df.limit(0)).count() == 0
 
 
-def test_lm_gradient_and_windows():
+def all_log_probs(w, H):
+    """Log probabilities of all slots after each output (n, WIDTH)."""
+    def norm(L):
+        L = L - L.max(-1, keepdims=True)
+        return L - np.log(np.exp(L).sum(-1, keepdims=True))
+
+    return (norm(H @ w["U"] + w["b"])[:, :, None] + norm(np.einsum("nd,gdm->ngm", H, w["V"]) + w["c"])).reshape(len(H), -1)
+
+
+def plain_outputs(w, x):
+    """Outputs of one window of slots, by loops."""
+    X = w["E"][x] + w["P"][: len(x)]
+    out = []
+    for i in range(len(x)):
+        e = np.exp([X[i] @ w["M"] @ X[j] for j in range(i + 1)])
+        out.append(X[i] + (e / e.sum()) @ X[: i + 1] @ w["N"])
+    return np.array(out)
+
+
+def random_weights(rng, size=0.3):
+    f = lm.start_weights(np.full(lm.SLOTS, -math.log(lm.SLOTS), np.float32)).astype(np.float64)
+    return f + rng.normal(0, size, len(f))
+
+
+def test_lm_gradient():
     rng = np.random.default_rng(0)
-    f = lm.start_weights(np.zeros(lm.CLASSES, np.float32)).astype(np.float64)
-    x, y = rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.integers(-1, lm.CLASSES, (3, lm.WINDOW))
+    f = random_weights(rng)
+    x, y = rng.integers(0, lm.SLOTS, (3, lm.WINDOW)), rng.integers(-1, lm.SLOTS, (3, lm.WINDOW))
 
     def loss(f):
         w = lm.unpack(f)
-        p = lm.log_softmax(lm.hidden(w, x)[-1] @ w["U"] + w["b"])
-        n, t = np.nonzero(y >= 0)
-        return -p[n, t, y[y >= 0]].mean()
+        p = np.concatenate([all_log_probs(w, plain_outputs(w, r)) for r in x])
+        return -p[np.arange(y.size), y.ravel()][y.ravel() >= 0].mean()
 
+    w = lm.unpack(f)
+    got = lm.log_prob(w, lm.attend(w, x)[-1].reshape(-1, lm.WIDTH)[y.ravel() >= 0], y.ravel()[y.ravel() >= 0])
+    assert abs(-got.mean() - loss(f)) < 1e-9
     g = lm.gradient(f, x, y)
-    for i in rng.integers(0, len(f), 20):
+    ends = np.cumsum([0, *(math.prod(s) for s in lm.SHAPES.values())])
+    picks = np.concatenate([rng.integers(a, b, 3) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    for i in [*picks, *(ends[0] + x[:, 5] * lm.WIDTH)]:
         e = np.zeros_like(f)
-        e[i] = 1e-4
-        assert abs((loss(f + e) - loss(f - e)) / 2e-4 - g[i]) < 1e-5
-    # probabilities of all ids sum to one
-    counts = rng.integers(0, 9, lm.END + 1).astype(float)
-    v = lm.Vocabulary(counts)
-    assert np.allclose(np.bincount(v.of, np.exp(v.share), lm.CLASSES), 1)
-    # each id is scored once: with even classes a text's score is its length's alone
-    flat = np.zeros(len(f), np.float32)
-    for n in (1, 8, 9, 31, 32, 33, 55, 56, 57, 200):
-        ids = rng.integers(0, lm.END, n)
-        want = v.share[ids].sum() - n * math.log(lm.CLASSES)
-        assert abs(lm.log10_scores(ids, np.array([n]), v, flat)[0] - want / math.log(10)) < 1e-3
+        e[i] = 1e-5
+        assert abs((loss(f + e) - loss(f - e)) / 2e-5 - g[i]) < 1e-6
 
 
-def test_lm_learns():
+def test_lm_is_a_distribution_over_ids():
+    """Probabilities of all ids sum to one, and the start weights give smoothed counts."""
     rng = np.random.default_rng(0)
-    x = np.tile(np.arange(lm.WINDOW) % 5, (256, 1)) + rng.integers(0, 3, (256, 1)) * 5
-    y = np.roll(x, -1, 1)
-    f = lm.start_weights(np.full(lm.CLASSES, -math.log(lm.CLASSES), np.float32))
-    w = lm.unpack(lm.steps(lm.steps(lm.steps(f, x, y, 0), x, y, 1), x, y, 2))
-    p = lm.log_softmax(lm.hidden(w, x)[-1] @ w["U"] + w["b"])
-    assert -np.take_along_axis(p, y[:, :, None], 2)[:, :-1].mean() < 0.6 * math.log(lm.CLASSES)
+    counts = rng.integers(0, 9, lm.END + 1).astype(float)
+    v = lm.Vocabulary(counts)
+    assert np.allclose(np.bincount(v.of, np.exp(v.share), lm.SLOTS), 1) and len(np.unique(v.of)) == lm.SLOTS
+    w = lm.unpack(random_weights(rng))
+    p = np.exp(all_log_probs(w, rng.normal(0, 1, (1, lm.WIDTH)))[0])
+    assert abs((p[v.of] * np.exp(v.share)).sum() - 1) < 1e-9
+    flat = lm.start_weights(v.log_slot)
+    for n in (1, 31, 32, 33, 55, 200):
+        ids = rng.integers(0, lm.END, n)
+        want = np.log10((counts[ids] + 1) / (counts + 1).sum()).sum()
+        assert abs(lm.log10_scores(ids, np.array([n]), v, flat)[0] - want) < 1e-3
 
 
 def test_lm_trains_on_all_training_ids(spark, docs, texts, monkeypatch):
-    """As many ids as training texts have pass the trainer, each once as a target in a round."""
-    table = docs.selectExpr("doc_id AS id", "text", "0 AS blk").toArrow()
-    got = lm.gather(table, None)
-    of_part = lambda name: got.filter(np.array(got.column("part").to_pylist()) == name)
-    runs = [np.frombuffer(x, np.uint16) for x in of_part("windows").column("ids").to_pylist()]
+    """As many ids as training texts have pass the trainer, each once as a target over all rounds."""
+    table = docs.selectExpr("doc_id AS id", "xxhash64(text) AS th", "text", "0 AS blk").toArrow()
+    got = {r["part"]: r for r in lm.gather(table, 1, None).to_pylist()}
+    ids = np.frombuffer(got["windows"]["h"], np.uint16)
     counts = np.zeros(lm.END + 1, np.int64)
-    counts[of_part("ids").column("h").to_numpy()] = of_part("ids").column("n").to_numpy()
-    assert counts.sum() > 40_000 and (np.bincount(np.concatenate(runs), minlength=lm.END + 1) == counts).all()
-    seen = np.zeros(lm.CLASSES, np.int64)
+    counts[np.frombuffer(got["ids"]["h"], np.int64)] = np.frombuffer(got["ids"]["n"], np.int64)
+    assert counts.sum() > 40_000 and (np.bincount(ids, minlength=lm.END + 1) == counts).all()
+    e = lm.encoder(None)
+    plain = [e.encode_ordinary("".join(" " + w for w in WORD.findall(lower(t)))) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert (np.bincount(np.concatenate(plain).astype(int), minlength=lm.END + 1)[: lm.END] == counts[: lm.END]).all()
+    seen = np.zeros(lm.SLOTS, np.int64)
     monkeypatch.setattr(lm.Adam, "step", lambda self, x, y: np.add.at(seen, y[y >= 0], 1))
     of = lm.Vocabulary(counts.astype(float)).of
-    assert sum(lm.pass_over(lm.Adam(np.zeros(1)), r, of, 0) for r in runs) >= counts.sum() / lm.WINDOW
-    assert (seen == np.bincount(of, counts, lm.CLASSES)).all()
+    assert sum(lm.pass_over(lm.Adam(np.zeros(1)), ids, of, r, 0) for r in range(lm.ROUNDS)) >= counts.sum() / lm.WINDOW
+    assert (seen == np.bincount(of, counts, lm.SLOTS)).all()
 
 
 def test_lm_context_is_half_a_window():
     """Scores equal those of each id by itself, in the first window of a step of half a window."""
     rng = np.random.default_rng(1)
     v = lm.Vocabulary(rng.integers(1, 9, lm.END + 1).astype(float))
-    flat = rng.normal(0, 0.5, len(lm.start_weights(np.zeros(lm.CLASSES, np.float32)))).astype(np.float32)
-    w, half = lm.unpack(flat), lm.WINDOW // 2
+    flat = random_weights(rng).astype(np.float32)
+    w, half = lm.unpack(flat.astype(np.float64)), lm.WINDOW // 2
+    assert lm.STRIDE <= half
     for n in (20, 48, 57, 200):
         ids = rng.integers(0, lm.END, n)
         c = np.concatenate((v.of[[lm.END]], v.of[ids]))
         want = v.share[ids].sum()
         for i in range(n):
             left = max(0, -(-(i + 1 - lm.WINDOW) // half)) * half
-            p = lm.log_softmax(lm.hidden(w, c[None, left : i + 1])[-1] @ w["U"] + w["b"])
-            want += p[0, -1, v.of[ids[i]]]
+            want += all_log_probs(w, plain_outputs(w, c[left : i + 1])[-1:])[0, v.of[ids[i]]]
         assert abs(lm.log10_scores(ids, np.array([n]), v, flat)[0] - want / math.log(10)) < 1e-2
 
 
+def test_lm_scores_stay_when_rows_and_partitions_move(spark, texts, odd_docs, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(lm, "FAN", 3)
+    monkeypatch.setattr(lm, "CACHE", 500)
+    rows = [*texts.items(), *list(texts.items())[:20], *((None, t) for t in list(texts.values())[:20])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted((tuple(r) for r in lm.score(df).collect()), key=str)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        other = sorted((tuple(r) for r in lm.score(df.orderBy(F.rand(3)).repartition(5)).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert one == other
+
+
+def test_lm_beats_counts_of_ids_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in lm.score(docs).collect() if r.held_out}
+    e = lm.encoder(None)
+    n, held = np.ones(lm.END + 1), []
+    for r in docs.select("doc_id", "text").collect():
+        ids = np.array([*e.encode_ordinary("".join(" " + w for w in WORD.findall(lower(r.text)))), lm.END])
+        if r.doc_id in got:
+            held.append((r.doc_id, ids))
+        else:
+            n += np.bincount(ids, minlength=len(n))
+    counts = sum(np.log10(n[ids] / n.sum()).sum() for _, ids in held)
+    assert sum(got[i].score for i, _ in held) > 0.85 * counts
+
+
 # ---- op7
 
 
