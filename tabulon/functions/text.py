@@ -21,10 +21,25 @@ def dense(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "(?U)[\\s­]+", ""))
 
 
+#: Full-width forms and what they stand for: a fixed distance in the code charts.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(chr(ord(x) - 0xFEE0) for x in _WIDE)
+#: Latin ligatures from U+FB00 in order, and the fixed values they stand for.
+_LIGATURES = ("ff", "fi", "fl", "ffi", "ffl")
+
+
+def compatible(c: Column) -> Column:
+    """Full-width forms, ligatures and odd spaces by their compatibility equivalents."""
+    v = F.translate(c, _WIDE + "\u00a0\u202f\u3000", _NARROW + "   ")
+    for i, plain in enumerate(_LIGATURES):
+        v = F.replace(v, F.lit(chr(0xFB00 + i)), F.lit(plain))
+    return v
+
+
 def normalize_label(c: Column) -> Column:
-    """Lower case, dashes and marks as spaces, one space between words. For text that is
-    already in compatibility composition; ``normalize_label_any`` serves the rest."""
-    v = F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е")
+    """Compatibility forms as plain letters, lower case, dashes and marks as spaces, one space
+    between words."""
+    v = F.translate(F.lower(compatible(F.coalesce(c, F.lit("")))), "ё", "е")
     v = F.regexp_replace(v, "[‐‑‒–—―−]+", "-")
     v = F.regexp_replace(v, "[/.:]+", " ")
     v = F.regexp_replace(v, r"(?U)[^\w\s-]+", " ")

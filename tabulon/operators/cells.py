@@ -51,9 +51,16 @@ def row_groups(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("cells"))
 
 
+def cell_roles(cells: DataFrame) -> DataFrame:
+    """(text, role) of the table cells that name a column. All known labels are words, so that
+    a text without a letter is never near one and is not classified."""
+    texts = cells.where("kind = 'table'").where(F.col("text").rlike(r"\p{L}"))
+    return classify(texts, "text").where("method in ('alias', 'semantic')").select("text", "role")
+
+
 def row_facts(cells: DataFrame) -> DataFrame:
     """What rows are judged by: one row for each row of cells."""
-    roles = classify(cells.where("kind = 'table'"), "text").where("method in ('alias', 'semantic')").select("text", "role")
+    roles = cell_roles(cells)
     # as many rows as there are different cell texts with a role: aliases and near them
     c = cells.join(roles, "text", "left").withColumn("t", strip(F.col("text"))).withColumn("number", numeric_quote(F.col("text")))
     filled = F.col("t") != ""

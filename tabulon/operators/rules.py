@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.labels import classify
 from ..functions.numbers import matrix_number, numeric_quote, parse_number, strip
 from ..functions.text import currency_code, label_value, normalize_label
-from .cells import REQUISITES, ROW, SUMMARY
+from .cells import REQUISITES, ROW, SUMMARY, cell_roles
 
 ROLES = ("name", "quantity", "unit", "unitPrice", "lineTotal")
 VARIANT = r"(?iu)вариант|опция|variant|option"
@@ -18,7 +17,7 @@ VARIANT = r"(?iu)вариант|опция|variant|option"
 def header_mapping(cells: DataFrame) -> DataFrame:
     """(doc_id, block, row, <role>_col ...) of header rows: a name column and one of
     quantity, price or total. Of several columns with one role the first counts."""
-    roles = classify(cells.where("kind = 'table'"), "text").where("method in ('alias', 'semantic')").select("text", "role")
+    roles = cell_roles(cells)
     c = cells.where("kind = 'table'").join(roles, "text")
     rows = c.groupBy(*ROW).agg(*[F.min(F.when(F.col("role") == r, F.col("col"))).alias(f"{r}_col") for r in ROLES])
     return rows.where("name_col is not null and (quantity_col is not null or unitPrice_col is not null or lineTotal_col is not null)")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from pyspark.sql.window import Window
 
 from ..functions import labels as L
 from ..functions import numbers as N
@@ -150,9 +149,9 @@ def error_taxonomy(spark, sf_dir):
     return table(spark, sf_dir, "events").select(M.error_class(said).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, concat('"', replace(CASE WHEN regexp_matches(t, '^\\s*[=+@-]') THEN concat('''', t) ELSE t END, '"', '""'), '"') AS field FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('=', left(text, 40)) WHEN 1 THEN concat('"', left(text, 20), '"') ELSE left(text, 30) END AS t FROM documents)""")
+@query("""SELECT doc_id, concat('"', replace(CASE WHEN regexp_matches(t, '^\\s*[=+@-]') THEN concat('''', t) ELSE t END, '"', '""'), '"') AS field FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('=', text) WHEN 1 THEN concat('"', text, '"') ELSE text END AS t FROM documents)""")
 def csv_guard(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), F.substring("text", 1, 40))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('"'), F.substring("text", 1, 20), F.lit('"'))).otherwise(F.substring("text", 1, 30))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('"'), "text", F.lit('"'))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", X.spreadsheet_safe(t).alias("field"))
 
 
@@ -161,15 +160,23 @@ def page_quality(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.text_quality(F.col("html")).alias("readable"))
 
 
-@query("SELECT doc_id, list_sort(regexp_extract_all(text, '[0-9]')) = list_sort(regexp_extract_all(reverse(text), '[0-9]')) AS agree, len(regexp_extract_all(text, '[0-9]')) AS n_digits FROM documents")
+@query("SELECT a.doc_id, coalesce(list_sort(regexp_extract_all(a.text, '[0-9]')) = list_sort(regexp_extract_all(b.text, '[0-9]')), false) AS agree, len(regexp_extract_all(a.text, '[0-9]')) AS n_digits FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1")
 def digit_multiset(spark, sf_dir):
-    d = lambda c: F.sort_array(F.regexp_extract_all(c, F.lit("([0-9])"), F.lit(1)))
-    return table(spark, sf_dir, "documents").select("doc_id", (d(F.col("text")) == d(F.reverse("text"))).alias("agree"), F.size(d(F.col("text"))).cast("long").alias("n_digits"))
+    """Whether two readings have the same digits: of each document and the next one."""
+    d = F.sort_array(F.regexp_extract_all("text", F.lit("([0-9])"), F.lit(1)))
+    found = table(spark, sf_dir, "documents").select("doc_id", d.alias("digits"))
+    after = found.select((F.col("doc_id") - 1).alias("doc_id"), F.col("digits").alias("other"))
+    return found.join(after, "doc_id", "left").select("doc_id", F.coalesce(F.col("digits") == F.col("other"), F.lit(False)).alias("agree"), F.size("digits").cast("long").alias("n_digits"))
 
 
 # ---- cells and rows
 
 
+def _cells(spark, sf_dir) -> DataFrame:
+    """The cell table, written once for queries that read it several times."""
+    return K.stage(O.offer_cells(spark, sf_dir), "cells")
+
+
 @query(Q.TEXT_CELLS)
 def text_cells(spark, sf_dir):
     return C.text_cells(table(spark, sf_dir, "documents"))
@@ -186,12 +193,12 @@ _EXCLUDED = "(summaries > 0 OR footers > 0 OR (names > 0 AND (roles >= 2 OR numb
 
 @query(f"WITH {Q.FACTS} SELECT doc_id, block, row, {_EXCLUDED} AS excluded FROM facts")
 def row_exclusion(spark, sf_dir):
-    return C.row_facts(O.offer_cells(spark, sf_dir)).select("doc_id", "block", "row", C.excluded().alias("excluded"))
+    return C.row_facts(_cells(spark, sf_dir)).select("doc_id", "block", "row", C.excluded().alias("excluded"))
 
 
 @query(f"WITH {Q.FACTS} SELECT doc_id, block, row FROM facts WHERE NOT {_EXCLUDED} AND filled >= 2 AND numbers >= 1 AND words >= 1 AND NOT (block = 1 AND row % 2 = 0)")
 def candidate_rows(spark, sf_dir):
-    cells = O.offer_cells(spark, sf_dir)
+    cells = _cells(spark, sf_dir)
     covered = cells.where("block = 1 and row % 2 = 0").select("doc_id", "block", "row").distinct()
     return C.candidates(C.row_facts(cells), covered)
 
@@ -205,7 +212,7 @@ def metadata_range_anti(spark, sf_dir):
 
 @query(Q.CATALOG)
 def block_catalog(spark, sf_dir):
-    cells = O.offer_cells(spark, sf_dir)
+    cells = _cells(spark, sf_dir)
     return C.block_catalog(cells, C.row_facts(cells))
 
 
@@ -214,12 +221,12 @@ def block_catalog(spark, sf_dir):
 
 @query(f"WITH {Q.MAPPING} SELECT * FROM mapping")
 def header_mapping(spark, sf_dir):
-    return R.header_mapping(O.offer_cells(spark, sf_dir))
+    return R.header_mapping(_cells(spark, sf_dir))
 
 
 @query(f"WITH {Q.ITEMS} SELECT doc_id, block, row, name, unit, quantity, unit_price, line_total FROM found")
 def item_pivot(spark, sf_dir):
-    return R.item_rows(O.offer_cells(spark, sf_dir))
+    return R.item_rows(_cells(spark, sf_dir))
 
 
 _STATE = "CASE WHEN quantity IS NULL OR unit_price IS NULL THEN 'unpriced' WHEN line_total IS NULL THEN 'open' WHEN abs(quantity * unit_price - line_total) > 0.02 THEN 'conflict' ELSE 'ok' END"
@@ -227,7 +234,7 @@ _STATE = "CASE WHEN quantity IS NULL OR unit_price IS NULL THEN 'unpriced' WHEN
 
 @query(f"WITH {Q.ITEMS} SELECT doc_id, count(*) AS n_items, count(*) FILTER ({_STATE} = 'ok') AS n_ok, count(*) FILTER ({_STATE} = 'conflict') AS n_conflict, count(*) FILTER ({_STATE} = 'unpriced') AS n_unpriced, count(*) FILTER ({_STATE} = 'open') AS n_open FROM found GROUP BY doc_id")
 def line_arithmetic(spark, sf_dir):
-    i = R.item_rows(O.offer_cells(spark, sf_dir))
+    i = R.item_rows(_cells(spark, sf_dir))
     state = V.line_state(F.col("quantity"), F.col("unit_price"), F.col("line_total"))
     return i.withColumn("state", state).groupBy("doc_id").agg(F.count("*").alias("n_items"), *[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("ok", "conflict", "unpriced", "open")])
 
@@ -309,7 +316,7 @@ def plan_execute(spark, sf_dir):
 
 @query(Q.MERGED)
 def rule_plan_merge(spark, sf_dir):
-    cells = O.offer_cells(spark, sf_dir)
+    cells = _cells(spark, sf_dir)
     rules = R.item_rows(cells).drop("unit").where("(doc_id + row) % 10 <> 0")
     return R.merge_items(rules, R.execute_plan(cells, _plan(spark, sf_dir)))
 
@@ -343,7 +350,7 @@ def missing_evidence(spark, sf_dir):
 
 @query(f"WITH {Q.ITEMS}, s AS (SELECT doc_id, count(*) AS n_items, count(*) FILTER (quantity IS NULL OR unit_price IS NULL OR line_total IS NULL) AS n_missing, count(*) FILTER ({_STATE} = 'conflict') AS n_issues FROM found GROUP BY doc_id) SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(n_missing, 0) AS n_missing, coalesce(n_issues, 0) AS n_issues, CASE WHEN coalesce(n_items, 0) = 0 AND doc_id % 2 = 0 THEN 'unavailable' WHEN coalesce(n_missing, 0) > 0 OR coalesce(n_issues, 0) > 0 OR coalesce(n_items, 0) = 0 THEN 'partial' ELSE 'complete' END AS state FROM heads LEFT JOIN s USING (doc_id)")
 def outcome_state(spark, sf_dir):
-    i = R.item_rows(O.offer_cells(spark, sf_dir))
+    i = R.item_rows(_cells(spark, sf_dir))
     state = V.line_state(F.col("quantity"), F.col("unit_price"), F.col("line_total"))
     hole = F.col("quantity").isNull() | F.col("unit_price").isNull() | F.col("line_total").isNull()
     s = i.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.count_if(hole).alias("n_missing"), F.count_if(state == "conflict").alias("n_issues"))
@@ -388,11 +395,12 @@ def near_dup_edges(spark, sf_dir):
     return U.similar_pairs(K.stage(U.shingles(table(spark, sf_dir, "documents")), "shingles"))
 
 
-@query(f"WITH RECURSIVE {Q.PAIRS}, g AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT g.b, reach.root FROM reach JOIN g ON g.a = reach.id) SELECT id AS doc_id, min(root) AS root FROM reach GROUP BY id")
+@query(f"WITH RECURSIVE {Q.PAIRS}, same AS (SELECT doc_id AS b, min(doc_id) OVER (PARTITION BY {Q.label('text')}) AS a FROM documents), g AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT a, b FROM same UNION SELECT b, a FROM same), reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT g.b, reach.root FROM reach JOIN g ON g.a = reach.id) SELECT id AS doc_id, min(root) AS root FROM reach GROUP BY id")
 def similarity_components(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     pairs = U.similar_pairs(K.stage(U.shingles(docs), "shingles"))
-    return U.connected(pairs, docs.select(F.col("doc_id").alias("id"))).select(F.col("id").alias("doc_id"), "root")
+    edges = pairs.select("a", "b").unionByName(U.same_texts(docs))
+    return U.connected(edges, docs.select(F.col("doc_id").alias("id"))).select(F.col("id").alias("doc_id"), "root")
 
 
 @query()
@@ -445,7 +453,7 @@ def training_gate(spark, sf_dir):
 
 @query(f"WITH {Q.ITEMS}, s AS (SELECT doc_id, bool_or(line_total IS NULL) AS a, bool_or(unit_price IS NULL AND quantity IS NOT NULL) AS p, bool_or({_STATE} = 'conflict') AS c FROM found GROUP BY doc_id) SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN s.doc_id IS NULL THEN 'E_PARSE' END, CASE WHEN a THEN 'E_ITEM_INCOMPLETE' END, CASE WHEN p THEN 'E_PRICE_UNAVAILABLE' END, CASE WHEN c THEN 'E_ARITHMETIC' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM heads LEFT JOIN s USING (doc_id)")
 def quarantine_reasons(spark, sf_dir):
-    i = R.item_rows(O.offer_cells(spark, sf_dir))
+    i = R.item_rows(_cells(spark, sf_dir))
     state = V.line_state(F.col("quantity"), F.col("unit_price"), F.col("line_total"))
     s = i.groupBy("doc_id").agg(F.bool_or(F.col("line_total").isNull()).alias("a"), F.bool_or(F.col("unit_price").isNull() & F.col("quantity").isNotNull()).alias("p"), F.bool_or(state == "conflict").alias("c"), F.lit(True).alias("seen"))
     j = O.offer_heads(spark, sf_dir).select("doc_id").join(s, "doc_id", "left")

@@ -129,4 +129,4 @@ def offer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same three tables as common table expressions of DuckDB.
-CTE = f"items AS ({items_sql(DUCKDB)}), heads AS ({heads_sql(DUCKDB)}), cells AS ({cells_sql(DUCKDB)})"
+CTE = f"items AS MATERIALIZED ({items_sql(DUCKDB)}), heads AS MATERIALIZED ({heads_sql(DUCKDB)}), cells AS MATERIALIZED ({cells_sql(DUCKDB)})"

@@ -12,10 +12,12 @@ from pyspark.sql.window import Window
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write and read back in the folder of ``spark.checkpoint.dir`` that all executors share;
-    where that is unset, as in local tests, in a temporary folder."""
+    where that is unset and all runs in one process, as in tests, in a temporary folder."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/tabulon/{name}-{uuid.uuid4().hex}"
@@ -39,11 +41,9 @@ def apply_revisions(submissions: DataFrame, key: str, order: str) -> DataFrame:
     revision the first is accepted, and each acceptance raises the revision by one. As an
     accepted chain starts at revision 1 and takes the first submission of each revision
     that comes after the one before, it is found by recursion over revisions."""
-    w = Window.partitionBy(key).orderBy(order)
     rows = submissions.select(key, "revision", order).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "revision"))).alias("all"))
     walk = F.aggregate("all", F.struct(F.lit(1).cast("long").alias("now"), F.array().cast("array<boolean>").alias("ok")), lambda s, x: F.struct((s["now"] + (x["revision"] == s["now"]).cast("long")).alias("now"), F.concat(s["ok"], F.array(x["revision"] == s["now"])).alias("ok")))
     done = rows.select(key, "all", walk.alias("walk")).select(key, F.posexplode(F.arrays_zip(F.col("all"), F.col("walk.ok").alias("ok"))).alias("i", "x"))
-    del w
     return done.select(key, F.col(f"x.all.{order}").alias(order), F.col("x.all.revision").alias("revision"), F.col("x.ok").alias("accepted"))
 
 
