@@ -2,12 +2,12 @@
 
 Certain spans come from four patterns with checks (digits of an address, Luhn,
 numbers of digits) and always stay. Doubtful spans - obfuscated addresses, national
-phone numbers, cards with other digit counts - are candidates on which labelers vote:
-patterns, gazetteers (top-level domains, card issuers, trunk prefixes) and the words
-before the span. Expectation-maximisation over the counts of vote combinations of the
-whole corpus estimates how reliable each labeler is, and the resulting probabilities
-train a logistic classifier over the votes and the span's shape, which then decides on
-every candidate.
+phone numbers, other long numbers, keys and tokens - are candidates on which labelers
+vote: patterns and checks, gazetteers (top-level domains, card issuers, trunk prefixes, key
+prefixes), the words before the span, and the way it is written. Expectation-maximisation
+over the counts of vote combinations of the whole corpus estimates how reliable each
+labeler is, and the resulting probabilities train a logistic classifier over the votes and
+the span's shape, which then decides on every candidate.
 
 Only counts of vote and shape combinations reach the driver: at most
 ``3 ** labelers * shapes`` rows, whatever the input.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import let
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds: the last has no certain spans.
+NAMES = (*KINDS, "secret")
 
 # Written so that a failed try at the head of a run is not repeated inside the run, and
 # with possessive groups only, which Java matches in a loop: time stays linear and the
@@ -40,21 +42,28 @@ PHONE = r"\+[0-9][\x20().0-9\x2D]+[0-9]"
 #: Doubtful spans, by kind. They must hold no line break and start at a word's head.
 CANDIDATES = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}+(?![A-Za-z0-9])",
-    "card": r"(?<![0-9A-Za-z.+-])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,3}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.+-])3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}(?![0-9A-Za-z-])",
+    "card": r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9A-Za-z-]|[ -][0-9])",
     "phone": r"(?<![0-9A-Za-z.+(-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ .-][0-9]{3,4}[ .-][0-9]{3,6}(?![0-9A-Za-z.-])",
+    "secret": r"(?<![0-9A-Za-z_/+.-])[0-9A-Za-z_/+-]{16,200}+(?![0-9A-Za-z_/+-])",
 }
+#: What a text with a candidate has in any case: a cheap test first.
+SIGNS = {"email": r"(?i)[\[( ]at[\]) ]", "card": "[0-9](?:[ -]?[0-9]){12}", "phone": "[0-9]{2}[)]?[ .-][0-9]{3}", "secret": "[0-9A-Za-z_/+-]{16}"}
 #: Gazetteers: frequent top-level domains; first digits of card issuers; trunk prefixes.
+KEYS = "^(?:sk|pk|rk|ghp|gho|xox[abp]|akia|asia|aiza|eyj|glpat)"
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")
 CUES = {
     "email": ("email", "e-mail", "mail", "contact", "kontakt", "correo", "courriel", "write", "address"),
     "card": ("card", "visa", "mastercard", "amex", "karte", "kreditkarte", "carte", "tarjeta", "credit"),
     "phone": ("phone", "tel", "tel.", "telephone", "telefon", "call", "mobile", "fax", "handy", "teléfono", "téléphone", "appelez", "llame"),
+    "secret": ("token", "secret", "password", "passwort", "passwd", "pwd", "key", "apikey", "api_key", "bearer", "auth", "authorization", "credential", "clave", "contraseña"),
 }
 COUNTER_CUES = ("order", "invoice", "isbn", "version", "no.", "nr.", "id", "serial", "ref", "page", "art.")
 
 #: Labelers, each 1 for, -1 against, 0 silent.
-LABELERS = ("shape", "gazetteer", "context")
+LABELERS = ("shape", "gazetteer", "context", "form")
 ROUNDS, STEPS = 50, 300
+#: Kinds that have candidates.
+CHOSEN = tuple(NAMES.index(k) for k in CANDIDATES)
 
 
 def find(text: Column, pattern: str) -> Column:
@@ -117,8 +126,10 @@ def _kind(spans: Column, k: int) -> Column:
 def doubtful(text: Column, base: Column) -> Column:
     """Array of candidates that overlap neither a base span nor an earlier candidate."""
     none = F.array().cast("array<struct<k:int,s:int,e:int,v:string>>")
-    has = {"email": text.rlike(r"(?i)[\[( ]at[\]) ]"), "card": text.rlike("[0-9]{4}[ -][0-9]{4}|3[47][0-9]{2}[ -]"), "phone": text.rlike("[0-9]{2}[)]?[ .-][0-9]{3}")}
-    found = F.concat(*[F.when(has[kind], _kind(find(text, pattern), KINDS.index(kind))).otherwise(none) for kind, pattern in CANDIDATES.items()])
+    mixed = lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]")
+    spans_of = {kind: find(text, pattern) for kind, pattern in CANDIDATES.items()}
+    spans_of["secret"] = F.filter(spans_of["secret"], mixed)
+    found = F.concat(*[F.when(text.rlike(SIGNS[kind]), _kind(spans, NAMES.index(kind))).otherwise(none) for kind, spans in spans_of.items()])
 
     def apart(b: Column) -> Column:
         free = F.filter(found, lambda x: ~F.exists(b, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
@@ -135,22 +146,32 @@ def votes(text: Column, span: Column) -> Column:
     tail = F.array_remove(F.split(before, r"[\s:,;()]+"), "")
     last = let(tail, lambda t: F.when(F.size(t) > 3, F.slice(t, -3, 3)).otherwise(t))
     number = digits(value)
+    size, hexes = F.length(value), value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    part = F.length(number) / size  # of the span that is digits
     shape = (
-        F.when(kind == 0, F.when(value.rlike(r"[\[(]"), 1).when(value.rlike("@"), 1).otherwise(-1))
+        F.when(kind == 4, F.when(hexes & (size >= 24), 1).when(part.between(0.1, 0.7) & value.rlike("[a-z]") & value.rlike("[A-Z]"), 1).otherwise(-1))
+        .when(kind == 0, F.when(value.rlike(r"[\[(]"), 1).when(value.rlike("@"), 1).otherwise(-1))
         .when(kind == 2, F.when(F.length(number).between(13, 19) & luhn(number), 1).otherwise(-1))
         .otherwise(F.when(F.length(number).between(9, 12), 1).when(F.length(number) < 8, -1).otherwise(0))
     )
     ending = F.lower(F.regexp_extract(value, "([A-Za-z]+)$", 1))
     gazetteer = (
-        F.when(kind == 0, F.when(ending.isin(*DOMAINS), 1).otherwise(-1))
+        F.when(kind == 4, F.when(F.lower(value).rlike(KEYS) | (hexes & size.isin(32, 40, 48, 64, 128)), 1).when(value.rlike("^[A-Z]*[a-z]*[-_/]"), -1).otherwise(0))
+        .when(kind == 0, F.when(ending.isin(*DOMAINS), 1).otherwise(-1))
         .when(kind == 2, F.when(number.rlike("^(?:4|5[1-5]|3[47]|6011|65)"), 1).otherwise(-1))
         .otherwise(F.when(number.rlike("^0[1-9]") | value.rlike(r"^\("), 1).otherwise(0))
     )
+    form = (
+        F.when(kind == 4, F.when(before.rlike("[=:\"'`]\\s*$"), 1).otherwise(-1))
+        .when(kind == 2, F.when(value.rlike("^[0-9]{4}(?:[ -][0-9]{4}){3}"), 1).when(value.rlike("^[0-9]+$"), 0).otherwise(-1))
+        .when(kind == 3, F.when(value.rlike(r"^(?:\(|0)"), 1).when(value.rlike(r"\."), -1).otherwise(0))
+        .otherwise(F.when(value.rlike(r"[\[(]"), 1).otherwise(-1))
+    )
     cue = F.lit(False)
     for name, cues in CUES.items():
-        cue = F.when(kind == KINDS.index(name), _any(last, cues)).otherwise(cue)
+        cue = F.when(kind == NAMES.index(name), _any(last, cues)).otherwise(cue)
     context = F.when(cue, 1).when(_any(last, COUNTER_CUES), -1).otherwise(0)
-    return F.struct(kind.alias("k"), span["s"].alias("s"), span["e"].alias("e"), shape.alias("shape"), gazetteer.alias("gazetteer"), context.alias("context"), F.length(value).between(9, 40).cast("int").alias("middling"))
+    return F.struct(kind.alias("k"), span["s"].alias("s"), span["e"].alias("e"), shape.alias("shape"), gazetteer.alias("gazetteer"), context.alias("context"), form.alias("form"), F.length(value).between(9, 40).cast("int").alias("middling"))
 
 
 def _any(tokens: Column, listed: tuple) -> Column:
@@ -160,12 +181,12 @@ def _any(tokens: Column, listed: tuple) -> Column:
 def estimate(patterns: list[tuple]) -> dict:
     """(k, votes...) -> probability that such a candidate is personal data.
 
-    ``patterns``: (k, shape, gazetteer, context, n) rows. Expectation-maximisation of a
+    ``patterns``: (k, votes..., n) rows. Expectation-maximisation of a
     two-class model in which labelers err independently; silence tells nothing."""
     out = {}
     for kind in sorted({p[0] for p in patterns}):
         rows = [(p[1:-1], p[-1]) for p in patterns if p[0] == kind]
-        prior, right = 0.3, [0.9, 0.75, 0.75]
+        prior, right = 0.3, [0.9, *[0.75] * (len(rows[0][0]) - 1)]
         post = {}
         for _ in range(ROUNDS):
             for v, _n in rows:
@@ -184,9 +205,9 @@ def estimate(patterns: list[tuple]) -> dict:
 def train(patterns: list[tuple], prob: dict) -> list[float]:
     """Weights of a logistic classifier over (1, kinds, votes, middling), fitted to
     expected labels by gradient steps. ``patterns``: (k, votes..., middling, n)."""
-    feats = [([1.0, *[float(p[0] == k) for k in (0, 2, 3)], *map(float, p[1:-1])], prob[p[:-2]], p[-1]) for p in patterns]
+    feats = [([1.0, *[float(p[0] == k) for k in CHOSEN], *map(float, p[1:-1])], prob[p[:-2]], p[-1]) for p in patterns]
     total = sum(f[2] for f in feats) or 1
-    w = [0.0] * (4 + len(LABELERS) + 1)
+    w = [0.0] * (len(feats[0][0]) if feats else 2 + len(CHOSEN) + len(LABELERS))
     for _ in range(STEPS):
         grad = [0.0] * len(w)
         for x, y, n in feats:
@@ -206,7 +227,7 @@ def classifier(df: DataFrame, text_col: str = "text") -> list[float]:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     seen = df.select(text.alias("t")).where(F.col("t").rlike(r"[0-9]|(?i)[\[( ]at[\]) ]")).select(F.explode(F.array(_candidates(F.col("t"), certain(F.col("t"))))).alias("all")).select(F.explode("all").alias("c"))
     keys = ["k", *LABELERS, "middling"]
-    # at most 3 * 3^3 * 2 rows: the combinations of votes
+    # at most 4 * 3^4 * 2 rows: the combinations of votes
     rows = [tuple(r) for r in seen.select("c.*").groupBy(*keys).agg(F.count("*").alias("n")).collect()]
     merged: dict = {}
     for r in rows:
@@ -219,7 +240,7 @@ def spans(text: Column, weights: list[float]) -> Column:
     bare = lambda a: F.transform(a, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
     def accepted(x: Column) -> Column:
-        values = [F.lit(1.0), *[(x["k"] == k).cast("double") for k in (0, 2, 3)], *[x[n].cast("double") for n in (*LABELERS, "middling")]]
+        values = [F.lit(1.0), *[(x["k"] == k).cast("double") for k in CHOSEN], *[x[n].cast("double") for n in (*LABELERS, "middling")]]
         score = F.lit(0.0)
         for a, v in zip(weights, values, strict=True):
             score = score + F.lit(float(a)) * v
@@ -233,7 +254,7 @@ def spans(text: Column, weights: list[float]) -> Column:
 
 def listing(found: Column) -> Column:
     """kind:start:end of each span, by kind, then start, joined by commas."""
-    name = F.array(*[F.lit(k) for k in KINDS])
+    name = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(F.sort_array(found), lambda x: F.concat_ws(":", F.get(name, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
@@ -251,7 +272,7 @@ def redact(df: DataFrame, *, text_col: str = "text", count_col: str | None = "n_
     text = F.col(f"`{text_col}`")
 
     def cut(found: Column) -> Column:
-        name = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+        name = F.array(*[F.lit(f"<{k.upper()}>") for k in NAMES])
         ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
         done = F.aggregate(
             ordered,

@@ -310,7 +310,34 @@ def test_pii_estimation_ranks_labelers():
     p = pii.estimate(patterns)
     assert p[(0, 1, 1, 1)] > 0.9 and p[(0, -1, -1, 1)] < 0.1
     w = pii.train([(*r[:-1], 1, r[-1]) for r in patterns], p)
-    assert w[0] + w[4] + w[5] + w[6] + w[7] > 0 > w[0] - w[4] - w[5] + w[6] + w[7]
+    assert w[0] + w[1] + sum(w[5:9]) > 0 > w[0] + w[1] - w[5] - w[6] + w[7] + w[8]
+
+
+def test_pii_estimation_equals_row_by_row():
+    """Expectation-maximisation over counts, against the same over single rows."""
+    rng = np.random.default_rng(4)
+    votes = [tuple(int(x) for x in np.where(rng.random(4) < 0.2, 0, np.where(rng.random(4) < 0.8, t, -t))) for t in rng.choice([-1, 1], 400)]
+    v = np.array(votes, float)
+    prior, right = 0.3, np.array([0.9, 0.75, 0.75, 0.75])
+    for _ in range(pii.ROUNDS):
+        post = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + v @ np.log(right / (1 - right)))))
+        prior = np.clip((post.sum() + 1) / (len(v) + 2), 0.05, 0.95)
+        agree = (np.where(v > 0, post[:, None], 1 - post[:, None]) * (v != 0)).sum(0)
+        right = np.clip((agree + 4) / ((v != 0).sum(0) + 5), 0.55, 0.99)
+    got = pii.estimate([(4, *p, n) for p, n in collections.Counter(votes).items()])
+    assert all(abs(got[(4, *p)] - x) < 1e-9 for p, x in zip(votes, post, strict=True)) and len(set(votes)) > 20
+
+
+def test_pii_adds_secrets_and_leaves_words_alone(spark):
+    digest = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+    rows = [(i, f'some words token = "{d}" and more') for i, d in enumerate(digest)]
+    rows += [(100 + i, f"the file section-{i}-of-the-long-handbook and {10**14 + 7919 * i} or chapter_{i}_with_long_words") for i in range(60)]
+    found = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        want = [(4, t.index(digest[i]), t.index(digest[i]) + 40)] if i < 100 else []
+        assert [tuple(x) for x in found[i].added] == want
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[3] == 'some words token = "<SECRET>" and more' and out[103] == dict(rows)[103]
 
 
 # ---- op5
@@ -370,7 +397,8 @@ def all_log_probs(w, H):
         L = L - L.max(-1, keepdims=True)
         return L - np.log(np.exp(L).sum(-1, keepdims=True))
 
-    return (norm(H @ w["U"] + w["b"])[:, :, None] + norm(np.einsum("nd,gdm->ngm", H, w["V"]) + w["c"])).reshape(len(H), -1)
+    inner = [norm(H @ w["V"][:, a : a + n] + w["c"][a : a + n]) for a, n in zip(lm.FIRST, lm.SIZES, strict=True)]
+    return norm(H @ w["U"] + w["b"])[:, lm.GROUP_OF] + np.concatenate(inner, 1)
 
 
 def plain_outputs(w, x):
