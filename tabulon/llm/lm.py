@@ -50,10 +50,14 @@ BLOCK_BYTES, RUN_BYTES = 12_000_000, 2_000_000
 #: Text whose words' counts are added up in one task.
 SHARD_BYTES = 48_000_000
 WINDOW, STRIDE, WIDTH = 32, 16, 16
-GROUPS, MEMBERS, SHARED = 32, 64, 64
-SLOTS = GROUPS * MEMBERS
+#: Slots of each group, the most frequent ids' first: small groups where most ids are.
+SIZES = np.repeat([16, 32, 64, 144], 8)
+GROUPS, SLOTS, SHARED = len(SIZES), int(SIZES.sum()), 64
 OWN = SLOTS - SHARED
-ROUNDS, BATCH, RATE = 4, 256, 0.025
+FIRST = np.cumsum(SIZES) - SIZES
+GROUP_OF = np.repeat(np.arange(GROUPS, dtype=np.uint8), SIZES)
+MEMBER_OF = np.arange(SLOTS) - FIRST[GROUP_OF]
+ROUNDS, BATCH, RATE = 4, 384, 0.03
 #: Windows that are scored at once; sums of weights that one task adds up.
 SCORED, FAN = 512, 32
 #: Words whose ids a worker keeps.
@@ -267,16 +271,15 @@ class Vocabulary:
         self.log_slot = np.log(np.maximum(total, 1e-9) / total.sum()).astype(np.float32)
 
 
-SHAPES = {"E": (SLOTS, WIDTH), "P": (WINDOW, WIDTH), "M": (WIDTH, WIDTH), "N": (WIDTH, WIDTH), "U": (WIDTH, GROUPS), "b": (GROUPS,), "V": (GROUPS, WIDTH, MEMBERS), "c": (GROUPS, MEMBERS)}
+SHAPES = {"E": (SLOTS, WIDTH), "P": (WINDOW, WIDTH), "M": (WIDTH, WIDTH), "N": (WIDTH, WIDTH), "U": (WIDTH, GROUPS), "b": (GROUPS,), "V": (WIDTH, SLOTS), "c": (SLOTS,)}
 
 
 def start_weights(log_slot: np.ndarray, seed: int = 5) -> np.ndarray:
     """Weights whose outputs are the slots' probabilities, whatever the window."""
     rng = np.random.default_rng(seed)
-    grid = log_slot.reshape(GROUPS, MEMBERS).astype(np.float64)
-    group = np.log(np.exp(grid).sum(1))
+    group = np.log(np.add.reduceat(np.exp(log_slot.astype(np.float64)), FIRST))
     scale = {"E": 0.3, "P": 0.1, "M": WIDTH**-1.0, "N": WIDTH**-0.5, "U": 0.0, "V": 0.0}
-    parts = [group if k == "b" else grid - group[:, None] if k == "c" else rng.normal(0, 1, s) * scale[k] for k, s in SHAPES.items()]
+    parts = [group if k == "b" else log_slot - group[GROUP_OF] if k == "c" else rng.normal(0, 1, s) * scale[k] for k, s in SHAPES.items()]
     return np.concatenate([np.asarray(p, np.float32).ravel() for p in parts])
 
 
@@ -316,11 +319,11 @@ def attend(w: dict, x: np.ndarray, skip: int = 0) -> tuple:
 
 
 def by_group(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of targets by group, and (group, from, to) of each that occurs."""
-    g = (y // MEMBERS).astype(np.uint8)
+    """Order of targets by group, and (slots of the group, from, to) of each that occurs."""
+    g = GROUP_OF[y]
     order = np.argsort(g, kind="stable")
     cuts = np.searchsorted(g[order], np.arange(GROUPS + 1)).tolist()
-    return order, [(k, i, j) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+    return order, [(slice(FIRST[k], FIRST[k] + SIZES[k]), i, j) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
 
 
 def _log_softmax(H: np.ndarray, U: np.ndarray, b: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -336,9 +339,9 @@ def log_prob(w: dict, H: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log probability of slot y after each output."""
     order, groups = by_group(y)
     H, y = H[order], y[order]
-    got = _log_softmax(H, w["U"], w["b"], y // MEMBERS)
+    got = _log_softmax(H, w["U"], w["b"], GROUP_OF[y])
     for k, i, j in groups:
-        got[i:j] += _log_softmax(H[i:j], w["V"][k], w["c"][k], y[i:j] % MEMBERS)
+        got[i:j] += _log_softmax(H[i:j], w["V"][:, k], w["c"][k], MEMBER_OF[y[i:j]])
     out = np.empty(len(y), np.float64)
     out[order] = got
     return out
@@ -365,13 +368,13 @@ def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
     g = {k: np.zeros(shape, flat.dtype) for k, shape in SHAPES.items() if k in "Vc"}
     ones = np.ones(len(rows), flat.dtype)
-    D = softmax(H @ w["U"] + w["b"], targets // MEMBERS)
+    D = softmax(H @ w["U"] + w["b"], GROUP_OF[targets])
     g["U"], g["b"] = H.T @ D, ones[: len(D)] @ D
     dH = D @ w["U"].T
     for k, i, j in groups:
-        D = softmax(H[i:j] @ w["V"][k] + w["c"][k], targets[i:j] % MEMBERS)
-        g["V"][k], g["c"][k] = H[i:j].T @ D, ones[: len(D)] @ D
-        dH[i:j] += D @ w["V"][k].T
+        D = softmax(H[i:j] @ w["V"][:, k] + w["c"][k], MEMBER_OF[targets[i:j]])
+        g["V"][:, k], g["c"][k] = H[i:j].T @ D, ones[: len(D)] @ D
+        dH[i:j] += D @ w["V"][:, k].T
     dO = np.zeros((x.size, WIDTH), flat.dtype)
     dO[rows] = dH
     g["N"] = Z.reshape(-1, WIDTH).T @ dO
@@ -419,14 +422,14 @@ class Adam:
 def pass_over(adam: Adam, ids: np.ndarray, of: np.ndarray, number: int, seed: int) -> int:
     """Steps over share ``number`` of the windows of a block's texts; how many windows."""
     left, length = windows_of(ids)
-    c = of[ids]
-    before = np.concatenate((of[[END]], c[:-1]))
+    of = of.astype(np.int32)
     order = np.random.default_rng(seed).permutation(len(left))
     order = order[len(order) * number // ROUNDS : len(order) * (number + 1) // ROUNDS]
     for at in range(0, len(order), BATCH):
         pick = order[at : at + BATCH]
-        place = np.minimum(left[pick][:, None] + np.arange(WINDOW), len(c) - 1)
-        adam.step(before[place], np.where(np.arange(WINDOW) < length[pick][:, None], c[place], -1))
+        place = np.minimum(left[pick][:, None] + np.arange(WINDOW), len(ids) - 1)
+        # before a text's first id comes the END of the text before it
+        adam.step(of[ids[place - 1]], np.where(np.arange(WINDOW) < length[pick][:, None], of[ids[place]], -1))
     return len(order)
 
 
@@ -486,7 +489,7 @@ def log10_scores(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, fla
     begin = ends - sizes
     before = np.concatenate(([0], c[:-1]))
     before[begin] = vocabulary.of[END]
-    out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), vocabulary.share[ids], len(sizes))
+    out = np.add.reduceat(vocabulary.share[ids], begin) if len(ids) else np.zeros(0)  # no text is without an END
     # a text's first window scores all its ids; the k-th starts at k * STRIDE and scores those after the first window's end
     extra = np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
     later = np.repeat(np.arange(len(sizes)), extra)
