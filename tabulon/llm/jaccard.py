@@ -19,10 +19,10 @@ Each document leaves out its ``d`` smallest groups, which say least; one equal g
 least is left in both. Documents that share one are joined to coarse blocks; a block
 beyond ``BLOCK`` documents is cut at random. Each part is one task with a tree, joined with
 itself and with a few documents of the whole block, so that most of a large group is one
-component already. Only documents outside the block's largest component meet the parts
-of all others then, each pair of parts in one task with two trees. Within a task, pairs
-that links already join are skipped: the result is components, and no component is lost.
-Equal sets are one class from the start and never compared.
+component already. If that has half of the block, only documents outside it meet the
+parts of all others then, else each part meets each other, each pair of parts in one task
+with two trees. Within a task, pairs that links already join are skipped: the result is
+components, and no component is lost. Equal sets are one class from the start and never compared.
 
 Work grows with the square only in blocks of many thousand different texts that share
 most of their text without being linked; each task stays bounded.
@@ -53,7 +53,7 @@ LEFT_OUT = 8
 #: So many tasks of candidates are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Documents, and shingles, of a part of a block.
-BLOCK, BLOCK_SHINGLES = 1500, 1_500_000
+BLOCK, BLOCK_SHINGLES = 4000, 2_500_000
 LEAF = 16
 #: Texts are hashed so many bytes at a time; hashes and signatures leave a task in runs of so many.
 BYTES, RUN = 1_000_000, 600_000
@@ -219,9 +219,25 @@ def join(a: Tree, b: Tree, percent: int) -> Iterator[tuple[Tree, Tree]]:
             yield x, y
 
 
+def stars_of(pairs: list[tuple[int, int]], rank: list) -> list[tuple[int, int]]:
+    """(member, first member by rank) of each component of the pairs."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        a, b = sorted((root(i), root(j)), key=rank.__getitem__)
+        parent[b] = a
+    return [(i, root(i)) for i in list(parent) if root(i) != i]
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of the sets. ``side``: 0 and 1 for two parts, of
-    which only pairs across count, or all 0: pairs within."""
+    """Links that span the components of the sets. ``side``: 0 (or less) and 1 for two parts,
+    of which only pairs across count, or no 1: pairs within."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     bits = int(np.clip(np.ceil(np.log2(max(1.0, float(np.median(sizes)) / 8))), 4, 10))
     points = np.zeros((len(sets), 1 << bits), np.int32)
@@ -236,8 +252,8 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
         return i
 
     out = []
-    left = Tree(points, sizes, np.flatnonzero(side == 0))
-    right = Tree(points, sizes, np.flatnonzero(side == 1)) if side.any() else left
+    left = Tree(points, sizes, np.flatnonzero(side <= 0))
+    right = Tree(points, sizes, np.flatnonzero(side == 1)) if (side == 1).any() else left
     for x, y in join(left, right, percent):
         p, q = points[x.rows], points[y.rows]
         bound = np.minimum(p[:, None, :], q[None, :, :]).sum(2)
@@ -509,29 +525,35 @@ def fine(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFr
     placed = materialize(placed, "jaccard-members")
     pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("key", F.lit(1)), F.col("c")) < PIVOTS)
     where = F.when(pivot, _upto("parts")).otherwise(F.array("part"))
-    tasks = placed.select("jk", "key", "block", F.explode(where).alias("x")).select("jk", "key", F.struct("block", "x", F.col("x").alias("y"), F.lit(0).alias("side")).alias("t"))
+    tasks = placed.select("jk", "key", "block", F.when(pivot, -1).otherwise(0).alias("side"), F.explode(where).alias("x"))
+    tasks = tasks.select("jk", "key", F.struct("block", "x", F.col("x").alias("y"), "side").alias("t"))
     links = materialize(meet(docs, tasks, size, percent), "jaccard-links")
     if not sums.where("parts > 1").limit(1).count():
         return links
-    labels = components(links, "jaccard-inner").withColumnRenamed("node", "key")
-    large = placed.where("parts > 1").select("block", "key", "jk", "n").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    large = materialize(large, "jaccard-large")
-    most = large.groupBy("block", "component").agg(F.count("*").alias("c")).groupBy("block").agg(F.max(F.struct("c", "component")).alias("m")).select("block", F.col("m.component").alias("main"))
-    large = materialize(large.join(materialize(most, "jaccard-main"), "block").withColumn("inner", F.col("component") == F.col("main")), "jaccard-sides")
-    inner = _parts(large.where("inner")).select("block", F.col("parts").alias("p"))
-    outer = _parts(large.where("not inner")).select("block", F.col("parts").alias("q"))
+    # what a task has joined is named by a document of the whole block, if there is one in it
+    labels = links.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("component"))
+    large = placed.where("parts > 1").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    large = materialize(large.select("block", "c", "parts", "part", "key", "jk", "n", "component"), "jaccard-large")
+    most = large.groupBy("block", "component").agg(F.count("*").alias("m")).groupBy("block").agg(F.max(F.struct("m", "component")).alias("m")).select("block", F.col("m.component").alias("main"), F.col("m.m").alias("m"))
+    large = large.join(materialize(most, "jaccard-main"), "block").withColumn("inner", F.col("component") == F.col("main"))
+    large = materialize(large.withColumn("most", 2 * F.col("m") >= F.col("c")).select("block", "parts", "part", "key", "jk", "n", "inner", "most"), "jaccard-sides")
+    others = F.filter(_upto("parts"), lambda i: i != F.col("part"))
+    pairs = large.where("not most").select("jk", "key", "block", F.col("part").alias("own"), F.explode(others).alias("other"))
+    inner = _parts(large.where("most and inner")).select("block", F.col("parts").alias("p"))
+    outer = _parts(large.where("most and not inner")).select("block", F.col("parts").alias("q"))
     cut = large.select("block", "key", "jk", "inner").join(materialize(inner.join(outer, "block"), "jaccard-cut"), "block")
     # parts of the largest component are 0 to p - 1, those of the others p to p + q - 1
     own = F.when(F.col("inner"), _part("p")).otherwise(F.col("p") + _part("q"))
     other = F.when(F.col("inner"), F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1))
-    pairs = cut.select("jk", "key", "block", own.alias("own"), F.explode(other).alias("other"))
+    pairs = pairs.unionByName(cut.select("jk", "key", "block", own.alias("own"), F.explode(other).alias("other")))
     # where a part meets another, sides differ
     task = F.struct("block", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     return links.unionByName(meet(docs, pairs.select("jk", "key", task.alias("t")), size, percent))
 
 
 def meet(docs: DataFrame, tasks: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between the keys that rows (jk, key, t) of ``tasks`` bring together."""
+    """(a, b) of the keys that rows (jk, key, t) of ``tasks`` bring together: each linked key and
+    the first of its component in the task, those of side -1 before others."""
     tasks = materialize(tasks.groupBy("jk", "key").agg(F.collect_list("t").alias("tasks")), "jaccard-tasks")
     fetched = docs.select("jk", "text").join(tasks, "jk").select("text", "key", "tasks")
     names = ["block", "x", "y", "side", "key", "hashes"]
@@ -554,7 +576,8 @@ def meet(docs: DataFrame, tasks: DataFrame, size: int, percent: int) -> DataFram
 
         def links() -> pa.RecordBatch:
             keys = list(rows)
-            got = linked([rows[k][1] for k in keys], np.array([rows[k][0] for k in keys]), percent) if len(keys) > 1 and any(rows[k][0] == 0 for k in keys) else []
+            got = linked([rows[k][1] for k in keys], np.array([rows[k][0] for k in keys]), percent) if len(keys) > 1 and any(rows[k][0] <= 0 for k in keys) else []
+            got = stars_of(got, [(rows[k][0], k) for k in keys])
             return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in got], pa.string()), pa.array([keys[j] for _, j in got], pa.string())], names=["a", "b"])
 
         for batch in batches:
