@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import in_batches
 
-CACHE_PIECES = 100_000
-ROWS = 500
+CACHE_PIECES = 60_000
+ROWS = 1000
 
 
 def byte_letters() -> list[str]:
