@@ -59,7 +59,7 @@ GROUP_OF = np.repeat(np.arange(GROUPS, dtype=np.uint8), SIZES)
 MEMBER_OF = np.arange(SLOTS) - FIRST[GROUP_OF]
 ROUNDS, BATCH, RATE = 4, 384, 0.03
 #: Windows that are scored at once; sums of weights that one task adds up.
-SCORED, FAN = 512, 32
+SCORED, FAN = 1024, 32
 #: Words whose ids a worker keeps.
 CACHE = 1_000_000
 #: The end's place among the hashes of words; no word has it.
@@ -304,7 +304,7 @@ def attend(w: dict, x: np.ndarray, skip: int = 0) -> tuple:
     """Masked attention over windows of slots (N, L), for the places from ``skip`` on: inputs,
     queries, attention before division by its sums, the sums, mixed inputs, outputs."""
     n = x.shape[1]
-    X = w["E"][x]
+    X = w["E"].take(x, axis=0)
     X += w["P"][:n]
     own = X[:, skip:]
     Q = times(own, w["M"])
@@ -338,7 +338,7 @@ def _log_softmax(H: np.ndarray, U: np.ndarray, b: np.ndarray, of: np.ndarray) ->
 def log_prob(w: dict, H: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log probability of slot y after each output."""
     order, groups = by_group(y)
-    H, y = H[order], y[order]
+    H, y = H.take(order, axis=0), y.take(order)
     got = _log_softmax(H, w["U"], w["b"], GROUP_OF[y])
     for k, i, j in groups:
         got[i:j] += _log_softmax(H[i:j], w["V"][:, k], w["c"][k], MEMBER_OF[y[i:j]])
@@ -355,7 +355,7 @@ def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     targets = y.ravel()[rows]
     order, groups = by_group(targets)
     rows, targets = rows[order], targets[order]
-    H = out.reshape(-1, WIDTH)[rows]
+    H = out.reshape(-1, WIDTH).take(rows, axis=0)
     weight = flat.dtype.type(1 / max(1, len(rows)))
 
     def softmax(L: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -396,7 +396,7 @@ def gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     slot = x.ravel().astype(np.uint16)
     order = np.argsort(slot, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], slot[order[1:]] != slot[order[:-1]])))
-    g["E"][slot[order[first]]] = np.add.reduceat(dX.reshape(-1, WIDTH)[order], first, axis=0)
+    g["E"][slot[order[first]]] = np.add.reduceat(dX.reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
     return np.concatenate([g[k].ravel() for k in SHAPES]).astype(flat.dtype)
 
 
@@ -419,17 +419,23 @@ class Adam:
         self.flat = self.flat - np.float32(self.rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)) * self.m / root
 
 
+def views(c: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows from each place of a run of texts' slots: of the slots before, and of the slots.
+    Before a text's first slot comes the END of the text before it."""
+    padded = np.concatenate((np.array([end], c.dtype), c, np.zeros(WINDOW, c.dtype)))
+    at = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
+    return at[:-1], at[1:]
+
+
 def pass_over(adam: Adam, ids: np.ndarray, of: np.ndarray, number: int, seed: int) -> int:
     """Steps over share ``number`` of the windows of a block's texts; how many windows."""
     left, length = windows_of(ids)
-    of = of.astype(np.int32)
+    before, c = views(of.astype(np.uint16).take(ids), of[END])
     order = np.random.default_rng(seed).permutation(len(left))
     order = order[len(order) * number // ROUNDS : len(order) * (number + 1) // ROUNDS]
     for at in range(0, len(order), BATCH):
         pick = order[at : at + BATCH]
-        place = np.minimum(left[pick][:, None] + np.arange(WINDOW), len(ids) - 1)
-        # before a text's first id comes the END of the text before it
-        adam.step(of[ids[place - 1]], np.where(np.arange(WINDOW) < length[pick][:, None], of[ids[place]], -1))
+        adam.step(before[left[pick]], np.where(np.arange(WINDOW) < length[pick][:, None], c[left[pick]].astype(np.int32), -1))
     return len(order)
 
 
@@ -484,11 +490,9 @@ def average(sums: DataFrame, n_blocks: int, otherwise: np.ndarray) -> np.ndarray
 def log10_scores(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, flat: np.ndarray) -> np.ndarray:
     """log10 probability of each text from its ids; windows of equal shape go in batches."""
     w = unpack(flat)
-    c = vocabulary.of[ids]
     ends = np.cumsum(sizes)
     begin = ends - sizes
-    before = np.concatenate(([0], c[:-1]))
-    before[begin] = vocabulary.of[END]
+    before, c = views(vocabulary.of.astype(np.uint16).take(ids), vocabulary.of[END])
     out = np.add.reduceat(vocabulary.share[ids], begin) if len(ids) else np.zeros(0)  # no text is without an END
     # a text's first window scores all its ids; the k-th starts at k * STRIDE and scores those after the first window's end
     extra = np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
@@ -500,10 +504,13 @@ def log10_scores(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, fla
         for at in range(0, len(order), SCORED):
             pick = order[at : at + SCORED]
             wide = int(length[pick].max())
-            place = np.minimum(left[pick][:, None] + np.arange(wide), len(c) - 1)
-            H = attend(w, before[place], skip)[-1]
+            x = before[left[pick], :wide]
+            if not skip:
+                x[:, 0] = vocabulary.of[END]
+            H = attend(w, x, skip)[-1]
             use = np.arange(skip, wide) < length[pick][:, None]
-            got = log_prob(w, H[use], c[place[:, skip:]][use])
+            scored = np.flatnonzero(use)
+            got = log_prob(w, H.reshape(-1, WIDTH).take(scored, axis=0), c[left[pick], skip:wide].ravel().take(scored))
             out += np.bincount(np.repeat(doc[pick], use.sum(1)), got, len(sizes))
     return out / math.log(10)
 
