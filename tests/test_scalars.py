@@ -45,3 +45,12 @@ def test_dates_currency_confidence(spark):
 
 def test_spreadsheet_guard(spark):
     assert values(spark, text.spreadsheet_safe, ['=1+"a"', " -x", "ok", '"']) == ['"\'=1+""a"""', "\"' -x\"", '"ok"', '""""']
+
+
+def test_labels_have_no_compatibility_forms(spark):
+    from pyspark.sql import functions as F
+
+    from tabulon.functions.text import normalize_label
+
+    df = spark.createDataFrame([("Ｐｒｉｃｅ　１",), ("ﬁnal oﬀer",), ("Цена за ед.",)], "t string")
+    assert [r[0] for r in df.select(normalize_label(F.col("t"))).collect()] == ["price 1", "final offer", "цена за ед"]
