@@ -7,16 +7,20 @@ row of its own, so that no row holds a whole oversized record. Spark's own text
 writes them with the record end as line end and gzip, commits them atomically and
 reaches any store that Spark reaches; the files are ordinary ``.warc`` streams.
 
-Reading: Spark's text source splits the streams at the record end; a parser takes the
+Reading: Spark's text source splits the streams at a separator; a parser takes the
 pieces in file order and gives a chunk table: record id, chunk number, the chunk's
 bytes, and the payload's length and SHA-1 so far, carried from chunk to chunk. The
 last chunk's digest is that of the payload; it never needs the payload in one piece.
+Archives of other writers are read, too: every record type, ids of any form (as text,
+without brackets), blocks without HTTP head, absent or other payload digests (not
+verified). They are read with ``separator="\n"``: a piece is then a line of a payload.
 
 Defined results: a null payload is empty; of rows with equal payloads of at least
 ``min_revisit_bytes`` bytes the smallest id is the response (all rows with that id, if
 it repeats; null ids only where no other is left), the others revisit it; an empty table
-gives an empty archive and result; only id, URL and payload columns are read. A digest
-that does not fit its header stops the read with an error.
+gives an empty archive and result; only id, URL and payload columns are read. Ids may be
+of any atomic type. A digest that does not fit its header, a record that ends early and
+a segment without its successor stop the read with an error.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,15 +46,15 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def plan_revisits(df: DataFrame, *, id_col: str, payload_col: str, min_revisit_bytes: int = 0) -> DataFrame:
-    """``df`` (id, url, payload) with ``refers_to``: null for responses."""
+def plan_revisits(df: DataFrame, *, id_col: str, payload_col: str, url_col: str = "url", min_revisit_bytes: int = 0) -> DataFrame:
+    """``df`` (id, URL, payload) with ``refers_to``: null for responses."""
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8")
     keyed = df.withColumn("__sha", F.unhex(F.sha1(payload))).withColumn("__size", F.octet_length(payload))
     repeated = keyed.where(F.col("__size") >= min_revisit_bytes).groupBy("__sha").agg(F.min(id_col).alias("__first"), F.count("*").alias("__n")).where("__n > 1").select("__sha", "__first")
     # written first, so that both sides of the join are plain exchanges, which Spark splits where a payload has many rows
     joined = keyed.join(materialize(repeated, "warc-repeated"), "__sha", "left")
     own = F.col("__first").isNull() | F.col(id_col).eqNullSafe(F.col("__first"))
-    return joined.select(id_col, "url", payload_col, F.when(~own, F.col("__first")).alias("refers_to"))
+    return joined.select(id_col, url_col, payload_col, F.when(~own, F.col("__first")).alias("refers_to"))
 
 
 def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,12 +98,16 @@ def record_rows(rid, url: str | None, payload: bytes, ref) -> Iterator[bytes]:
 
 
 def name(rid, segment: int | None = None) -> str:
-    return f"<urn:page:{'' if rid is None else rid}{'' if segment is None else f':segment:{segment}'}>"
+    place = "" if segment is None else f":segment:{segment}"
+    return f"<urn:nil{place}>" if rid is None else f"<urn:page:{quote(str(rid), safe='')}{place}>"
 
 
-def rid_of(value: str | None) -> int | None:
-    text = (value or "").removeprefix("<urn:page:").removesuffix(">").split(":")[0]
-    return int(text) if text else None
+def rid_of(value: str | None) -> str | None:
+    """The id in a record's name: what ``name`` was given, or another writer's name."""
+    text = (value or "").strip().removeprefix("<").removesuffix(">")
+    if text.startswith("urn:page:"):
+        return unquote(text.removeprefix("urn:page:"))
+    return None if text in ("", "urn:nil") else text
 
 
 def write_archive(planned: DataFrame, path: str) -> None:
@@ -108,25 +117,29 @@ def write_archive(planned: DataFrame, path: str) -> None:
 
 
 class Parser:
-    """Pieces of a stream, cut at each record end, to (header, block bytes) parts. A part
-    is at most a piece, so that a block with record ends in it comes in several."""
+    """Pieces of a stream, cut at each ``separator``, to (header, block bytes) parts. A part
+    is at most a piece, so that a block with separators in it comes in several."""
 
-    def __init__(self):
+    def __init__(self, separator: str = END):
+        self.separator = separator.encode()
         self.header: dict | None = None
+        self.held = b""
         self.left = 0
 
     def feed(self, piece: bytes) -> Iterator[tuple[dict, bytes, bool]]:
         """(header, bytes of its block, whether the block ends) in one piece and its end."""
-        data = piece + END.encode()
-        while True:
+        data = piece + self.separator
+        while data:
             if self.header is None:
-                data = data.lstrip(b"\r\n")  # what ended the record before
-                if not data:
+                data = (self.held + data).lstrip(b"\r\n")  # what ended the record before
+                if data[:5] != b"WARC/"[: len(data)] or len(data) > SEGMENT and END.encode() not in data[:SEGMENT]:
+                    raise ValueError(f"no record begins with {data[:40]!r}")
+                head, end, rest = data.partition(END.encode())
+                self.held = b"" if end else data
+                if not end:
                     return
-                head, _, data = data.partition(END.encode())
-                lines = head.decode("utf-8").split("\r\n")
-                if not lines[0].startswith("WARC/"):
-                    raise ValueError(f"no record begins with {lines[0][:40]!r}")
+                data = rest
+                lines = head.decode("utf-8", "replace").split("\r\n")
                 self.header = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
                 self.left = int(self.header["content-length"])
                 if self.left and not data:
@@ -137,20 +150,18 @@ class Parser:
             if self.left == 0:
                 self.header = None
             yield header, part, self.left == 0
-            if not data:
-                return
 
 
-CHUNKS = "record_id long, chunk long, data binary, record_type string, refers_to long, payload_bytes long, payload_digest string, last boolean"
+CHUNKS = "record_id string, chunk long, data binary, record_type string, refers_to string, payload_bytes long, payload_digest string, last boolean"
 
 
-def chunks(keep_data: bool):
+def chunks(keep_data: bool, separator: str = END):
     """Parser of archive pieces into the chunk table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         state: dict | None = None
-        parser = Parser()
+        parser = Parser(separator)
         for batch in batches:
             held = 0
             for i in range(batch.num_rows):
@@ -163,7 +174,7 @@ def chunks(keep_data: bool):
                     out, held = [], 0
             yield _table(out)
             out = []
-        if parser.header is not None or state is not None and not state["over"]:
+        if parser.header is not None or parser.held or state is not None and not state["over"]:
             raise ValueError("the archive ends inside a record")
 
     return run
@@ -175,7 +186,12 @@ def advance(state: dict | None, header: dict, data: bytes, ends: bool, out: list
     if state is None or state["over"]:
         if kind == "continuation":
             raise ValueError("a continuation without its first segment")
-        state = {"h": header, "n": 0, "size": 0, "sha": hashlib.sha1(), "http": b"", "head": False, "over": False, "length": None}
+        http = header.get("content-type", "").startswith("application/http")
+        state = {"h": header, "now": header, "n": 0, "size": 0, "sha": hashlib.sha1(), "http": b"", "head": not http, "over": False, "length": None}
+    elif header is not state["now"]:
+        if kind != "continuation":
+            raise ValueError(f"a segment of {state['h']['warc-record-id']} is missing")
+        state["now"] = header
     if not state["head"]:
         state["http"] += data
         at = state["http"].find(END.encode())
@@ -191,11 +207,12 @@ def advance(state: dict | None, header: dict, data: bytes, ends: bool, out: list
     h = state["h"]
     more = "warc-segment-number" in h and "warc-segment-total-length" not in header
     last = ends and not more
-    said = h["warc-payload-digest"].removeprefix("sha1:")
+    said = h.get("warc-payload-digest", "")
+    said = said.removeprefix("sha1:") if said.startswith("sha1:") else None
     digest, size = base32(state["sha"].digest()), state["size"]
     if last and h["warc-type"] == "revisit":  # the payload is its response's
         digest, size = said, state["length"]
-    elif last and digest != said:
+    elif last and said is not None and digest != said:
         raise ValueError(f"the payload of {h['warc-record-id']} does not fit its digest")
     out.append((rid_of(h["warc-record-id"]), state["n"], data if keep_data else None, h["warc-type"], rid_of(h.get("warc-refers-to")), size, digest, last))
     state["n"] += 1
@@ -204,21 +221,24 @@ def advance(state: dict | None, header: dict, data: bytes, ends: bool, out: list
 
 
 def _table(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
     cols = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in CHUNKS.split(", ")])
 
 
-def read_archive(spark: SparkSession, path: str, *, keep_data: bool = True) -> DataFrame:
-    """The chunk table of the archives under ``path``. Gzipped files are not split, so
-    that each is parsed as one stream; memory is one piece of one record."""
-    pieces = spark.read.option("lineSep", END).text(path).select(F.col("value").cast("binary").alias("value"))
-    return in_batches(pieces, chunks(keep_data), CHUNKS)
+def read_archive(spark: SparkSession, path: str, *, keep_data: bool = True, separator: str = END, id_type: str = "long") -> DataFrame:
+    """The chunk table of the gzipped archives under ``path``, ids as ``id_type``. Such files
+    are not split, so that each is parsed as one stream (plain files must be gzipped first);
+    memory is one piece of one record. Archives written here have pieces of at most a segment
+    at the record end; those of other writers take ``separator="\n", id_type="string"``."""
+    pieces = spark.read.option("lineSep", separator).text(path).select(F.col("value").cast("binary").alias("value"))
+    found = in_batches(pieces, chunks(keep_data, separator), CHUNKS)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("record_id", "refers_to")})
 
 
 def op1_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = new_path(spark, "warc")
     write_archive(plan_revisits(pages, id_col="page_id", payload_col="html"), path)
-    found = read_archive(spark, path, keep_data=False).where("last")
+    found = read_archive(spark, path, keep_data=False, id_type=pages.schema["page_id"].dataType.simpleString()).where("last")
     return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
