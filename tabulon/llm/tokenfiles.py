@@ -52,14 +52,16 @@ def encoder(path: str | None):
 def write_tokens(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Write one token file for each partition of ``df``; rows (part, file, block, data,
     place, doc): blocks, and the ids of the documents in the order of writing."""
-    kind = df.schema[id_col].dataType
+    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         file = TaskContext.get().partitionId()
         rest = np.zeros(0, "<u2")
         block = place = 0
+        doc = None
         for batch in batches:
+            doc = batch.column(0).type
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column(1).to_pylist()
@@ -68,19 +70,19 @@ def write_tokens(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 cut = len(rest) // BLOCK * BLOCK
                 data = [rest[i : i + BLOCK].tobytes() for i in range(0, cut, BLOCK)]
                 rest = rest[cut:]
-                yield _rows(file, block, data)
+                yield _rows(file, block, data, doc)
                 block += len(data)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(["ids"] * n), pa.array([file] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(place, place + n), pa.int64()), part.column(0)], names=["part", "file", "block", "data", "place", "doc"])
                 place += n
         if len(rest):
-            yield _rows(file, block, [rest.tobytes()])
+            yield _rows(file, block, [rest.tobytes()], doc)
 
-    def _rows(file: int, block: int, data: list[bytes]) -> pa.RecordBatch:
+    def _rows(file: int, block: int, data: list[bytes], doc: pa.DataType) -> pa.RecordBatch:
         n = len(data)
-        return pa.RecordBatch.from_arrays([pa.array(["tokens"] * n, pa.string()), pa.array([file] * n, pa.int64()), pa.array(range(block, block + n), pa.int64()), pa.array(data, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64() if kind.simpleString() == "bigint" else None)], names=["part", "file", "block", "data", "place", "doc"])
+        return pa.RecordBatch.from_arrays([pa.array(["tokens"] * n, pa.string()), pa.array([file] * n, pa.int64()), pa.array(range(block, block + n), pa.int64()), pa.array(data, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, doc)], names=["part", "file", "block", "data", "place", "doc"])
 
-    rows = in_batches(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), run, "part string, file long, block long, data binary, place long, doc long")
+    rows = in_batches(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), run, f"part string, file long, block long, data binary, place long, doc {kind}")
     return materialize(rows, "tokens", "part")
 
 
@@ -126,18 +128,24 @@ def scan(blocks: DataFrame, end: int = END) -> DataFrame:
 
 
 def counts(blocks: DataFrame, end: int = END) -> DataFrame:
-    """(file, place, n_tokens, ended) of each document, places from 0 in each file."""
+    """(file, place, n_tokens, ended) of each document, places from 0 in each file.
+
+    The scan's result is written. The prefix scan over a file's blocks carries four numbers
+    a block (of 512 KB), never the lengths; these are joined to it by block."""
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    found = scan(blocks, end).withColumn("has", F.col("head").isNotNull().cast("int"))
-    found = found.withColumn("run", F.sum("has").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("base", F.coalesce(F.sum(F.when(F.col("has") == 1, F.size("inner") + 1).otherwise(0)).over(before), F.lit(0)))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    scanned = materialize(scan(blocks, end), "scan")
+    sums = scanned.select("file", "block", "tail", F.col("head").isNotNull().alias("has"), F.when(F.col("head").isNotNull(), F.size("inner") + 1).otherwise(0).alias("n"))
+    sums = sums.withColumn("run", F.sum(F.col("has").cast("int")).over(upto)).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # tokens since the last separator, up to and with this block; one run starts at each block with a separator
-    open_ = F.sum("tail").over(Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("open", open_)
-    found = found.withColumn("carry", F.coalesce(F.lag("open").over(order), F.lit(0))).withColumn("final", F.lead("block").over(order).isNull())
-    lens = F.when(F.col("has") == 1, F.concat(F.array(F.col("head") + F.col("carry")), F.col("inner"))).otherwise(F.array().cast("array<long>"))
-    closed = found.select("file", "base", F.posexplode(lens)).select("file", (F.col("base") + F.col("pos")).alias("place"), F.col("col").alias("n_tokens"), F.lit(True).alias("ended"))
-    left = found.where("final and open > 0").select("file", (F.col("base") + F.when(F.col("has") == 1, F.size("inner") + 1).otherwise(0)).alias("place"), F.col("open").alias("n_tokens"), F.lit(False).alias("ended"))
+    sums = sums.withColumn("open", F.sum("tail").over(Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = sums.withColumn("carry", F.coalesce(F.lag("open").over(order), F.lit(0))).withColumn("final", F.lead("block").over(order).isNull())
+    sums = materialize(sums.drop("run", "tail"), "sums")
+    lens = F.concat(F.array(F.col("head") + F.col("carry")), F.col("inner"))
+    closed = scanned.where("head is not null").select("file", "block", "head", "inner").join(sums.where("has").select("file", "block", "base", "carry"), ["file", "block"])
+    closed = closed.select("file", "base", F.posexplode(lens)).select("file", (F.col("base") + F.col("pos")).alias("place"), F.col("col").alias("n_tokens"), F.lit(True).alias("ended"))
+    left = sums.where("final and open > 0").select("file", (F.col("base") + F.col("n")).alias("place"), F.col("open").alias("n_tokens"), F.lit(False).alias("ended"))
     return closed.unionByName(left)
 
 
