@@ -29,6 +29,8 @@ from .shingles import shingle_sets
 SHINGLE = 5
 #: One in this many hashes is kept.
 SCALE = 8
+#: Bytes of text in a range of documents.
+RANGE_BYTES = 128 << 20
 
 
 def sketches(texts: list[bytes], scale: int = SCALE, size: int = SHINGLE) -> list[np.ndarray]:
@@ -64,18 +66,22 @@ def merge(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (bucket, place, id, text) such that inside each bucket, sorted by place, each
+def with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """Rows (bucket, borrowed, id, text), and the number of buckets, such that inside each bucket, sorted by place, each
     row is followed by its next document in descending order of id, and the last row of
     a bucket is a borrowed copy (``borrowed``) of the row after it. Rows with equal ids
     are ordered by their text's hash; null ids come last.
 
-    Buckets are ranges of ids with about equally many rows, as many as there are shuffle
-    partitions; only the ranges' bounds and each range's first key go to the driver."""
+    Buckets are ranges of integer ids with about equally many rows: one for each
+    ``RANGE_BYTES`` of text, at least as many as there are shuffle partitions. Only the
+    ranges' bounds and each range's first key go to the driver."""
     spark = df.sparkSession
+    if df.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be an integer, as documents follow each other in its order")
     d = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = d.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 1000).alias("q")).first()["q"] if n > 1 else []
+    size = d.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    marks = d.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(1000, 10 * n)).alias("q")).first()["q"] if n > 1 else []
     bounds = -np.array(sorted(set(marks or ()), reverse=True), np.int64)
 
     @F.pandas_udf("int")
@@ -95,14 +101,13 @@ def with_next(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     d = d.join(F.broadcast(heads), "bucket").withColumn("lend", F.when(at_head, F.col("lend")))
     own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("x"))
     to = F.when(F.col("lend").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("lend").alias("b"), F.lit(True).alias("x"))))
-    return d.select("id", "text", F.explode(to).alias("t")).select(F.col("t.b").alias("bucket"), F.col("t.x").alias("borrowed"), "id", "text")
+    return d.select("id", "text", F.explode(to).alias("t")).select(F.col("t.b").alias("bucket"), F.col("t.x").alias("borrowed"), "id", "text"), n
 
 
 def compare(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each document and of its edit, and likeness to the edit and to the next."""
     kind = df.schema[id_col].dataType.simpleString()
-    rows = with_next(df, id_col=id_col, text_col=text_col)
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows, n = with_next(df, id_col=id_col, text_col=text_col)
     # null ids sort last; equal ids by hash; a borrowed row after all others
     rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "borrowed", F.col("id").desc_nulls_last(), F.sha1(F.encode("text", "utf-8")))
     schema = f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
