@@ -85,6 +85,37 @@ def test_warc_files_are_plain_archives(spark):
     assert text.count("WARC-Type: revisit") == 1 and "WARC-Refers-To: <urn:page:1>" in text
 
 
+def test_warc_ids_of_other_types(spark):
+    rows = [("a b>:/é", "u", "same"), ("", "u", "same"), ("urn:x", "u", None), (None, "u", "same")]
+    path = new_path(spark, "warc")
+    planned = warc.plan_revisits(spark.createDataFrame(rows, "key string, link string, html string"), id_col="key", url_col="link", payload_col="html")
+    warc.write_archive(planned, path)
+    got = {(r.record_id, r.record_type, r.refers_to) for r in warc.read_archive(spark, path, id_type="string").collect()}
+    assert got == {("a b>:/é", "revisit", ""), ("", "response", None), ("urn:x", "response", None), (None, "revisit", "")}
+
+
+def test_warc_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    def record(kind, rid, body, *more):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{rid}>", *more, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    page = b"<p>\n\r\n" + bytes(range(256)) * 20
+    said = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(page).digest()).decode()
+    http = "Content-Type: application/http; msgtype=response"
+    parts = [record("warcinfo", "urn:uuid:1", b"software: x\r\nformat: WARC\r\n"), record("response", "urn:uuid:2", b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\n" + page, http, said), record("metadata", "urn:uuid:3", b""), record("resource", "urn:uuid:4", page, "WARC-Payload-Digest: md5:zz"), record("revisit", "urn:uuid:5", b"HTTP/1.1 200 OK\r\n\r\n", http, said, "WARC-Refers-To: <urn:uuid:2>")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))  # a member for each record
+    for separator in ("\n", warc.END):
+        chunks = warc.read_archive(spark, str(tmp_path), separator=separator, id_type="string")
+        got = {r.record_id.removeprefix("urn:uuid:"): (r.record_type, r.payload_bytes, r.refers_to) for r in chunks.where("last").collect()}
+        assert got == {"1": ("warcinfo", 27, None), "2": ("response", len(page), None), "3": ("metadata", 0, None), "4": ("resource", len(page), None), "5": ("revisit", None, "urn:uuid:2")}
+        data = b"".join(r.data for r in sorted(chunks.where("record_id = 'urn:uuid:2'").collect(), key=lambda r: r.chunk))
+        assert data == page
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record("response", "urn:uuid:2", b"HTTP/1.1 200 OK\r\n\r\n" + page[1:], http, said)))
+    with pytest.raises(Exception, match="does not fit its digest"):
+        warc.read_archive(spark, str(tmp_path), separator="\n", id_type="string").collect()
+
+
 def test_warc_empty_and_query(spark):
     _, chunks = archive(spark, spark.createDataFrame([], "page_id long, url string, html string"))
     assert chunks.count() == 0
@@ -533,6 +564,15 @@ def test_token_counts(spark, texts, monkeypatch, odd_docs):
     assert n.count() == odd_docs.count() and n.where("n_tokens = 0").count() == 2
 
 
+def test_token_files_of_named_documents(spark):
+    df = spark.createDataFrame([("a", "one two"), ("b", None), (None, "three"), ("a", "")], "doc_id string, text string").coalesce(1)
+    w = tokenfiles.write_tokens(df)
+    n = tokenfiles.counts(w.where("part = 'tokens'")).join(w.where("part = 'ids'"), ["file", "place"])
+    e = tokenfiles.encoder(None)
+    want = [("a", len(e.encode_ordinary("one two"))), ("b", 0), (None, len(e.encode_ordinary("three"))), ("a", 0)]
+    assert sorted(map(str, ((r.doc, r.n_tokens) for r in n.collect()))) == sorted(map(str, want))
+
+
 def test_flat_files(spark, tmp_path):
     rng = np.random.default_rng(3)
     end = tokenfiles.END
@@ -552,6 +592,17 @@ def test_flat_files(spark, tmp_path):
 # ---- op8
 
 
+def test_ranges_grow_with_the_text(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    one = {tuple(r) for r in fingerprint.compare(df).collect()}
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 1 << 13)
+    rows, n = fingerprint.with_next(df)
+    assert n > 20 and rows.select("bucket").distinct().count() > 20
+    assert {tuple(r) for r in fingerprint.compare(df).collect()} == one
+    with pytest.raises(TypeError):
+        fingerprint.with_next(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_fingerprints(spark, texts):
     got = {r.doc_id: r for r in fingerprint.op8_scaled_sketch(spark, SF).collect()}
     ids = sorted(texts, reverse=True)
