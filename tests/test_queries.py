@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from tabulon.plans import answers  # noqa: F401 - registers its queries
 from tabulon.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
