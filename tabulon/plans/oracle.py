@@ -129,5 +129,7 @@ fields AS (SELECT * FROM (SELECT doc_id, block, row, col, field, {strip("coalesc
 
 SHINGLES = f"""toks AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(regexp_replace({label('text')}, '[0-9]+', '#', 'g'), ' +'), lambda x: x <> '') AS w FROM documents),
 shingles AS (SELECT DISTINCT id, md5(array_to_string(w[i:i + 4], ' ')) AS shingle FROM (SELECT id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM toks WHERE len(w) >= 5))"""
-PAIRS = f"""{SHINGLES}, sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id), hits AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL),
-pairs AS (SELECT a, b, p.n AS na, q.n AS nb, common FROM hits JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b WHERE 100 * least(p.n, q.n) >= 72 * greatest(p.n, q.n) AND 100 * common >= 72 * (p.n + q.n - common))"""
+#: Pairs between the least ids of equal sets, and from these to the others of their class.
+PAIRS = f"""{SHINGLES}, sets AS (SELECT id, count(*) AS n, md5(string_agg(shingle, '' ORDER BY shingle)) AS k FROM shingles GROUP BY id), classes AS (SELECT id, n, min(id) OVER (PARTITION BY k) AS rep FROM sets), sizes AS (SELECT id, n FROM classes WHERE id = rep), own AS (SELECT id, shingle FROM shingles JOIN sizes USING (id)),
+hits AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM own x JOIN own y ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL),
+pairs AS (SELECT a, b, p.n AS na, q.n AS nb, common FROM hits JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b WHERE 100 * least(p.n, q.n) >= 72 * greatest(p.n, q.n) AND 100 * common >= 72 * (p.n + q.n - common) UNION ALL SELECT rep, id, n, n, n FROM classes WHERE id <> rep)"""
