@@ -387,7 +387,7 @@ def exact_dedup(spark, sf_dir):
 
 @query(f"WITH {Q.SHINGLES} SELECT id AS doc_id, count(*) AS n_shingles, min(shingle) AS least FROM shingles GROUP BY id")
 def shingle_signature(spark, sf_dir):
-    return U.shingles(table(spark, sf_dir, "documents")).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_shingles"), F.min("shingle").alias("least"))
+    return U.shingles(table(spark, sf_dir, "documents")).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_shingles"), F.lower(F.hex(F.min("shingle"))).alias("least"))
 
 
 @query(f"WITH {Q.PAIRS} SELECT * FROM pairs")
