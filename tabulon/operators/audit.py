@@ -59,10 +59,10 @@ def corpus_fingerprint(df: DataFrame, key: str, *groups: str) -> DataFrame:
 
 def frozen_changes(frozen: DataFrame, now: DataFrame, *groups: str) -> DataFrame:
     """Groups whose fingerprint is not the frozen one, new and lost groups included."""
-    same = ("n", "high", "low")
-    a = frozen.select(*groups, F.struct(*same).alias("__a"))
-    b = now.select(*groups, F.struct(*same).alias("__b"))
-    return a.join(b, list(groups), "full_outer").where(~F.col("__a").eqNullSafe(F.col("__b"))).select(*groups)
+    digest = F.struct("n", "high", "low")
+    none = F.lit(None).cast("struct<n:bigint,high:bigint,low:bigint>")
+    both = frozen.select(*groups, digest.alias("was"), none.alias("is")).unionByName(now.select(*groups, none.alias("was"), digest.alias("is")))
+    return both.groupBy(*groups).agg(F.max("was").alias("was"), F.max("is").alias("is")).where(~F.col("was").eqNullSafe(F.col("is"))).drop("was", "is")
 
 
 def item_issues(name: Column, numbers: dict[str, Column], conflict: Column) -> Column:
