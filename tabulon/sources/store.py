@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write and read back in the folder of ``spark.checkpoint.dir`` that all executors share;
     where that is unset and all runs in one process, as in tests, in a temporary folder."""
@@ -21,10 +25,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         at = "file://" + tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/tabulon/{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``stage`` has left; results that still read them end."""
+    for owner, path in [x for x in _staged if x[0] is spark]:
+        _staged.remove((owner, path))
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; nothing else depends on it
+            return
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark in {id(s): s for s, _ in _staged}.values():
+        if spark._sc is not None and spark._sc._jsc is not None:
+            release(spark)
+
+
 def insert_once(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of ``new`` with the outcome of an idempotent insert: the first of each key that
     is not stored yet is inserted, the others are duplicates of ``kept``."""

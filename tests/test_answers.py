@@ -82,3 +82,13 @@ def test_empty_tables_and_nulls(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "a")], "id long, v string")
     assert [r.unchanged for r in U.unchanged(df, df, ("id", "v")).collect()] == [True] * 3
     assert U.frozen_changes(U.corpus_fingerprint(df, "id"), U.corpus_fingerprint(df.orderBy(F.desc("id")), "id")).count() == 0
+
+
+def test_staged_tables_are_released(spark):
+    from tabulon.sources import store
+
+    other = spark.newSession()
+    path = store.stage(other.range(3).toDF("x"), "gone").inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert glob.glob(path + "/*.parquet")
+    store.release(other)
+    assert not glob.glob(path) and not [x for x in store._staged if x[0] is other]
