@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import LOWER, UPPER
 from .mixing import ORACLE as MIXING
 from .quality import CLASSES, COMMON, Rules
+from .vectorcodes import ORACLE as VECTORS
 
 _WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -47,4 +48,4 @@ reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT g.b, r
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, r.root AS component_id FROM documents JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) r ON r.id = doc_id LEFT JOIN n ON n.id = doc_id
 """
 
-ORACLES = {"op1_chunked_records": WARC, "op2_distribution_divergence": QUALITY, "op3_count_vector_tree": JACCARD, "op9_temperature_mixing": MIXING}
+ORACLES = {"op1_chunked_records": WARC, "op2_distribution_divergence": QUALITY, "op3_count_vector_tree": JACCARD, "op9_temperature_mixing": MIXING, "op13_exponion_codes": VECTORS}
