@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard, lm, mixing, pii, quality, tokenfiles, urlfilter, vectorcodes, warc
+from . import bpe, fingerprint, jaccard, lm, mixing, pii, quality, runs, tokenfiles, urlfilter, vectorcodes, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,6 +20,7 @@ QUERIES = {
         fingerprint.op8_scaled_sketch,
         mixing.op9_temperature_mixing,
         urlfilter.op10_character_ratio,
+        runs.op11_periodic_runs,
         vectorcodes.op13_exponion_codes,
     )
 }
