@@ -48,4 +48,12 @@ reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT g.b, r
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, r.root AS component_id FROM documents JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) r ON r.id = doc_id LEFT JOIN n ON n.id = doc_id
 """
 
-ORACLES = {"op1_chunked_records": WARC, "op2_distribution_divergence": QUALITY, "op3_count_vector_tree": JACCARD, "op9_temperature_mixing": MIXING, "op13_exponion_codes": VECTORS}
+REPEATS = f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS MATERIALIZED (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM t WHERE len(w) > 34)),
+hot AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS s FROM (SELECT r, unnest(w) AS x, unnest(generate_series(1, len(w))) AS i FROM t) ANTI JOIN hot USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op1_chunked_records": WARC, "op2_distribution_divergence": QUALITY, "op3_count_vector_tree": JACCARD, "op9_temperature_mixing": MIXING, "op12_count_min_windows": REPEATS, "op13_exponion_codes": VECTORS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard, lm, mixing, pii, quality, runs, tokenfiles, urlfilter, vectorcodes, warc
+from . import bpe, fingerprint, jaccard, lm, mixing, pii, quality, runs, substrings, tokenfiles, urlfilter, vectorcodes, warc
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -21,6 +21,7 @@ QUERIES = {
         mixing.op9_temperature_mixing,
         urlfilter.op10_character_ratio,
         runs.op11_periodic_runs,
+        substrings.op12_count_min_windows,
         vectorcodes.op13_exponion_codes,
     )
 }

@@ -38,8 +38,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes], places: bool = False) -> tuple:
-    """Hash of each word of all texts (A-Z lower-cased), and how many words each text has;
+def word_hashes(texts: list[bytes], places: bool = False, fold: bool = True) -> tuple:
+    """Hash of each word of all texts (A-Z lower-cased if ``fold``), and how many words each text has;
     if asked for, also (start, end, joined texts) of the words."""
     joined = b" ".join([*texts, b""])
     raw = np.frombuffer(joined, np.uint8)
@@ -47,7 +47,7 @@ def word_hashes(texts: list[bytes], places: bool = False) -> tuple:
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     up, down = _power(len(raw) + 1)
-    value = (_FOLD[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)]
+    value = ((_FOLD[raw] if fold else raw).astype(np.uint64) + np.uint64(1)) * up[: len(raw)]
     total = np.concatenate(([np.uint64(0)], np.cumsum(value, dtype=np.uint64)))
     words = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _K[4])
     last = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
@@ -67,6 +67,16 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def window_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of ``size`` words from each of ``starts`` on, from running sums, however large the window."""
+    up, down = _power(len(words) + 1)
+    out = []
+    for k in (_K[1], _K[2]):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(mix(words ^ k) * up[: len(words)], dtype=np.uint64)))
+        out.append(mix((total[starts + size] - total[starts]) * down[starts]))
+    return out[0], out[1]
+
+
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Distinct shingle hashes, ascending, of each text. Fewer words than ``size`` are one
     shingle; no word gives none."""
