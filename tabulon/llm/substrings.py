@@ -41,8 +41,9 @@ from .common import give_back, materialize, new_path
 from .shingles import mix, shingle_hashes, window_hashes, word_hashes
 
 WINDOW, ANCHOR = 35, 8
-#: Bytes of text in a bucket of documents and in a shard of windows; a bucket has several blocks.
-BUCKET_BYTES, BLOCKS = 16 << 20, 4
+#: Bytes of text in a bucket of documents and in a shard of windows; a bucket has several blocks. Where there are fewer
+#: than tasks, blocks are smaller, but no smaller than so.
+BUCKET_BYTES, BLOCKS, LEAST_BYTES = 16 << 20, 4, 256 << 10
 #: A cell of the sketch for so many bytes of text (an anchor for some 90), in each of so many rows; cells in a shard at most.
 BYTES_A_CELL, SHARD_CELLS = 16, 1 << 22
 SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD6D018F5A1E0AC47))
@@ -101,14 +102,16 @@ def anchors(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 class Sizes:
-    """Numbers of buckets and shards, from the bytes of all texts."""
+    """Numbers of buckets, blocks and shards, from the bytes of all texts: each block sends a row to each shard, and
+    more of them for the sake of more tasks would be more rows from the same text."""
 
     def __init__(self, size: int, tasks: int):
-        self.buckets = max(tasks, -(-size // BUCKET_BYTES), 1)
-        self.blocks = BLOCKS * self.buckets
-        self.window_bits = max(1, (self.buckets - 1).bit_length())
+        full = -(-size // BUCKET_BYTES)
+        self.blocks = max(BLOCKS * full, min(tasks, size // LEAST_BYTES), 1)
+        self.buckets = max(full, min(tasks, self.blocks))
+        self.window_bits = max(1, (full - 1).bit_length())
         self.cell_bits = max(16, (size // BYTES_A_CELL).bit_length())
-        self.shard_bits = min(self.cell_bits, max(self.cell_bits - SHARD_CELLS.bit_length() + 1, self.window_bits - 1))
+        self.shard_bits = max(0, self.cell_bits - SHARD_CELLS.bit_length() + 1)
 
 
 def cells_of(keys: np.ndarray, seed: np.uint64, bits: int) -> np.ndarray:
