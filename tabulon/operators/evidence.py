@@ -61,3 +61,32 @@ def repeated_names(items: DataFrame, keys: tuple, name: str, order: tuple) -> Da
     """Items whose name, but for case and outer spaces, came earlier."""
     w = Window.partitionBy(*keys, F.lower(F.trim(name))).orderBy(*order)
     return items.withColumn("repeat", F.row_number().over(w) > 1)
+
+
+def evidence_trees(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc_id, node, valid) of evidence in trees of any depth, given as rows (doc_id, node, parent, kind, cell, excerpt).
+
+    A ``quote`` is valid if its excerpt is its cell's whole text; a ``list`` and a ``calculated`` entry are if they have sources
+    and all of them are. So an entry is invalid just when a bad quote or an entry without sources is below
+    it: these are found once, and climb from parent to parent, a round for each level, in which
+    only entries move that have turned invalid in the round before. Rounds are written, so that
+    lineage stays short; entries that name each other in a circle end, too."""
+    from ..sources.store import stage
+
+    n = stage(nodes.select("doc_id", "node", "parent", "kind", "cell", "excerpt"), "evidence")
+    quotes = n.where("kind = 'quote'").join(cells.select("doc_id", F.col("id").alias("cell"), "text"), ["doc_id", "cell"], "left")
+    wrong = quotes.where(~F.coalesce(F.col("text") == F.col("excerpt"), F.lit(False))).select("doc_id", "node", "parent")
+    entries = n.where("kind <> 'quote'")
+    used = n.where("parent is not null").select("doc_id", F.col("parent").alias("node")).distinct()
+    bare = entries.join(used, ["doc_id", "node"], "left_anti").select("doc_id", "node", "parent")
+    bad = stage(wrong.unionByName(bare), "invalid")
+    seen = bad
+    up = n.select("doc_id", "node", "parent")
+    while True:
+        above = bad.where("parent is not null").select("doc_id", F.col("parent").alias("node")).distinct()
+        bad = stage(up.join(above, ["doc_id", "node"], "left_semi").join(seen.select("doc_id", "node"), ["doc_id", "node"], "left_anti"), "invalid")
+        if bad.isEmpty():
+            break
+        seen = seen.unionByName(bad)
+    marks = seen.select("doc_id", "node").withColumn("bad", F.lit(True))
+    return n.select("doc_id", "node", "parent").join(marks, ["doc_id", "node"], "left").select("doc_id", "node", "parent", F.col("bad").isNull().alias("valid"))

@@ -17,6 +17,7 @@ from ..operators import dedup as U
 from ..operators import evidence as E
 from ..operators import fusion as G
 from ..operators import metrics as M
+from ..operators import partition as P
 from ..operators import rules as R
 from ..operators import validate as V
 from ..sources import offers as O
@@ -405,17 +406,10 @@ def similarity_components(spark, sf_dir):
 
 @query()
 def grouped_partition(spark, sf_dir):
-    """Splits without leaks: a group of similar or equal documents is in one split. The greedy
-    choice is sequential over groups; it runs on their sizes, one row for each group."""
+    """Splits without leaks: a group of similar or equal documents is in one split."""
     docs = table(spark, sf_dir, "documents")
     pairs = U.similar_pairs(K.stage(U.shingles(docs), "shingles"))
-    edges = pairs.select("a", "b").unionByName(U.same_texts(docs))
-    roots = U.connected(edges, docs.select(F.col("doc_id").alias("id")))
-    sizes = [(str(r["root"]), r["n"]) for r in roots.groupBy("root").agg(F.count("*").alias("n")).toLocalIterator()]
-    n = sum(s for _, s in sizes)
-    split = U.greedy_partition(sizes, min(50, max(1, n // 10)))
-    held = spark.createDataFrame([(int(k), v) for k, v in split.items() if v != "train"], "root long, held string")
-    return roots.join(held, "root", "left").select(F.col("id").alias("doc_id"), "root", F.coalesce("held", F.lit("train")).alias("split"))
+    return P.partition(docs.select("doc_id"), pairs.select("a", "b").unionByName(U.same_texts(docs)))
 
 
 _SPLIT = "CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'val' ELSE 'test' END"

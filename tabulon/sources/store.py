@@ -14,10 +14,9 @@ from pyspark.sql.window import Window
 _staged: list[tuple[SparkSession, str]] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back in the folder of ``spark.checkpoint.dir`` that all executors share;
-    where that is unset and all runs in one process, as in tests, in a temporary folder."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder of ``spark.checkpoint.dir`` that all executors share; where that is
+    unset and all runs in one process, as in tests, in a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -26,8 +25,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/tabulon/{name}-{uuid.uuid4().hex}"
     _staged.append((spark, path))
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write to a new place and read back."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,8 +1,6 @@
-"""Odd input of the answer checks, and the sinks."""
+"""Odd input of the answer checks."""
 
-import csv
 import glob
-import json
 
 from pyspark.sql import functions as F
 
@@ -10,7 +8,6 @@ from tabulon.operators import answers as A
 from tabulon.operators import audit as U
 from tabulon.operators import dataset as D
 from tabulon.operators import dedup, examples
-from tabulon.sources import sinks
 
 CELLS = "doc_id long, block long, row long, col long, text string, kind string, extra int"
 
@@ -55,23 +52,6 @@ def test_equal_sets_are_one_class(spark):
     assert all(x[0] == 0 for x in pairs)
 
 
-def test_sinks(spark, tmp_path):
-    rows = [(1, "train", '=1+1;"x"'), (2, "val", "plain"), (3, "train", None)]
-    df = spark.createDataFrame(rows, "doc_id long, split string, text string")
-    sinks.write_spreadsheet(df.coalesce(1), str(tmp_path / "csv"))
-    with open(glob.glob(str(tmp_path / "csv/*.csv"))[0], newline="") as f:
-        got = list(csv.reader(f, delimiter=";"))
-    assert got[0] == ["doc_id", "split", "text"] and got[1] == ["1", "train", "'=1+1;\"x\""] and got[2][2] == "plain"
-    manifest = D.offsets(df.select("doc_id", "split", F.lit(2).alias("count")), "split", "doc_id", "count")
-    sinks.write_dataset(df, manifest, str(tmp_path / "set"))
-    info = [json.loads(x) for f in glob.glob(str(tmp_path / "set/dataset_info/*.json")) for x in open(f)]
-    assert {(x["split"], x["documents"], x["examples"]) for x in info} == {("train", 2, 4), ("val", 1, 2)}
-    assert spark.read.json(str(tmp_path / "set/examples")).where("split = 'train'").count() == 2
-    sinks.write_report(df, str(tmp_path / "report"))
-    sinks.write_report(df.limit(1), str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report/json")).count() == 1
-
-
 def test_empty_tables_and_nulls(spark):
     cells = spark.createDataFrame([], CELLS)
     assert U.page_routes(cells).count() == examples.html_preview(cells).count() == examples.prepare_tables(cells).count() == 0

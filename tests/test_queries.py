@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tabulon.plans import answers, audit, examples  # noqa: F401 - they register their queries
+from tabulon.plans import answers, audit, examples, labelling, lifecycle, pages  # noqa: F401 - they register their queries
 from tabulon.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -54,14 +54,6 @@ def test_partition_keeps_short_copies_together(spark, tmp_path):
     assert got == {1: 1, 3: 1, 2: 2, 4: 2, 5: 5, 6: 6, 8: 6, 7: 7}
 
 
-def test_greedy_partition_is_order_free():
-    from tabulon.operators.dedup import greedy_partition
-
-    groups = [(str(i), 1 + i % 4) for i in range(40)]
-    assert greedy_partition(groups, 8) == greedy_partition(groups[::-1], 8)
-    assert greedy_partition([("a", 3)], 1) == {"a": "train"}
-
-
 def test_size_batches_and_revisions(spark):
     got = {(r.doc_id, r.item): r.batch for r in plans.QUERIES["size_batches"](spark, SF).collect()}
     from tabulon.sources.offers import offer_items
