@@ -12,6 +12,7 @@ from ..operators import partition as P
 from ..operators import quarantine as H
 from ..operators.cells import REQUISITES
 from ..operators.dedup import connected, content_hash
+from ..sources import intake as I
 from ..sources import offers as O
 from ..sources import sinks as S
 from ..sources import store as K
@@ -158,3 +159,19 @@ def annotated_fields(spark, sf_dir):
     rule = q.where((F.col("field") != "documentTotal") | numeric_quote(F.col("value")).isNotNull())
     rule = rule.groupBy("doc_id", "field").agg(F.min("value").alias("value"), F.max("value").alias("most"), F.min("cell").alias("cell")).where("value = most").drop("most")
     return T.annotate(O.offer_heads(spark, sf_dir), T.collect_quotes(given), rule)
+
+
+_TEXT_CELLS = Q.TEXT_CELLS.replace("FROM documents", "FROM (SELECT text AS doc_id, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL))")
+
+
+@query(f"WITH cl AS ({_TEXT_CELLS}), n AS (SELECT sha256(doc_id) AS digest, count(*) AS k FROM cl GROUP BY ALL), f AS (SELECT sha256(text) AS digest, min(concat(source, '/', doc_id, CASE WHEN doc_id % 9 = 0 THEN '.pdf' ELSE '.txt' END)) AS path, any_value(octet_length(encode(text))) AS size, any_value(length(text)) AS chars FROM documents WHERE text IS NOT NULL AND source <> 'src3' GROUP BY ALL), s AS (SELECT f.*, coalesce(k, 0) AS k, path LIKE '%.pdf' OR size = 0 OR coalesce(k, 0) > 30000 AS bad FROM f LEFT JOIN n USING (digest)) SELECT digest, path, CASE WHEN bad THEN 'given up' ELSE 'parsed' END AS status, CASE WHEN bad THEN 2 ELSE 1 END::INT AS attempts, CASE WHEN bad THEN 0 ELSE k END AS n_cells FROM s WHERE digest NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src3' AND text IS NOT NULL)")
+def intake_records(spark, sf_dir):
+    """All documents taken in as files, three times over: contents once, broken ones twice and no more; those of one source are excluded."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 0, ".pdf").otherwise(".txt"))
+    files = d.where("source <> 'src3'").select(name.alias("path"), F.col("text").cast("binary").alias("content"))
+    gone = d.where("source = 'src3'").select(content_hash(F.col("text")).alias("digest")).distinct()
+    box = I.Intake(spark, K.new_path(spark, "intake"))
+    for _ in range(3):
+        box.add(files, gone)
+    return box.records().select("digest", "path", "status", "attempts", "n_cells")
