@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tabulon.plans import answers, audit, examples, labelling, lifecycle, pages  # noqa: F401 - they register their queries
+from tabulon.plans import answers, audit, examples, labelling, lifecycle, pages, planning  # noqa: F401 - they register their queries
 from tabulon.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
