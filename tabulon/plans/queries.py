@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import labels as L
 from ..functions import numbers as N
 from ..functions import text as X
+from ..operators import answers as A
 from ..operators import cells as C
 from ..operators import dataset as D
 from ..operators import dedup as U
@@ -291,7 +292,12 @@ def header_paths(spark, sf_dir):
     return R.header_paths(_headers(spark, sf_dir))
 
 
-@query(f"WITH {O.CTE}, v AS (SELECT *, {Q.matrix('text')} AS value FROM cells WHERE block = 1 AND row >= 2 AND col > 1) SELECT v.doc_id, v.block, v.row, v.col, trim(a.text) AS name, path AS component, {Q.cents('value')} AS cents FROM v JOIN cells a ON a.doc_id = v.doc_id AND a.block = 1 AND a.row = v.row AND a.col = 1 JOIN {_PATHS} ON p.col = v.col WHERE value IS NOT NULL AND trim(a.text) <> '' AND NOT regexp_matches(trim(a.text), {Q.SUMMARY})")
+# each step of the number's grammar once, over the cells that can be components
+_MATRIX = rf"""m0 AS MATERIALIZED (SELECT *, {Q.strip('text')} AS s FROM cells WHERE block = 1 AND row >= 2 AND col > 1 AND regexp_matches(text, '[0-9]')), m1 AS (SELECT *, {Q.strip(f"regexp_replace(s, '(?i)(?:{N.CURRENCY})', '', 'g')")} AS raw FROM m0), m2 AS MATERIALIZED (SELECT *, regexp_replace(raw, '{Q.GAP}', '', 'g') AS bare FROM m1),
+m3 AS (SELECT *, CASE WHEN regexp_matches(raw, '^[+-]?[0-9]') AND (NOT regexp_matches(raw, '[0-9]{Q.GAP}+[0-9]') OR regexp_matches(raw, '^[+-]?[0-9]{{1,3}}(?:{Q.GAP}+[0-9]{{3}})+(?:[,.][0-9]{{1,2}})?$')) THEN CASE WHEN regexp_matches(bare, '^[+-]?[0-9]+$') THEN bare WHEN regexp_matches(bare, '^[+-]?[0-9]+[.,][0-9]{{1,2}}$') THEN replace(bare, ',', '.') WHEN regexp_matches(bare, '^[+-]?[0-9]{{1,3}}(\.[0-9]{{3}})+,[0-9]{{1,2}}$') THEN replace(replace(bare, '.', ''), ',', '.') WHEN regexp_matches(bare, '^[+-]?[0-9]{{1,3}}(,[0-9]{{3}})+\.[0-9]{{1,2}}$') THEN replace(bare, ',', '') END WHEN regexp_matches(s, '^[0-9](?:[0-9]|{Q.GAP})*[,.][0-9]{{2}}$') THEN replace(regexp_replace(s, '{Q.GAP}', '', 'g'), ',', '.') END AS plain FROM m2)"""
+
+
+@query(f"WITH {O.CTE}, {_MATRIX}, v AS (SELECT *, try_cast(plain AS DOUBLE) AS value FROM m3 WHERE plain IS NOT NULL) SELECT v.doc_id, v.block, v.row, v.col, trim(a.text) AS name, path AS component, {Q.cents('value')} AS cents FROM v JOIN cells a ON a.doc_id = v.doc_id AND a.block = 1 AND a.row = v.row AND a.col = 1 JOIN {_PATHS} ON p.col = v.col WHERE trim(a.text) <> '' AND NOT regexp_matches(trim(a.text), {Q.SUMMARY})")
 def price_matrix(spark, sf_dir):
     m = R.price_matrix(O.offer_cells(spark, sf_dir).where("block = 1"), R.header_paths(_headers(spark, sf_dir)))
     return m.select("doc_id", "block", "row", "col", "name", "component", N.cents(F.col("value")).alias("cents"))
@@ -322,6 +328,19 @@ def rule_plan_merge(spark, sf_dir):
     return R.merge_items(rules, R.execute_plan(cells, _plan(spark, sf_dir)))
 
 
+# notes under names of their own beside the requisites: known labels, numbers and long lists are no fields
+_NOTE = "CASE item % 5 WHEN 0 THEN 'Параметр' WHEN 1 THEN 'Клиент' WHEN 2 THEN '1 позиция' WHEN 3 THEN 'вес, цвет, размер' ELSE 'Цвет, вес' END"
+
+
+@query(f"WITH {O.CTE}, notes AS (SELECT doc_id, {_NOTE} AS label, name AS value, item FROM items), k AS (SELECT doc_id, label, value, min(item) AS first_ FROM notes WHERE item % 5 IN (0, 4) GROUP BY ALL) SELECT doc_id, label, value, row_number() OVER (PARTITION BY doc_id ORDER BY first_) AS n FROM k")
+def unknown_fields(spark, sf_dir):
+    """Labelled values under names that are no requisites."""
+    i = O.offer_items(spark, sf_dir)
+    label = F.get(F.array(*map(F.lit, ("Параметр", "Клиент", "1 позиция", "вес, цвет, размер", "Цвет, вес"))), (F.col("item") % 5).cast("int"))
+    notes = i.select("doc_id", F.lit(2).cast("long").alias("block"), F.col("item").alias("row"), F.lit(1).cast("long").alias("col"), F.concat(label, F.lit(": "), "name").alias("text"), F.lit("text").alias("kind"))
+    return R.unknown_fields(O.offer_cells(spark, sf_dir).where("block <> 0").unionByName(notes))
+
+
 # ---- evidence, outcome, merging
 
 
@@ -578,7 +597,7 @@ def word_lines(spark, sf_dir):
     return G.lines_of_words(w, ("user_id",), "x", "wd", 12, "event_id").select("user_id", "event_id", "line")
 
 
-@query(f"WITH {O.CTE}, nat AS (SELECT doc_id, row, col, text, lower(regexp_replace(text, '[\\s­]+', '', 'g')) AS k FROM cells WHERE block = 1 AND (doc_id + row + col) % 3 <> 0), vis AS (SELECT doc_id, row, col, CASE WHEN (row + col) % 2 = 0 THEN upper(text) ELSE text END AS text FROM cells WHERE block = 1), once AS (SELECT doc_id, k, max(text) AS by_text FROM nat GROUP BY doc_id, k HAVING count(*) = 1) SELECT v.doc_id, v.row, v.col, coalesce(n.text, o.by_text, v.text) AS text, CASE WHEN n.text IS NOT NULL THEN 'place' WHEN o.by_text IS NOT NULL THEN 'text' ELSE 'visual' END AS origin FROM vis v LEFT JOIN nat n ON n.doc_id = v.doc_id AND n.row = v.row AND n.col = v.col LEFT JOIN once o ON o.doc_id = v.doc_id AND o.k = lower(regexp_replace(v.text, '[\\s­]+', '', 'g'))")
+@query(f"WITH {O.CTE}, nat AS (SELECT doc_id, row, col, text, lower(regexp_replace(text, '[\\s­]+', '', 'g')) AS k FROM cells WHERE block = 1 AND (doc_id + row + col) % 3 <> 0), vis AS (SELECT doc_id, row, col, CASE WHEN (row + col) % 2 = 0 THEN upper(text) ELSE text END AS text FROM cells WHERE block = 1), once AS (SELECT doc_id, k, max(text) AS by_text FROM nat GROUP BY doc_id, k HAVING count(*) = 1), nd AS (SELECT doc_id, max(row) AS h, max(col) AS w FROM nat GROUP BY doc_id), vd AS (SELECT doc_id, max(row) AS h, max(col) AS w FROM vis GROUP BY doc_id), same AS (SELECT nat.* FROM nat JOIN nd USING (doc_id) JOIN vd USING (doc_id) WHERE nd.h = vd.h AND nd.w = vd.w) SELECT v.doc_id, v.row, v.col, coalesce(n.text, o.by_text, v.text) AS text, CASE WHEN n.text IS NOT NULL THEN 'place' WHEN o.by_text IS NOT NULL THEN 'text' ELSE 'visual' END AS origin FROM vis v LEFT JOIN same n ON n.doc_id = v.doc_id AND n.row = v.row AND n.col = v.col LEFT JOIN once o ON o.doc_id = v.doc_id AND o.k = lower(regexp_replace(v.text, '[\\s­]+', '', 'g'))")
 def native_visual_fusion(spark, sf_dir):
     c = O.offer_cells(spark, sf_dir).where("block = 1").select("doc_id", "row", "col", "text")
     visual = c.withColumn("text", F.when((F.col("row") + F.col("col")) % 2 == 0, F.upper("text")).otherwise(F.col("text")))
@@ -628,8 +647,7 @@ def populated_paths(spark, sf_dir):
 @query("SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS line, cols_ok, range_ok FROM (SELECT l_orderkey, l_partkey, l_linenumber, c1 <= 9 AND c2 <= 9 AND c3 <= 9 AND c1 >= 1 AND c1 <> c2 AND c1 <> c3 AND (c2 <> c3 OR c2 = 0) AS cols_ok, l_linenumber + l_suppkey % 3 - 1 >= l_linenumber AS range_ok FROM (SELECT *, l_partkey % 10 AS c1, l_suppkey % 11 AS c2, l_orderkey % 10 AS c3 FROM lineitem))")
 def mapping_validity(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem")
-    cols = F.filter(F.array(F.col("l_partkey") % 10, F.col("l_suppkey") % 11, F.col("l_orderkey") % 10), lambda x: x != 0)
-    ok = (F.col("l_partkey") % 10 >= 1) & (F.coalesce(F.array_max(cols), F.lit(0)) <= 9) & (F.size(F.array_distinct(cols)) == F.size(cols))
+    ok = A.mapping_state(F.array(F.col("l_suppkey") % 11, F.col("l_orderkey") % 10), F.array(F.col("l_partkey") % 10), F.lit(9))
     return i.select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("long").alias("line"), ok.alias("cols_ok"), (F.col("l_suppkey") % 3 >= 1).alias("range_ok"))
 
 
