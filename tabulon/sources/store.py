@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.walk import walk
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -66,13 +66,13 @@ def insert_once(existing: DataFrame, new: DataFrame, key: str, order: str) -> Da
 
 def apply_revisions(submissions: DataFrame, key: str, order: str) -> DataFrame:
     """Optimistic concurrency: of submissions (key, revision, order) that name the current
-    revision the first is accepted, and each acceptance raises the revision by one. As an
-    accepted chain starts at revision 1 and takes the first submission of each revision
-    that comes after the one before, it is found by recursion over revisions."""
-    rows = submissions.select(key, "revision", order).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "revision"))).alias("all"))
-    walk = F.aggregate("all", F.struct(F.lit(1).cast("long").alias("now"), F.array().cast("array<boolean>").alias("ok")), lambda s, x: F.struct((s["now"] + (x["revision"] == s["now"]).cast("long")).alias("now"), F.concat(s["ok"], F.array(x["revision"] == s["now"])).alias("ok")))
-    done = rows.select(key, "all", walk.alias("walk")).select(key, F.posexplode(F.arrays_zip(F.col("all"), F.col("walk.ok").alias("ok"))).alias("i", "x"))
-    return done.select(key, F.col(f"x.all.{order}").alias(order), F.col("x.all.revision").alias("revision"), F.col("x.ok").alias("accepted"))
+    revision the first is accepted, and each acceptance raises the revision by one. Each
+    outcome depends on all before it: a key's submissions are walked in order."""
+
+    def step(now: int, revision: int) -> tuple:
+        return now + (revision == now), revision == now
+
+    return walk(submissions.select(key, order, "revision"), (key,), (order, "revision"), ("revision",), 1, step, "accepted", "boolean")
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
