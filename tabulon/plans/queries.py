@@ -486,7 +486,9 @@ def idempotent_insert(spark, sf_dir):
     return K.insert_once(e.where("id % 10 = 0"), e.where("id % 10 <> 0"), "user_id", "id")
 
 
-@query()
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, event_id, event_id % 4 + 1 AS revision, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT user_id, n, 1::BIGINT AS now_, revision, event_id FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, w.now_ + CASE WHEN w.revision = w.now_ THEN 1 ELSE 0 END, o.revision, o.event_id FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
+SELECT user_id, event_id, revision, revision = now_ AS accepted FROM w""")
 def revision_update(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 4 + 1).alias("revision"))
     return K.apply_revisions(e, "user_id", "event_id")
@@ -500,7 +502,9 @@ def sft_pairs(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("questions"), F.count_if(F.col("role") == "assistant").alias("answers"), F.array_join(said, "\n").alias("dialogue"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {O.CTE}, o AS MATERIALIZED (SELECT doc_id, item, length(name) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY item) AS n FROM items),
+w AS (SELECT doc_id, item, n, size AS used, 0::BIGINT AS batch FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.item, o.n, CASE WHEN w.used + o.size > 100 THEN o.size ELSE w.used + o.size END, w.batch + CASE WHEN w.used + o.size > 100 THEN 1 ELSE 0 END FROM w JOIN o ON o.doc_id = w.doc_id AND o.n = w.n + 1)
+SELECT doc_id, item, batch FROM w""")
 def size_batches(spark, sf_dir):
     i = O.offer_items(spark, sf_dir).select("doc_id", "item", F.length("name").cast("long").alias("size"))
     return D.size_batches(i, "doc_id", "item", "size", 100)
