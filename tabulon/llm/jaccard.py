@@ -29,7 +29,7 @@ most of their text without being linked; each task stays bounded.
 
 Defined results: words are ASCII lower-cased; a text of fewer words than a shingle is one
 shingle; null or empty text has no shingle, is linked with nothing and is its own component;
-null ids are allowed (a component's id is its least non-null id); repeated rows are linked
+ids are of any type that has an order, and may be null (a component's id is its least non-null id); repeated rows are linked
 with each other; an empty table gives an empty result; columns other than id and text are
 only carried by ``keep_one``, whatever their names.
 """
@@ -599,15 +599,19 @@ def _classes(df: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     if percent < 75:
         raise ValueError("linked sets must differ by less than the step between bands: percent is 75 at least")
     text = F.col(f"`{text_col}`")
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text)).alias("jk"), text.alias("text"))
+    own = F.col(f"`{id_col}`")
+    whole = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    # rows are found again by their id, and those with a null or an id of another type by a hash of id and text
+    found_by = F.coalesce(own.cast("long"), F.xxhash64(text)) if whole else F.xxhash64(own, text)
+    docs = df.select(own.alias("id"), F.xxhash64(text).alias("th"), found_by.alias("jk"), text.alias("text"))
     rows = materialize(classes(docs, size, percent), "jaccard-rows")
     least = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "th")).alias("first")
     kinds = rows.where("n > 0").groupBy("key").agg(least, F.min("jk").alias("jk"), *[F.first(c).alias(c) for c in ("n", "s", "tag", "nodes")])
     kinds = materialize(kinds, "jaccard-classes")
     hashes = kinds.agg(F.sum("s")).first()[0] or 0
     found = materialize(shared(docs, size, percent, max(1, -(-hashes // SHARD))), "jaccard-shared")
-    own = F.col("s") - F.coalesce(F.col("c"), F.lit(0))
-    alive = kinds.join(found, "tag", "left").where(own <= F.floor((100 - percent) * F.col("n") / 100)).select("key", "jk", "n", "nodes")
+    alone = F.col("s") - F.coalesce(F.col("c"), F.lit(0))
+    alive = kinds.join(found, "tag", "left").where(alone <= F.floor((100 - percent) * F.col("n") / 100)).select("key", "jk", "n", "nodes")
     alive = materialize(alive, "jaccard-alive")
     # of texts that may link, one of each set is read from here on; where these are few, no text is shuffled
     wanted = alive.select("jk").distinct()
