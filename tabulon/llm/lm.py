@@ -19,8 +19,9 @@ trainers once. Held-out documents give neither counts nor windows.
 A block is put in order by id and text, and sums of weights are taken in the order of
 blocks, so that neither the order of rows nor the number of partitions changes a score.
 
-A block asks for the counts of its distinct words only; answers return to the block, so
-that no table of all words is broadcast. To the driver go: two sums, the counts of ids (as
+Texts are shuffled and cut into ids once; trainers and scores read the written ids. A block
+asks for the counts of its distinct words only; answers return to the block, so that no
+table of all words is broadcast. To the driver go: two sums, the counts of ids (as
 many as the vocabulary has) and at most ``FAN`` sums of weights.
 
 Defined results: null or empty text is one end token; ties do not arise; repeated rows
@@ -60,6 +61,8 @@ MEMBER_OF = np.arange(SLOTS) - FIRST[GROUP_OF]
 ROUNDS, BATCH, RATE = 4, 384, 0.03
 #: Windows that are scored at once; sums of weights that one task adds up.
 SCORED, FAN = 1024, 32
+#: Ids whose texts are scored in one go.
+RUN_IDS = 800_000
 #: Words whose ids a worker keeps.
 CACHE = 1_000_000
 #: The end's place among the hashes of words; no word has it.
@@ -167,16 +170,18 @@ def runs_of(table: pa.Table) -> Iterator[tuple[int, list[bytes]]]:
     return texts_of(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks), RUN_BYTES)
 
 
-PARTS = "part string, blk int, shard int, h binary, n binary"
+def parts(kind: str) -> str:
+    return f"part string, blk int, shard int, h binary, n binary, sizes binary, id array<{kind}>"
 
 
 def gather(table: pa.Table, shards: int, path: str | None) -> pa.Table:
-    """Of one block, rows (part, blk, shard, h, n): its words' hashes and training counts by
-    shard of the hash range, training counts of ids, ids of the training texts."""
+    """Of one block, rows (part, blk, shard, h, n, sizes, id): its words' hashes and training counts by
+    shard of the hash range; training counts of ids; its texts, as their subword ids, the place of each
+    of their words among the block's hashes, their numbers of words and their row ids. No later step reads the texts."""
     blk = table.column("blk")[0].as_py()
     table = in_order(table)
     held = held_out(table.column("id").to_pylist())
-    hashes, counts, runs = [], [], []
+    hashes, counts, places, sizes, streams = [], [], [], [], []
     n_ids = np.zeros(END + 1, np.int64)
     for at, texts in runs_of(table):
         b = Batch(texts, path)
@@ -185,20 +190,24 @@ def gather(table: pa.Table, shards: int, path: str | None) -> pa.Table:
         hashes.append(b.distinct)
         counts.append(n)
         n_ids += np.bincount(b.ids, np.repeat(n, b.lens), END + 1).astype(np.int64)
-        ids, sizes = b.stream()
-        runs.append(ids[np.repeat(train, sizes)])
+        places.append(b.inverse)
+        sizes.append(b.counts)
+        streams.append(b.stream()[0])
     trained = int((~held).sum())
     n_ids[END] += trained
     h, inverse = np.unique(np.concatenate([*hashes, [END_HASH]]), return_inverse=True)
     n = np.bincount(inverse, np.concatenate([*counts, [trained]]), len(h)).astype(np.int64)
     cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-    rows = [("words", blk, s, h[i:j].tobytes(), n[i:j].tobytes()) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
+    rows = [("words", blk, s, h[i:j].tobytes(), n[i:j].tobytes(), None, None) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
     seen = np.flatnonzero(n_ids)
-    rows.append(("ids", blk, None, seen.tobytes(), n_ids[seen].tobytes()))
-    rows.append(("windows", blk, None, np.concatenate(runs).tobytes(), None))
+    rows.append(("ids", blk, None, seen.tobytes(), n_ids[seen].tobytes(), None, None))
+    at = np.cumsum([len(x) for x in hashes]) - [len(x) for x in hashes]
+    places = np.concatenate([inverse[a : a + len(x)].astype(np.uint32)[p] for a, x, p in zip(at.tolist(), hashes, places, strict=True)])
+    rows.append(("texts", blk, None, np.concatenate(streams).tobytes(), places.tobytes(), np.concatenate(sizes).astype(np.int64).tobytes(), table.column("id").to_pylist()))
     give_back()
     cols = zip(*rows, strict=True)
-    return pa.table({k: pa.array(c, t) for (k, t), c in zip({"part": pa.string(), "blk": pa.int32(), "shard": pa.int32(), "h": pa.binary(), "n": pa.binary()}.items(), cols, strict=True)})
+    types = {"part": pa.string(), "blk": pa.int32(), "shard": pa.int32(), "h": pa.binary(), "n": pa.binary(), "sizes": pa.binary(), "id": pa.list_(table.schema.field("id").type)}
+    return pa.table({k: pa.array(c, t) for (k, t), c in zip(types.items(), cols, strict=True)})
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -439,21 +448,26 @@ def pass_over(adam: Adam, ids: np.ndarray, of: np.ndarray, number: int, seed: in
     return len(order)
 
 
-def train(windows: DataFrame, vocabulary: Vocabulary, n_blocks: int) -> np.ndarray:
-    """Weights after all rounds over rows (blk, ids), one for each block."""
+def trained_on(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Of the ids of a block's texts, those of texts that are not held out."""
+    return ids[np.repeat(~held, np.diff(np.flatnonzero(ids == END), prepend=-1))]
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, n_blocks: int) -> np.ndarray:
+    """Weights after all rounds over rows (blk, h, id), one for each block."""
     flat = start_weights(vocabulary.log_slot)
     for r in range(ROUNDS):
         start, of, number, rate = flat, vocabulary.of, r, RATE * (1 - 0.8 * r / ROUNDS)
 
         def run(batches: Iterator[pa.RecordBatch], start=start, of=of, number=number, rate=rate) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for blk, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for blk, ids, names in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                     adam = Adam(start, rate)
-                    n = pass_over(adam, np.frombuffer(ids.as_buffer(), np.uint16), of, number, blk)
+                    n = pass_over(adam, trained_on(np.frombuffer(ids.as_buffer(), np.uint16), held_out(names.as_py())), of, number, blk)
                     if n:
                         yield _weights(blk, n, adam.flat.astype(np.float64) * n)
 
-        got = in_batches(windows, run, "blk int, n long, w binary")
+        got = in_batches(texts, run, "blk int, n long, w binary")
         flat = average(materialize(got, "lm-round"), n_blocks, flat)
     return flat
 
@@ -515,6 +529,17 @@ def log10_scores(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, fla
     return out / math.log(10)
 
 
+def block_scores(ids: np.ndarray, vocabulary: Vocabulary, flat: np.ndarray) -> np.ndarray:
+    """log10 probability of each text of a block from their ids, RUN_IDS of them at a time."""
+    ends = np.flatnonzero(ids == END) + 1
+    cuts = [0, *(np.flatnonzero(np.diff(ends // RUN_IDS)) + 1).tolist(), len(ends)]
+    out = []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        begin = int(ends[i - 1]) if i else 0
+        out.append(log10_scores(ids[begin : ends[j - 1]], np.diff(ends[i:j], prepend=begin), vocabulary, flat))
+    return np.concatenate(out)
+
+
 def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of each row."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -522,40 +547,34 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, shards = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // SHARD_BYTES))
     docs = docs.withColumn("blk", F.pmod(F.xxhash64("id", "th"), F.lit(n_blocks)).cast("int"))
-    gathered = materialize(docs.groupBy("blk").applyInArrow(lambda t: gather(t, shards, path), PARTS), "lm", "part")
+    gathered = materialize(docs.groupBy("blk").applyInArrow(lambda t: gather(t, shards, path), parts(kind)), "lm", "part")
     answers = materialize(word_totals(gathered), "lm-words")
     stats = [np.frombuffer(r.c, np.int64) for r in answers.where("blk < 0").select("c").toLocalIterator()]
     total, distinct = (int(sum(s[i] for s in stats)) for i in (0, 1))
     vocabulary = Vocabulary(id_counts(gathered))
-    flat = train(gathered.where("part = 'windows'").select("blk", F.col("h").alias("ids")), vocabulary, n_blocks)
+    texts = gathered.where("part = 'texts'")
+    flat = train(texts.select("blk", "h", "id"), vocabulary, n_blocks)
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [block_scores(np.frombuffer(ids.as_buffer(), np.uint16), vocabulary, flat).tobytes() for ids in batch.column(1)]
+            yield batch.select(["blk", "n", "sizes", "id"]).append_column("full", pa.array(got, pa.binary()))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = in_order(left)
-        ids = left.column("id")
-        held = held_out(ids.to_pylist())
-        batches = [Batch(texts, path) for _, texts in runs_of(left)]
-        h = np.unique(np.concatenate([*(b.distinct for b in batches), [END_HASH]]))
+        places, sizes, full = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in left.column(c)]) for c, t in (("n", np.uint32), ("sizes", np.int64), ("full", float)))
+        ids = left.column("id").combine_chunks().flatten()
         right = right.sort_by("shard")
         c = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("c").to_pylist()])
-        if len(c) != len(h):
-            raise ValueError("a block has other words than when they were counted")
         unit, end = math.log10(total + distinct + 1), int(c[-1])
-        n_tokens, n_known, base, full = [], [], [], []
-        while batches:
-            b = batches.pop(0)
-            known = c[np.searchsorted(h, b.distinct)]
-            n = len(b.counts)
-            of = np.repeat(np.arange(n), b.counts)
-            n_tokens.append(b.counts + 1)
-            n_known.append(np.bincount(of, known[b.inverse] > 0, n).astype(np.int64) + (end > 0))
-            base.append(np.bincount(of, np.log10(known + 1.0)[b.inverse], n) + math.log10(end + 1) - (b.counts + 1) * unit)
-            full.append(log10_scores(*b.stream(), vocabulary, flat))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        known = np.bincount(of, (c > 0)[places], len(sizes)).astype(np.int64) + (end > 0)
+        base = np.bincount(of, np.log10(c + 1.0)[places], len(sizes)) + math.log10(end + 1) - (sizes + 1) * unit
         give_back()
-        cat = lambda x, t: pa.array(np.concatenate(x).astype(t))
-        return pa.table({id_col: ids, "held_out": pa.array(held), "n_tokens": cat(n_tokens, np.int64), "n_known": cat(n_known, np.int64), "train_tokens": pa.array(np.full(len(held), total, np.int64)), "base_score": cat(base, float), "score": cat(full, float)})
+        return pa.table({id_col: ids, "held_out": pa.array(held_out(ids.to_pylist())), "n_tokens": sizes + 1, "n_known": known, "train_tokens": np.full(len(sizes), total, np.int64), "base_score": base, "score": full})
 
+    scored = in_batches(texts.select("blk", "h", "n", "sizes", "id"), model, f"blk int, n binary, sizes binary, id array<{kind}>, full binary")
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("blk").cogroup(answers.where("blk >= 0").groupBy("blk")).applyInArrow(run, schema)
+    return scored.groupBy("blk").cogroup(answers.where("blk >= 0").groupBy("blk")).applyInArrow(run, schema)
 
 
 def op6_causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -489,7 +489,7 @@ def test_lm_trains_on_all_training_ids(spark, docs, texts, monkeypatch):
     """As many ids as training texts have pass the trainer, each once as a target over all rounds."""
     table = docs.selectExpr("doc_id AS id", "xxhash64(text) AS th", "text", "0 AS blk").toArrow()
     got = {r["part"]: r for r in lm.gather(table, 1, None).to_pylist()}
-    ids = np.frombuffer(got["windows"]["h"], np.uint16)
+    ids = lm.trained_on(np.frombuffer(got["texts"]["h"], np.uint16), lm.held_out(got["texts"]["id"]))
     counts = np.zeros(lm.END + 1, np.int64)
     counts[np.frombuffer(got["ids"]["h"], np.int64)] = np.frombuffer(got["ids"]["n"], np.int64)
     assert counts.sum() > 40_000 and (np.bincount(ids, minlength=lm.END + 1) == counts).all()
@@ -503,6 +503,19 @@ def test_lm_trains_on_all_training_ids(spark, docs, texts, monkeypatch):
     assert (seen == np.bincount(of, counts, lm.SLOTS)).all()
 
 
+def test_lm_block_scores_go_by_runs(monkeypatch):
+    """Texts of a block are scored in runs of ids; where runs end changes no score."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 70, 1, 400, 33, 2, 150])
+    ids = np.concatenate([np.append(rng.integers(0, lm.END, n - 1), lm.END) for n in sizes]).astype(np.uint16)
+    v = lm.Vocabulary(np.bincount(ids, minlength=lm.END + 1).astype(float))
+    flat = lm.start_weights(v.log_slot) + rng.normal(0, 0.05, len(lm.start_weights(v.log_slot))).astype(np.float32)
+    want = lm.log10_scores(ids, sizes, v, flat)
+    for run in (1, 100, 10_000):
+        monkeypatch.setattr(lm, "RUN_IDS", run)
+        assert np.allclose(lm.block_scores(ids, v, flat), want, rtol=1e-5)
+
+
 def test_lm_context_is_half_a_window():
     """Scores equal those of each id by itself, in the first window of a step of half a window."""
     rng = np.random.default_rng(1)
