@@ -176,12 +176,13 @@ def parts(kind: str) -> str:
 
 def gather(table: pa.Table, shards: int, path: str | None) -> pa.Table:
     """Of one block, rows (part, blk, shard, h, n, sizes, id): its words' hashes and training counts by
-    shard of the hash range; training counts of ids; its texts, as their subword ids, the place of each
-    of their words among the block's hashes, their numbers of words and their row ids. No later step reads the texts."""
+    shard of the hash range; training counts of ids; ids of the training texts; ids of the held-out texts with,
+    of all texts, the packed places of their words among the block's hashes, their numbers of words and
+    their row ids. No later step reads the texts."""
     blk = table.column("blk")[0].as_py()
     table = in_order(table)
     held = held_out(table.column("id").to_pylist())
-    hashes, counts, places, sizes, streams = [], [], [], [], []
+    hashes, counts, places, sizes, runs, apart = [], [], [], [], [], []
     n_ids = np.zeros(END + 1, np.int64)
     for at, texts in runs_of(table):
         b = Batch(texts, path)
@@ -192,7 +193,10 @@ def gather(table: pa.Table, shards: int, path: str | None) -> pa.Table:
         n_ids += np.bincount(b.ids, np.repeat(n, b.lens), END + 1).astype(np.int64)
         places.append(b.inverse)
         sizes.append(b.counts)
-        streams.append(b.stream()[0])
+        ids, lens = b.stream()
+        keep = np.repeat(train, lens)
+        runs.append(ids[keep])
+        apart.append(ids[~keep])
     trained = int((~held).sum())
     n_ids[END] += trained
     h, inverse = np.unique(np.concatenate([*hashes, [END_HASH]]), return_inverse=True)
@@ -203,7 +207,8 @@ def gather(table: pa.Table, shards: int, path: str | None) -> pa.Table:
     rows.append(("ids", blk, None, seen.tobytes(), n_ids[seen].tobytes(), None, None))
     at = np.cumsum([len(x) for x in hashes]) - [len(x) for x in hashes]
     places = np.concatenate([inverse[a : a + len(x)].astype(np.uint32)[p] for a, x, p in zip(at.tolist(), hashes, places, strict=True)])
-    rows.append(("texts", blk, None, np.concatenate(streams).tobytes(), places.tobytes(), np.concatenate(sizes).astype(np.int64).tobytes(), table.column("id").to_pylist()))
+    rows.append(("windows", blk, None, np.concatenate(runs).tobytes(), None, None, None))
+    rows.append(("texts", blk, None, np.concatenate(apart).tobytes(), pa.compress(places.tobytes(), "zstd", asbytes=True), np.concatenate(sizes).astype(np.int64).tobytes(), table.column("id").to_pylist()))
     give_back()
     cols = zip(*rows, strict=True)
     types = {"part": pa.string(), "blk": pa.int32(), "shard": pa.int32(), "h": pa.binary(), "n": pa.binary(), "sizes": pa.binary(), "id": pa.list_(table.schema.field("id").type)}
@@ -448,26 +453,21 @@ def pass_over(adam: Adam, ids: np.ndarray, of: np.ndarray, number: int, seed: in
     return len(order)
 
 
-def trained_on(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Of the ids of a block's texts, those of texts that are not held out."""
-    return ids[np.repeat(~held, np.diff(np.flatnonzero(ids == END), prepend=-1))]
-
-
-def train(texts: DataFrame, vocabulary: Vocabulary, n_blocks: int) -> np.ndarray:
-    """Weights after all rounds over rows (blk, h, id), one for each block."""
+def train(windows: DataFrame, vocabulary: Vocabulary, n_blocks: int) -> np.ndarray:
+    """Weights after all rounds over rows (blk, ids), one for each block."""
     flat = start_weights(vocabulary.log_slot)
     for r in range(ROUNDS):
         start, of, number, rate = flat, vocabulary.of, r, RATE * (1 - 0.8 * r / ROUNDS)
 
         def run(batches: Iterator[pa.RecordBatch], start=start, of=of, number=number, rate=rate) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for blk, ids, names in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                for blk, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     adam = Adam(start, rate)
-                    n = pass_over(adam, trained_on(np.frombuffer(ids.as_buffer(), np.uint16), held_out(names.as_py())), of, number, blk)
+                    n = pass_over(adam, np.frombuffer(ids.as_buffer(), np.uint16), of, number, blk)
                     if n:
                         yield _weights(blk, n, adam.flat.astype(np.float64) * n)
 
-        got = in_batches(texts, run, "blk int, n long, w binary")
+        got = in_batches(windows, run, "blk int, n long, w binary")
         flat = average(materialize(got, "lm-round"), n_blocks, flat)
     return flat
 
@@ -532,6 +532,8 @@ def log10_scores(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary, fla
 def block_scores(ids: np.ndarray, vocabulary: Vocabulary, flat: np.ndarray) -> np.ndarray:
     """log10 probability of each text of a block from their ids, RUN_IDS of them at a time."""
     ends = np.flatnonzero(ids == END) + 1
+    if not len(ends):
+        return np.zeros(0)
     cuts = [0, *(np.flatnonzero(np.diff(ends // RUN_IDS)) + 1).tolist(), len(ends)]
     out = []
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
@@ -552,17 +554,22 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path
     stats = [np.frombuffer(r.c, np.int64) for r in answers.where("blk < 0").select("c").toLocalIterator()]
     total, distinct = (int(sum(s[i] for s in stats)) for i in (0, 1))
     vocabulary = Vocabulary(id_counts(gathered))
-    texts = gathered.where("part = 'texts'")
-    flat = train(texts.select("blk", "h", "id"), vocabulary, n_blocks)
+    flat = train(gathered.where("part = 'windows'").select("blk", F.col("h").alias("ids")), vocabulary, n_blocks)
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [block_scores(np.frombuffer(ids.as_buffer(), np.uint16), vocabulary, flat).tobytes() for ids in batch.column(1)]
-            yield batch.select(["blk", "n", "sizes", "id"]).append_column("full", pa.array(got, pa.binary()))
+            got = [block_scores(np.frombuffer(ids.as_buffer(), np.uint16), vocabulary, flat).tobytes() for ids in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *batch.columns[3:], pa.array(got, pa.binary())], names=["part", "blk", "n", "sizes", "id", "full"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        places, sizes, full = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in left.column(c)]) for c, t in (("n", np.uint32), ("sizes", np.int64), ("full", float)))
-        ids = left.column("id").combine_chunks().flatten()
+        got = {r["part"].as_py(): r for r in (dict(zip(left.column_names, row, strict=True)) for row in zip(*left.columns, strict=True))}
+        texts = got["texts"]
+        ids = texts["id"].values
+        sizes = np.frombuffer(texts["sizes"].as_buffer(), np.int64)
+        places = np.frombuffer(pa.decompress(texts["n"].as_buffer(), 4 * int(sizes.sum()), "zstd"), np.uint32)
+        held = held_out(ids.to_pylist())
+        full = np.empty(len(held))
+        full[held], full[~held] = (np.frombuffer(got[part]["full"].as_buffer(), float) for part in ("texts", "windows"))
         right = right.sort_by("shard")
         c = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("c").to_pylist()])
         unit, end = math.log10(total + distinct + 1), int(c[-1])
@@ -570,9 +577,10 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path
         known = np.bincount(of, (c > 0)[places], len(sizes)).astype(np.int64) + (end > 0)
         base = np.bincount(of, np.log10(c + 1.0)[places], len(sizes)) + math.log10(end + 1) - (sizes + 1) * unit
         give_back()
-        return pa.table({id_col: ids, "held_out": pa.array(held_out(ids.to_pylist())), "n_tokens": sizes + 1, "n_known": known, "train_tokens": np.full(len(sizes), total, np.int64), "base_score": base, "score": full})
+        return pa.table({id_col: ids, "held_out": held, "n_tokens": sizes + 1, "n_known": known, "train_tokens": np.full(len(sizes), total, np.int64), "base_score": base, "score": full})
 
-    scored = in_batches(texts.select("blk", "h", "n", "sizes", "id"), model, f"blk int, n binary, sizes binary, id array<{kind}>, full binary")
+    texts = gathered.where("part IN ('windows', 'texts')").select("part", "blk", "h", "n", "sizes", "id")
+    scored = in_batches(texts, model, f"part string, blk int, n binary, sizes binary, id array<{kind}>, full binary")
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return scored.groupBy("blk").cogroup(answers.where("blk >= 0").groupBy("blk")).applyInArrow(run, schema)
 
