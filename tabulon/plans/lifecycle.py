@@ -10,6 +10,7 @@ from ..operators import drafts as T
 from ..operators import evidence as E
 from ..operators import partition as P
 from ..operators import quarantine as H
+from ..operators import review as W
 from ..operators.cells import REQUISITES
 from ..operators.dedup import connected, content_hash
 from ..sources import intake as I
@@ -175,3 +176,42 @@ def intake_records(spark, sf_dir):
     for _ in range(3):
         box.add(files, gone)
     return box.records().select("digest", "path", "status", "attempts", "n_cells")
+
+
+# Drafts with reasons by the labels; stored ones of every third document, of which some were touched.
+_DRAFTS = """SELECT d.doc_id, CASE d.doc_id % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' WHEN 2 THEN 'review_only' WHEN 3 THEN 'other' ELSE 'train' END AS split, coalesce(source, '') AS format,
+  list_filter([CASE WHEN toxic = 1 THEN 'E_OCR' END, CASE WHEN quality = 0 THEN 'E_COVERAGE' END, CASE WHEN d.doc_id % 6 = 0 THEN 'E_NEW' END], lambda x: x IS NOT NULL) AS reasons, ['Возможно пропущена таблица или товарные строки.', 'прочее', 'прочее'] AS warnings
+  FROM (SELECT DISTINCT doc_id, source FROM documents) d JOIN labels USING (doc_id)"""
+_SAID = "list_transform(reasons, lambda x: CASE x WHEN 'E_OCR' THEN 'Проверьте качество OCR и полноту извлечения.' WHEN 'E_COVERAGE' THEN 'Возможно пропущена таблица или товарные строки.' ELSE 'Требуется проверка.' END)"
+
+
+@query(f"""WITH dr AS ({_DRAFTS}), ok AS (SELECT * FROM dr WHERE split <> 'other' AND doc_id % 11 <> 0),
+st AS (SELECT doc_id, 1 + (doc_id % 4 = 0)::BIGINT AS revision, CASE WHEN doc_id % 7 = 0 THEN 'approved' ELSE 'draft' END AS status, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS reviewed FROM dr WHERE doc_id % 3 = 0),
+kept AS (SELECT * FROM st WHERE NOT coalesce(revision = 1 AND status = 'draft' AND NOT reviewed AND doc_id IN (SELECT doc_id FROM ok), false)),
+r AS (SELECT *, row_number() OVER (PARTITION BY split, format, reasons ORDER BY doc_id) AS round FROM ok), t AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY round, format, reasons, doc_id) AS turn FROM r),
+q AS (SELECT *, row_number() OVER (ORDER BY turn, CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 WHEN 'test' THEN 3 ELSE 4 END) AS place FROM t),
+n AS (SELECT *, {_SAID} AS issues FROM q WHERE place <= 300 AND doc_id NOT IN (SELECT doc_id FROM kept))
+SELECT doc_id, revision, status, reviewed AS human_reviewed, NULL::VARCHAR AS split, NULL::VARCHAR AS reasons, NULL::VARCHAR AS issues, NULL::VARCHAR AS warnings, 'found' AS state, true AS reviewed FROM kept
+UNION ALL SELECT doc_id, 1, 'draft', false, split, array_to_string(reasons, ','), array_to_string(issues, '|'), array_to_string(list_filter(['Возможно пропущена таблица или товарные строки.', 'прочее', 'Проверьте качество OCR и полноту извлечения.', 'Требуется проверка.'], lambda x: x IN ('Возможно пропущена таблица или товарные строки.', 'прочее') OR list_contains(issues, x)), '|'), 'pending', false FROM n""")
+def review_import(spark, sf_dir):
+    """The annotation table after an import of 300 machine drafts that puts untouched ones anew."""
+    i = F.col("doc_id")
+    why = F.array_compact(F.array(F.when(F.col("toxic") == 1, "E_OCR"), F.when(F.col("quality") == 0, "E_COVERAGE"), F.when(i % 6 == 0, "E_NEW")))
+    split = F.when(i % 5 == 0, "val").when(i % 5 == 1, "test").when(i % 5 == 2, "review_only").when(i % 5 == 3, "other").otherwise("train")
+    fields, tables = F.array(F.struct(F.lit("currency").alias("field"), F.lit("found").alias("state"))), F.array(F.struct(F.lit(1).alias("block"), F.lit(True).alias("reviewed")))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").distinct().join(table(spark, sf_dir, "labels"), "doc_id")
+    warnings = F.array(F.lit(W.MESSAGES["E_COVERAGE"]), F.lit("прочее"), F.lit("прочее"))
+    d = d.select("doc_id", split.alias("split"), F.coalesce("source", F.lit("")).alias("format"), F.lit(None).cast("string").alias("label_status"), why.alias("reasons"), warnings.alias("warnings"), fields.alias("fields"), tables.alias("tables"))
+    old = d.where("doc_id % 3 = 0").withColumns({"revision": F.when(i % 4 == 0, 2).otherwise(1).cast("long"), "status": F.when(i % 7 == 0, "approved").otherwise("draft"), "human_reviewed": F.when(i % 9 != 0, i % 2 == 0)})
+    gone = {c: F.lit(None).cast(t) for c, t in (("split", "string"), ("reasons", "array<string>"), ("issues", "array<string>"), ("warnings", "array<string>"))}
+    old = old.withColumns(gone).drop("format")
+    got = W.import_review(old, d, d.where("doc_id % 11 = 0").select("doc_id"), 300, rebalance=True)
+    line = lambda c, by: F.array_join(c, by).alias(c)
+    return got.select("doc_id", "revision", "status", "human_reviewed", "split", line("reasons", ","), line("issues", "|"), line("warnings", "|"), F.col("fields")[0]["state"].alias("state"), F.col("tables")[0]["reviewed"].alias("reviewed"))
+
+
+@query("SELECT DISTINCT doc_id FROM labels WHERE (toxic = 1 OR quality = 0) AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id % 4 <> 0)")
+def unregistered_exclusions(spark, sf_dir):
+    """Excluded documents that the registry lacks; training may not start while there are any."""
+    bad = table(spark, sf_dir, "labels").where("toxic = 1 or quality = 0")
+    return H.unregistered(bad, table(spark, sf_dir, "documents").where("doc_id % 4 <> 0"))

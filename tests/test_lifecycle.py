@@ -231,3 +231,28 @@ def test_a_payload_is_whole_or_none(spark):
 def test_warnings_keep_their_first_places(spark):
     given = spark.createDataFrame([(1, 3, "b"), (1, 1, "a"), (1, 2, "b"), (1, 9, "a"), (2, 1, None)], "doc_id long, place long, warning string")
     assert {r.doc_id: r.warnings for r in N.warnings_in_order(given).collect()} == {1: ["a", "b"], 2: [None]}
+
+
+DRAFT = "doc_id long, split string, format string, label_status string, reasons array<string>, warnings array<string>, fields array<struct<field:string,state:string>>, tables array<struct<block:int,reviewed:boolean>>"
+STORED = "doc_id long, revision long, status string, human_reviewed boolean, split string, label_status string, reasons array<string>, issues array<string>, warnings array<string>, fields array<struct<field:string,state:string>>, tables array<struct<block:int,reviewed:boolean>>"
+
+
+def test_import_of_drafts(spark):
+    from tabulon.operators import review as W
+
+    drafts = [(i, "train", "pdf", "draft", ["E_OCR", "E_WHAT"], ["a", W.MESSAGES["E_OCR"], "a"], [("inn", "found")], [(1, True)]) for i in (1, 2, 3, 4, 5, None)]
+    drafts += [(1, "val", "pdf", None, None, None, None, None), (6, "val", "xlsx", None, None, None, None, None), (7, "elsewhere", "pdf", "draft", [], [], [], []), (8, "test", "pdf", "draft", [], [], [], [])]
+    stored = [(i, r, s, h, "x", "draft", [], [], [], [], []) for i, r, s, h in ((2, 1, "draft", False), (3, 2, "draft", False), (4, 1, "draft", None), (5, 1, "draft", True), (9, 1, "draft", False))]
+    d, st, gone = spark.createDataFrame(drafts, DRAFT), spark.createDataFrame(stored, STORED), spark.createDataFrame([(8,), (8,), (None,)], "doc_id long")
+    for rebalance, fresh in ((False, {1, 6}), (True, {1, 2, 6})):
+        got = {r.doc_id: r for r in W.import_review(st, d, gone, 100, rebalance).collect()}
+        assert set(got) == {1, 2, 3, 4, 5, 6, 9} and {i for i, r in got.items() if r.split != "x"} == fresh
+    one = got[1]
+    assert (one.revision, one.status, one.human_reviewed, one.split) == (1, "draft", False, "train")
+    assert one.issues == [W.MESSAGES["E_OCR"], W.OTHER] and one.warnings == ["a", W.MESSAGES["E_OCR"], W.OTHER]
+    assert [tuple(x) for x in one.fields] == [("inn", "pending")] and [tuple(x) for x in one.tables] == [(1, False)]
+    assert got[6].issues == [] == got[6].warnings and got[6].label_status == "unprocessed" and got[6].fields is None
+    # splits in turn: one of each at most
+    assert {r.doc_id for r in W.import_review(st.limit(0), d, gone, 2).collect()} == {1, 6}
+    assert W.import_review(st.limit(0), d.limit(0), gone, 5).count() == 0
+    assert H.unregistered(gone.where("doc_id is not null"), st).count() == 1
