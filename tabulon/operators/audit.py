@@ -106,3 +106,12 @@ def page_routes(cells: DataFrame) -> DataFrame:
     )
     why = {"sparse": F.col("alnum") < SPARSE, "damaged": F.col("damaged"), "tables": F.col("tables") > 1, "wide": F.col("wide"), "chunks": F.col("long") >= ROWS, "figures": (F.col("some") >= ROWS) & (F.col("digits") >= DIGITS)}
     return d.select("doc_id", F.array_join(F.array_compact(F.array(*[F.when(v, k) for k, v in why.items()])), ",").alias("reasons"))
+
+
+def accepted_blocks(cells: DataFrame) -> DataFrame:
+    """(doc_id, has_text, has_table, n_mixed, accepted): whether a document has text and table blocks, and how many blocks have cells of both kinds; a mixed document is
+    accepted if it has both and no block is shared. Cells of a null kind are of neither. Two aggregations of which the first is on a refinement of the second's key."""
+    b = cells.groupBy("doc_id", "block").agg(F.count_if(F.col("kind") == "text").alias("t"), F.count_if(F.col("kind") == "table").alias("g"))
+    text, grid = F.coalesce(F.bool_or(F.col("t") > 0), F.lit(False)), F.coalesce(F.bool_or(F.col("g") > 0), F.lit(False))
+    d = b.groupBy("doc_id").agg(text.alias("has_text"), grid.alias("has_table"), F.count_if((F.col("t") > 0) & (F.col("g") > 0)).alias("n_mixed"))
+    return d.withColumn("accepted", F.col("has_text") & F.col("has_table") & (F.col("n_mixed") == 0))

@@ -94,3 +94,11 @@ d AS (SELECT doc_id, sum(alnum) < 20 AS a, count(DISTINCT CASE WHEN tab THEN blo
 SELECT doc_id, array_to_string(list_filter([CASE WHEN a THEN 'sparse' END, CASE WHEN t THEN 'tables' END, CASE WHEN f THEN 'figures' END], lambda x: x IS NOT NULL), ',') AS reasons FROM d""")
 def page_routes(spark, sf_dir):
     return A.page_routes(O.offer_cells(spark, sf_dir).where(_ROUTED))
+
+
+@query(f"WITH {O.CTE}, m AS (SELECT doc_id, block, CASE WHEN doc_id % 8 = 0 AND block = 1 AND row > 3 THEN 'text' WHEN doc_id % 9 = 0 THEN 'table' ELSE kind END AS kind FROM cells), b AS (SELECT doc_id, block, bool_or(kind = 'text') AS t, bool_or(kind = 'table') AS g FROM m GROUP BY ALL) SELECT doc_id, bool_or(t) AS has_text, bool_or(g) AS has_table, count(*) FILTER (t AND g) AS n_mixed, bool_or(t) AND bool_or(g) AND NOT bool_or(t AND g) AS accepted FROM b GROUP BY doc_id")
+def accepted_blocks(spark, sf_dir):
+    """Whether text and tables of each offer lie in blocks of their own; in some offers rows of the item table are text, or all is table."""
+    d = F.col("doc_id")
+    kind = F.when((d % 8 == 0) & (F.col("block") == 1) & (F.col("row") > 3), "text").when(d % 9 == 0, "table").otherwise(F.col("kind"))
+    return A.accepted_blocks(O.offer_cells(spark, sf_dir).withColumn("kind", kind))

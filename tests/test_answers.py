@@ -72,3 +72,11 @@ def test_staged_tables_are_released(spark):
     assert glob.glob(path + "/*.parquet")
     store.release(other)
     assert not glob.glob(path) and not [x for x in store._staged if x[0] is other]
+
+
+def test_accepted_blocks(spark):
+    rows = [(1, 0, "text"), (1, 1, "table"), (2, 0, "text"), (2, 0, "table"), (2, 1, "table"), (3, 0, "text"), (4, 0, "table"), (4, 0, "table"), (5, 0, None)]
+    cells = spark.createDataFrame(rows, "doc_id long, block long, kind string")
+    got = {r.doc_id: tuple(r)[1:] for r in U.accepted_blocks(cells).collect()}
+    assert got == {1: (True, True, 0, True), 2: (True, True, 1, False), 3: (True, False, 0, False), 4: (False, True, 0, False), 5: (False, False, 0, False)}
+    assert U.accepted_blocks(cells.limit(0)).count() == 0
