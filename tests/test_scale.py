@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabulon.functions import labels, numbers, text
+from tabulon.operators import dedup
 from tabulon.operators import labelling as L
 from tabulon.operators.cells import cell_roles
 
@@ -63,3 +64,15 @@ def test_roles_are_written_before_cells_are_joined(spark):
     rows = [(1, 1, 1, 1, "Цена", "table"), (1, 1, 1, 2, "шт", "table"), (1, 1, 1, 3, "12", "table")]
     roles = cell_roles(spark.createDataFrame(rows, CELLS))
     assert shuffles(roles) == 0 and {r["text"]: r["role"] for r in roles.collect()} == {"Цена": "unitPrice", "шт": "quantity"}
+
+
+def test_shingles_of_one_document_go_no_further(spark, monkeypatch):
+    from tabulon.sources import store
+
+    kept, stage = {}, store.stage
+    monkeypatch.setattr(store, "stage", lambda df, name: kept.setdefault(name, stage(df, name)))
+    words = lambda a, n: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(a, a + n))
+    rows = [(1, words(0, 40)), (2, words(0, 40) + " end"), (3, words(100, 60)), (4, words(200, 10) + " " + words(100, 9)), (5, words(0, 40))]
+    got = dedup.similar_pairs(dedup.shingles(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 36, 37, 36), (1, 5, 36, 36, 36)]
+    assert {r["id"] for r in kept["shared"].collect()} == {1, 2}
