@@ -76,3 +76,45 @@ def test_shingles_of_one_document_go_no_further(spark, monkeypatch):
     got = dedup.similar_pairs(dedup.shingles(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     assert sorted(map(tuple, got)) == [(1, 2, 36, 37, 36), (1, 5, 36, 36, 36)]
     assert {r["id"] for r in kept["shared"].collect()} == {1, 2}
+
+
+def test_items_shuffle_cells_once(spark, monkeypatch):
+    """Cells are gathered to rows with one shuffle, headers and items included; a second header and a total row rule as before."""
+    from tabulon.operators import cells as C
+    from tabulon.operators import rules as R
+
+    texts = {1: ("Наименование", "Кол-во", "Сумма"), 2: ("болт", "2", "10"), 3: ("Итого", "", "10"), 4: ("гайка", "1", "5"), 5: ("Сумма", "Кол-во", "Наименование"), 6: ("7,50", "3", "шайба")}
+    rows = [(d, 1, r, i + 1, t, "table") for d in (1, 2) for r, ts in texts.items() for i, t in enumerate(ts)]
+    cells = spark.createDataFrame(rows, CELLS).repartition(3)
+    items = R.item_rows(cells)
+    # of the cells; the fixture's own is round robin
+    assert shuffles(items) == 1
+    want = [(d, *x) for d in (1, 2) for x in ((2, "болт", 2.0, 10.0), (6, "шайба", 3.0, 7.5))]
+    assert sorted((r.doc_id, r.row, r.name, r.quantity, r.line_total) for r in items.collect()) == want
+    # a mapping of its own gives the same
+    assert sorted(map(tuple, R.item_rows(cells, R.header_mapping(cells)).collect())) == sorted(map(tuple, items.collect()))
+    # parts grow with the number of cells
+    monkeypatch.setattr(C, "CELLS_A_TASK", 2)
+    assert C.spread(cells).rdd.getNumPartitions() == len(rows) // 2
+    assert sorted(map(tuple, R.item_rows(cells).collect())) == sorted(map(tuple, items.collect()))
+
+
+def test_a_plan_makes_what_is_asked(spark, monkeypatch):
+    """Fields of a plan need no items, and facts come with the rows in one shuffle."""
+    from tabulon.operators import planning as P
+    from tabulon.operators.cells import FACTS, row_facts
+
+    made = []
+    stage = P.stage
+    monkeypatch.setattr(P, "stage", lambda df, name: made.append(name) or stage(df, name))
+    rows = [(1, 1, 1, 1, "Наименование", "table"), (1, 1, 1, 2, "Сумма", "table"), (1, 1, 2, 1, "болт", "table"), (1, 1, 2, 2, "5", "table")]
+    cells = spark.createDataFrame(rows, CELLS)
+    headers = cells.where("row = 1").withColumn("colspan", F.lit(1).cast("long"))
+    t = spark.createDataFrame([(1, 1, 1, 2, 2, 1, 0, 0, 0, 2, [], [])], f"doc_id long, n long, block long, first long, last long, name_col long, quantity_col long, unit_col long, price_col long, total_col long, components array<{L.COMPONENT}>, extras array<{L.EXTRA}>")
+    fields = spark.createDataFrame([(1, 1, "client", 1, 2, 1, "болт")], "doc_id long, n long, field string, block long, row long, col long, value string")
+    applied = P.apply_plan(cells, t, fields, headers)
+    assert [(r.field, r.value) for r in applied.fields.collect()] == [("client", "болт")] and "items" not in made
+    assert [(r.row, r.name, r.line_total) for r in applied.items.collect()] == [(2, "болт", 5.0)]
+    columns = ("doc_id", "block", "row", *FACTS)
+    assert shuffles(L.row_maps(cells, facts=True)) == 1
+    assert sorted(map(tuple, applied.rows.select(*columns).collect())) == sorted(map(tuple, row_facts(cells).select(*columns).collect()))
