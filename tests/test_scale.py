@@ -118,3 +118,14 @@ def test_a_plan_makes_what_is_asked(spark, monkeypatch):
     columns = ("doc_id", "block", "row", *FACTS)
     assert shuffles(L.row_maps(cells, facts=True)) == 1
     assert sorted(map(tuple, applied.rows.select(*columns).collect())) == sorted(map(tuple, row_facts(cells).select(*columns).collect()))
+
+
+def test_documents_are_gathered_with_one_shuffle(spark):
+    """Rows and blocks are gathered where their document's cells are."""
+    from tabulon.operators import structure as N
+
+    rows = [(d, b, r, c, f"{d}.{b}.{r}.{c}", "table" if b else "text") for d in (1, 2) for b in (0, 1) for r in (2, 1) for c in (2, 1)]
+    n = N.nested(spark.createDataFrame(rows, CELLS))
+    assert shuffles(n) == 1
+    assert sorted(map(tuple, N.flattened(n).select("doc_id", "block", "row", "col", "text", "kind").collect())) == sorted(rows)
+    assert [(r.n_cells, r.n_tables, [b["block"] for b in r.blocks]) for r in n.collect()] == [(8, 1, [0, 1])] * 2
