@@ -129,3 +129,26 @@ def test_documents_are_gathered_with_one_shuffle(spark):
     assert shuffles(n) == 1
     assert sorted(map(tuple, N.flattened(n).select("doc_id", "block", "row", "col", "text", "kind").collect())) == sorted(rows)
     assert [(r.n_cells, r.n_tables, [b["block"] for b in r.blocks]) for r in n.collect()] == [(8, 1, [0, 1])] * 2
+
+
+def test_payloads_shuffle_cells_once(spark):
+    """Facts, samples and tables of a payload are found where the cells of a document are, and header paths where those of a block are."""
+    from tabulon.operators import rules as R
+    from tabulon.operators import structure as N
+
+    rows = [(1, 0, 1, 1, "Оплата: 5 дней", "text"), (1, 1, 1, 1, "Наименование", "table"), (1, 1, 1, 2, "Сумма", "table"), (1, 1, 2, 1, "болт", "table"), (1, 1, 2, 2, "5", "table"), (2, 3, 1, 1, "a", "table")]
+    cells = spark.createDataFrame(rows, CELLS)
+    heads = spark.createDataFrame([(1, 1, 1, 1, 1, "Имя"), (1, 1, 1, 2, 1, "Вариант"), (1, 1, 1, 3, 1, ""), (1, 1, 2, 2, 2, "Цена")], "doc_id long, block long, row long, col long, colspan long, text string")
+    assert shuffles(R.header_paths(heads)) == 1
+    paths = spark.createDataFrame(R.header_paths(heads).collect(), "doc_id long, block long, col long, path string")
+    assert sorted(map(tuple, paths.collect())) == [(1, 1, 1, "Имя"), (1, 1, 2, "Вариант / Цена"), (1, 1, 3, "Вариант / Цена")]
+    p = N.plan_payload(cells, paths)
+    # of the cells, and of the paths by block and by document
+    assert shuffles(p) == 3
+    got = {r["doc_id"]: r for r in p.collect()}
+    row = lambda r, *t: '{"row":%d,"cells":[%s]}' % (r, ",".join('{"col":%d,"text":"%s"}' % (i + 1, x) for i, x in enumerate(t)))
+    head = row(1, "Наименование", "Сумма")
+    columns = ",".join('{"col":%d,"path":"%s"}' % (i + 1, x) for i, x in enumerate(("Имя", "Вариант / Цена", "Вариант / Цена")))
+    table = '{"block":1,"n_rows":2,"first_row":1,"last_row":2,"headers":[%s],"samples":[%s,%s],"columns":[%s]}' % (head, head, row(2, "болт", "5"), columns)
+    assert got[1]["payload"] == '{"metadata":[{"block":0,"rows":[%s]},{"block":1,"rows":[%s]}],"tables":[%s]}' % (row(1, "Оплата: 5 дней"), head, table)
+    assert (got[1]["n_tables"], got[1]["n_metadata"], got[2]["n_tables"]) == (1, 2, 1) and '"columns":[]' in got[2]["payload"]
