@@ -152,3 +152,21 @@ def test_payloads_shuffle_cells_once(spark):
     table = '{"block":1,"n_rows":2,"first_row":1,"last_row":2,"headers":[%s],"samples":[%s,%s],"columns":[%s]}' % (head, head, row(2, "болт", "5"), columns)
     assert got[1]["payload"] == '{"metadata":[{"block":0,"rows":[%s]},{"block":1,"rows":[%s]}],"tables":[%s]}' % (row(1, "Оплата: 5 дней"), head, table)
     assert (got[1]["n_tables"], got[1]["n_metadata"], got[2]["n_tables"]) == (1, 2, 1) and '"columns":[]' in got[2]["payload"]
+
+
+def test_claims_meet_cells_once(spark):
+    """A claim's cell and row come from one shuffle of cells, and two cells in one place are not two claims."""
+    from tabulon.operators import answers as A
+    from tabulon.operators import planning as P
+
+    rows = [(1, 0, 1, 1, "Клиент: ТОО Рога", "text"), (1, 0, 2, 1, "Итого: 5", "text"), (1, 0, 2, 1, "Итого: 7", "text"), (1, 0, 3, 1, "Менеджер", "table"), (1, 0, 3, 2, "Петров", "table")]
+    cells = spark.createDataFrame(rows, CELLS)
+    said = [(1, 1, "client", 0, 1, 1, "ТОО Рога"), (1, 2, "client", 0, 1, 1, "Рога"), (1, 3, "Менеджер", 0, 3, 2, "Петров"), (1, 4, "Адрес", 0, 3, 2, "Петров"), (1, 5, "documentTotal", 0, 2, 1, "5"), (1, 6, "title", 0, 9, 1, "x")]
+    fields = spark.createDataFrame(said, "doc_id long, n long, field string, block long, row long, col long, value string")
+    fit = A.typed_fields(fields, cells)
+    # of cells, of claims by row, and of the rows that have a claim
+    assert shuffles(fit) <= 3
+    assert sorted((r.n, r.fits) for r in fit.collect()) == [(1, True), (2, True), (3, True), (4, True), (5, True), (6, False)]
+    found = P.field_states(fields, cells, spark.createDataFrame([], "doc_id long, block long"))
+    assert shuffles(found) <= 7
+    assert sorted((r.n, r.state) for r in found.collect()) == [(1, "ok"), (2, "conflict"), (3, "extra"), (4, "no label"), (5, "ok"), (6, "no quote")]
