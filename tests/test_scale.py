@@ -170,3 +170,20 @@ def test_claims_meet_cells_once(spark):
     found = P.field_states(fields, cells, spark.createDataFrame([], "doc_id long, block long"))
     assert shuffles(found) <= 7
     assert sorted((r.n, r.state) for r in found.collect()) == [(1, "ok"), (2, "conflict"), (3, "extra"), (4, "no label"), (5, "ok"), (6, "no quote")]
+
+
+def test_examples_carry_their_fields(spark):
+    """Batches carry cells and fields: nothing is joined to them after they are cut."""
+    from tabulon.operators import examples as T
+
+    rows = [(1, 0, r, 1, f"поле {r}", "text") for r in range(1, 5)] + [(1, 1, 1, 1, "Наименование", "table"), (1, 1, 2, 1, "болт", "table"), (1, 0, 9, 1, "", "text")]
+    cells = spark.createDataFrame(rows, CELLS)
+    t = spark.createDataFrame([(1, 1, True, 2, 2, 1, 0, 0, [], [])], f"doc_id long, block long, is_items boolean, first long, last long, name_col long, quantity_col long, unit_col long, components array<{L.COMPONENT}>, extras array<{L.EXTRA}>")
+    fields = spark.createDataFrame([(1, "client", "found", 0, 2, 1, "2"), (1, "title", "found", 0, 2, 1, "поле"), (1, "vat", "missing", 0, 1, 1, "1"), (1, "discount", "found", 1, 2, 1, "болт")], "doc_id long, field string, state string, row_block long, row long, col long, value string")
+    catalog = spark.createDataFrame([(1, 1, "1,2")], "doc_id long, block long, sample string")
+    e = T.training_examples(cells, catalog, t, fields, limit=60)
+    assert shuffles(e) <= 11
+    got = {(r.task, r.place): (r.n_cells, r.answer) for r in e.collect()}
+    quote = lambda f, v: '{"field":"%s","block":0,"row":2,"col":1,"value":"%s"}' % (f, v)
+    assert got[("Requisites", 0)] == (2, '{"fields":[%s,%s]}' % (quote("client", "2"), quote("title", "поле")))
+    assert got[("Requisites", 1)] == (2, '{"fields":[]}') and got[("Requisites", 2)] == (1, '{"fields":[]}') and got[("Layout", 1)][0] == 2
