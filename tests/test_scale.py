@@ -187,3 +187,39 @@ def test_examples_carry_their_fields(spark):
     quote = lambda f, v: '{"field":"%s","block":0,"row":2,"col":1,"value":"%s"}' % (f, v)
     assert got[("Requisites", 0)] == (2, '{"fields":[%s,%s]}' % (quote("client", "2"), quote("title", "поле")))
     assert got[("Requisites", 1)] == (2, '{"fields":[]}') and got[("Requisites", 2)] == (1, '{"fields":[]}') and got[("Layout", 1)][0] == 2
+
+
+def scans(df, name: str) -> int:
+    import re
+
+    return len(re.findall(rf"(?:FileScan|Scan) parquet[^\n]*/{name}\.parquet", df._jdf.queryExecution().executedPlan().toString()))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_offers_are_rendered_in_one_pass(spark, monkeypatch, tmp_path):
+    """Lines and heads are shuffled together once, and tasks grow in number with the lines; lines without a part and repeated parts count as in SQL."""
+    from tabulon.sources import offers as O
+
+    cells = O.offer_cells(spark, SF)
+    assert scans(cells, "lineitem") == 1
+    by_row = cells.groupBy("doc_id", "block", "row").count()
+    assert shuffles(by_row) == shuffles(cells)  # they lie by document
+    want = sorted(map(tuple, cells.collect()))
+    monkeypatch.setattr(O, "LINES_A_TASK", 100)
+    many = O.offer_cells(spark, SF)
+    assert many.rdd.getNumPartitions() == spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100
+    assert sorted(map(tuple, many.collect())) == want
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    part.where("p_partkey % 7 <> 0").unionByName(part.where("p_partkey % 5 = 0").withColumn("p_name", F.lit(None).cast("string"))).write.parquet(f"{tmp_path}/part.parquet")
+    tables = ["lineitem", "orders", "customer", "supplier"]
+    for t in tables:
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    frames = O.tables(spark, str(tmp_path), *tables, "part")
+    sql = lambda text, **more: spark.sql(__import__("re").sub(r"(FROM|JOIN) (lineitem|part|orders|customer|supplier|items|heads)\b", r"\1 {\2}", text), **more)
+    items = sql(O.items_sql(O.SPARK), lineitem=frames["lineitem"], part=frames["part"])
+    heads = sql(O.heads_sql(O.SPARK), items=items, **{t: frames[t] for t in tables[1:]})
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(O.offer_items(spark, str(tmp_path)).select(items.columns)) == told(items)
+    assert told(O.offer_heads(spark, str(tmp_path)).select(heads.columns)) == told(heads)
