@@ -223,3 +223,18 @@ def test_offers_are_rendered_in_one_pass(spark, monkeypatch, tmp_path):
     told = lambda df: sorted(map(str, df.collect()))
     assert told(O.offer_items(spark, str(tmp_path)).select(items.columns)) == told(items)
     assert told(O.offer_heads(spark, str(tmp_path)).select(heads.columns)) == told(heads)
+
+
+def test_readings_are_fused_in_one_pass(spark):
+    """Offers are rendered once for both readings; repeated places, odd texts and nulls meet as before."""
+    from tabulon.operators import fusion as G
+    from tabulon.plans import queries as Q
+
+    assert scans(Q.QUERIES["native_visual_fusion"](spark, SF), "lineitem") == 1
+    kind = "doc_id long, row long, col long, text string"
+    native = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 1, "b"), (1, 2, 2, None), (2, 1, 1, "x"), (2, 1, 2, "Y y"), (2, 1, 3, "x"), (None, 1, 1, "n")], kind)
+    visual = spark.createDataFrame([(1, 1, 1, "A"), (1, 2, 2, "c"), (1, None, 1, "b"), (2, 5, 5, "X"), (2, 1, 2, "yY"), (3, 1, 1, "z"), (None, 1, 1, "n")], kind)
+    got = G.fuse_grids(native, visual)
+    assert shuffles(got) == 1
+    want = [(1, 1, 1, "a", "place"), (1, 1, 1, "b", "place"), (1, 2, 2, "c", "visual"), (1, None, 1, "b", "text"), (2, 5, 5, "X", "visual"), (2, 1, 2, "Y y", "text"), (3, 1, 1, "z", "visual"), (None, 1, 1, "n", "visual")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
