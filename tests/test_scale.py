@@ -238,3 +238,23 @@ def test_readings_are_fused_in_one_pass(spark):
     assert shuffles(got) == 1
     want = [(1, 1, 1, "a", "place"), (1, 1, 1, "b", "place"), (1, 2, 2, "c", "visual"), (1, None, 1, "b", "text"), (2, 5, 5, "X", "visual"), (2, 1, 2, "Y y", "text"), (3, 1, 1, "z", "visual"), (None, 1, 1, "n", "visual")]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_evidence_is_climbed_in_its_document(spark):
+    """No level is shuffled or written; documents longer than a batch, circles, repeated and nameless entries end as by the rules."""
+    from tabulon.operators import evidence as E
+
+    kind = "doc_id long, node string, parent string, kind string, cell string, excerpt string"
+    rows = [(1, "t", None, "calculated", None, None)] + [(1, f"c{i}", f"c{i - 1}" if i else "t", "list", None, None) for i in range(300)] + [(1, "q", "c299", "quote", "1", "b")]
+    rows += [(2, "t", None, "calculated", None, None), (2, "a", "b", "list", None, None), (2, "b", "a", "list", None, None), (2, "q", "t", "quote", "1", "a"), (2, None, "t", "quote", "2", "z")]
+    rows += [(3, "x", "p", "quote", "1", "a"), (3, "x", "r", "quote", "9", "a"), (3, "p", None, "list", None, None), (3, "r", None, "list", None, None), (None, "o", None, "list", None, None)]
+    cells = spark.createDataFrame([(1, "1", "a"), (2, "1", "a"), (2, "2", "z"), (2, "2", None), (3, "1", "a"), (3, None, "a")], "doc_id long, id string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = E.evidence_trees(spark.createDataFrame(rows, kind).repartition(3), cells)
+        assert shuffles(df) == 1
+        bad = {(r.doc_id, r.node) for r in df.collect() if not r.valid}
+        assert df.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert bad == {(1, "t"), (1, "q"), *((1, f"c{i}") for i in range(300)), (2, "t"), (3, "x"), (3, "r")}
