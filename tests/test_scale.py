@@ -258,3 +258,14 @@ def test_evidence_is_climbed_in_its_document(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert bad == {(1, "t"), (1, "q"), *((1, f"c{i}") for i in range(300)), (2, "t"), (3, "x"), (3, "r")}
+
+
+def test_requisites_of_odd_cells(spark):
+    """Only what may be a label is read further."""
+    from tabulon.operators import rules as R
+
+    texts = [("  ﬁл", "1"), ("Клиент:  А ", None), ("«Ｃlient»", "Б"), ("К ОПЛАТЕ", "5"), ("№ документа", "7"), ("E–mail: x", None), ("12,50", "3"), ("_Клиент", "В")]
+    rows = [(1, 0, r, c, t, "text") for r, pair in enumerate(texts) for c, t in enumerate(pair, 1) if t is not None] + [(1, 0, 20, 1, "Клиент", "text"), (1, 0, 20, 2, "Г", "text"), (1, 0, 20, 3, "Д", "text")]
+    cells = spark.createDataFrame(rows, CELLS)
+    assert sorted((r.row, r.field, r.value) for r in R.requisites(cells).collect()) == [(1, "client", "А"), (2, "client", "Б"), (3, "documentTotal", "5"), (4, "documentNumber", "7"), (5, "clientContact", "x")]
+    assert shuffles(R.requisites(cells)) <= 3
