@@ -269,3 +269,13 @@ def test_requisites_of_odd_cells(spark):
     cells = spark.createDataFrame(rows, CELLS)
     assert sorted((r.row, r.field, r.value) for r in R.requisites(cells).collect()) == [(1, "client", "А"), (2, "client", "Б"), (3, "documentTotal", "5"), (4, "documentNumber", "7"), (5, "clientContact", "x")]
     assert shuffles(R.requisites(cells)) <= 3
+
+
+def test_prices_shuffle_cells_once(spark):
+    """Several names of a row each have its prices; cells and paths are shuffled once each, rows once more to meet paths by document."""
+    from tabulon.operators import rules as R
+
+    body = spark.createDataFrame([(1, 1, 2, 1, "болт", "table"), (1, 1, 2, 1, " винт", "table"), (1, 1, 2, 2, "5", "table"), (1, 1, 3, 1, "Итого", "table"), (1, 1, 3, 2, "5", "table"), (1, 1, 4, 2, "5", "table"), (1, 2, 2, 1, "x", "table"), (1, 2, 2, 2, "1", "table")], CELLS)
+    paths = spark.createDataFrame([(1, 1, 2, "Цена"), (1, 2, 3, "Сумма")], "doc_id long, block long, col long, path string")
+    assert sorted(tuple(r) for r in R.price_matrix(body, paths).collect()) == [(1, 1, 2, 2, "болт", "Цена", 5.0), (1, 1, 2, 2, "винт", "Цена", 5.0)]
+    assert shuffles(R.price_matrix(body, paths)) <= 3
