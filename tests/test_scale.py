@@ -280,3 +280,17 @@ def test_prices_shuffle_cells_once(spark):
     paths = spark.createDataFrame([(1, 1, 2, "Цена"), (1, 2, 3, "Сумма")], "doc_id long, block long, col long, path string")
     assert sorted(tuple(r) for r in R.price_matrix(body, paths).collect()) == [(1, 1, 2, 2, "болт", "Цена", 5.0), (1, 1, 2, 2, "винт", "Цена", 5.0)]
     assert shuffles(R.price_matrix(body, paths)) <= 3
+
+
+def test_numbers_with_a_currency_are_no_labels(spark):
+    """They are neither classified nor normalised, and whatever could be near a label still is; white space is looked for at the ends only."""
+    said = ["1 234,56 KZT", "12", "1 1 1 USD", "TRY", "Цена", "Цена KZT", "Ёд", "«Ед.изм»", "", None]
+    df = spark.createDataFrame([(x,) for x in said], "text string")
+    assert [r[0] for r in df.where(labels.may_name(F.col("text"))).collect()] == ["Цена", "Цена KZT", "Ёд", "«Ед.изм»"]
+    assert [r[0] for r in df.where(labels.may_be_alias(F.col("text"))).collect()] == ["Цена", "Цена KZT", "Ёд", "«Ед.изм»"]
+    near = labels.classify(df.where(~labels.may_name(F.col("text"))), "text")
+    assert {r.method for r in near.collect()} == {"unknown"}
+    cells = spark.createDataFrame([(1, 1, 1, i, x, "table") for i, x in enumerate(said)], CELLS)
+    plan = cells.select(numbers.strip(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+    assert spark.createDataFrame([(" \u0085  а　б\x1c\n",)], "t string").select(numbers.strip(F.col("t"))).first()[0] == "а　б\x1c"
