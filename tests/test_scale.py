@@ -294,3 +294,13 @@ def test_numbers_with_a_currency_are_no_labels(spark):
     plan = cells.select(numbers.strip(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
     assert spark.createDataFrame([(" \u0085  а　б\x1c\n",)], "t string").select(numbers.strip(F.col("t"))).first()[0] == "а　б\x1c"
+
+
+def test_claims_meet_cells_of_their_places(spark):
+    """Cells elsewhere are not shuffled; several cells of one place are all met, and a place without a cell is null."""
+    cells = spark.createDataFrame([(1, 0, 1, 1, "a", "text"), (1, 0, 1, 1, "b", "text"), (1, 0, 9, 1, "x", "text"), (2, 0, 1, 1, "c", "text"), (None, 0, 1, 1, "z", "text")], CELLS)
+    claims = spark.createDataFrame([(1, 0, 1, 1, "v"), (2, 0, 1, 2, "w"), (2, None, 1, 1, "n"), (None, 0, 1, 1, "o")], "doc_id long, block long, row long, col long, value string")
+    got = L.texts_at(claims, cells)
+    assert sorted((r.value, r.text or "") for r in got.collect()) == [("n", ""), ("o", ""), ("v", "a"), ("v", "b"), ("w", "")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("LeftOuter") < plan.index("LeftSemi")
