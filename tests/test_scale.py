@@ -1,5 +1,7 @@
 """What keeps the work in proportion: plans that shuffle once, and caps on what meets."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tabulon.functions import labels, numbers, text
@@ -304,3 +306,19 @@ def test_claims_meet_cells_of_their_places(spark):
     assert sorted((r.value, r.text or "") for r in got.collect()) == [("n", ""), ("o", ""), ("v", "a"), ("v", "b"), ("w", "")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.index("LeftOuter") < plan.index("LeftSemi")
+
+
+def test_fields_of_a_report_are_gathered_by_document(spark):
+    """One shuffle of fields tells repeated and unknown ones and what drafts say otherwise."""
+    docs = spark.createDataFrame([(i, False, False) for i in range(1, 7)], "doc_id long, parse_error boolean, incomplete boolean")
+    kind = "doc_id long, field string, state string, row_block long, row long, col long, value string"
+    said = [(1, "client", "found", "a"), (1, "client", "missing", None), (2, "nope", "missing", None), (3, "client", "found", "b"), (4, "client", "pending", "b"), (5, None, "missing", None), (5, None, "missing", None)]
+    fields = spark.createDataFrame([(d, f, s, 0, 1, 1, v) for d, f, s, v in said], kind)
+    drafts = spark.createDataFrame([(1, "client", "a"), (2, "client", ""), (3, "client", "b"), (4, "client", "b"), (6, "client", "b")], "doc_id long, field string, value string")
+    cells = spark.createDataFrame([(i, 0, 1, 1, "a b", "text") for i in range(1, 7)], CELLS)
+    tables = L.rule_tables(cells)
+    report = L.annotation_report(docs, cells, tables, fields, drafts)
+    got = {r.doc_id: set(r.reasons) - {"E_NO_ITEMS"} for r in report.collect()}
+    assert got == {1: {"E_SCHEMA"}, 2: {"E_SCHEMA"}, 3: set(), 4: {"E_FIELD_CONFLICT"}, 5: {"E_SCHEMA"}, 6: {"E_FIELD_CONFLICT"}}
+    plan = re.sub(r"#\d+L?", "", report._jdf.queryExecution().executedPlan().toString())
+    assert "hashpartitioning(doc_id, field" not in plan
