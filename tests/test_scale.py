@@ -322,3 +322,20 @@ def test_fields_of_a_report_are_gathered_by_document(spark):
     assert got == {1: {"E_SCHEMA"}, 2: {"E_SCHEMA"}, 3: set(), 4: {"E_FIELD_CONFLICT"}, 5: {"E_SCHEMA"}, 6: {"E_FIELD_CONFLICT"}}
     plan = re.sub(r"#\d+L?", "", report._jdf.queryExecution().executedPlan().toString())
     assert "hashpartitioning(doc_id, field" not in plan
+
+
+def test_placed_cells_stay_where_they_lie(spark):
+    """Cells by document are neither shuffled nor written for items and rows, and give the same; a rendered text is made once however often it is used."""
+    from tabulon.operators import rules as R
+    from tabulon.sources import offers as O
+
+    rows = [(1, 1, 1, 1, "Наименование", "table"), (1, 1, 1, 2, "Сумма", "table"), (1, 1, 2, 1, "болт", "table"), (1, 1, 2, 2, "5", "table"), (1, 1, 3, 1, "Итого", "table"), (1, 1, 3, 2, "5", "table"), (2, 1, 1, 1, "x", "table")]
+    df = spark.createDataFrame(rows, CELLS)
+    placed, roles = df.repartition("doc_id"), cell_roles(df)
+    items = R.item_rows(placed, roles=roles, placed=True)
+    assert shuffles(items) == 1 and sorted(items.collect()) == sorted(R.item_rows(df).collect()) and items.count() == 1
+    maps = L.row_maps(placed, placed=True)
+    assert shuffles(maps) == 1 and {(r.doc_id, r.row, len(r.at)) for r in maps.collect()} == {(1, 1, 2), (1, 2, 2), (1, 3, 2), (2, 1, 1)}
+    cells = O.offer_cells(spark, "/root/testdata/sf0.001")
+    twice = cells.where(F.length("text") > 3).select(F.upper("text"), F.lower("text"))
+    assert twice._jdf.queryExecution().optimizedPlan().toString().count("Действительно до") == cells._jdf.queryExecution().optimizedPlan().toString().count("Действительно до")
